@@ -69,3 +69,24 @@ def tokenizer_path(name: str) -> str:
     import public_tokenizers
 
     return public_tokenizers.path(name)
+
+
+def with_texts(docs: DataFrame, work, text_col: str = "text", chars_col: str = "n_chars") -> DataFrame:
+    """All columns of documents with new texts, and their length in characters where there is a column for it.
+
+    ``work()`` is called once a task and gives a function from a slice's texts to as many new ones; a document goes where that is None.
+    """
+    import pyarrow as pa
+    import pyarrow.compute as pc
+
+    def run(batches):
+        rewrite = work()
+        for batch in slices(batches):
+            texts = rewrite([t or "" for t in batch.column(text_col).to_pylist()])
+            new = pa.array(texts, batch.schema.field(text_col).type)
+            columns = {c: batch.column(c) for c in batch.schema.names} | {text_col: new}
+            if chars_col in columns:
+                columns[chars_col] = pc.utf8_length(new).cast(batch.schema.field(chars_col).type)
+            yield pa.RecordBatch.from_arrays(list(columns.values()), schema=batch.schema).filter(new.is_valid())
+
+    return docs.mapInArrow(run, docs.schema)

@@ -228,6 +228,12 @@ def near_duplicate_components(docs: DataFrame, id_col: str = "doc_id", text_col:
     )
 
 
+def one_of_each(docs: DataFrame) -> DataFrame:
+    """The documents, all columns, that are the smallest of their component; repeated rows of one id count once."""
+    kept = near_duplicate_components(docs).where("component_id = doc_id").select("doc_id").distinct()
+    return docs.join(kept, "doc_id", "left_semi").dropDuplicates(["doc_id"])
+
+
 def op6_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Components of all documents."""
     return near_duplicate_components(table(spark, sf_dir, "documents"))

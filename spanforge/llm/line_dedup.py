@@ -89,6 +89,25 @@ def dedup_lines(docs: DataFrame, separator: str = "\n", id_col: str = "doc_id",
     return filled.mapInArrow(cut, f"doc_id long, text string, kept string, removed {removed}")
 
 
+def without_repeated_lines(docs: DataFrame, separator: str = "\n") -> DataFrame:
+    """The documents, all columns, without the lines that earlier ones hold."""
+    gone = repeated_units(id_and_text(docs), separator).select("doc_id", F.col("removed.pos").alias("_gone"))
+    marked = docs.join(gone, "doc_id", "left").select(*docs.columns, "_gone")
+
+    def cut(batches):
+        for batch in slices(batches):
+            texts = []
+            for text, places in zip(batch.column("text").to_pylist(), batch.column("_gone").to_pylist(), strict=True):
+                if places and text is not None:
+                    out = {*places}
+                    text = separator.join(line for n, line in enumerate(text.split(separator)) if n not in out)
+                texts.append(text)
+            yield batch.set_column(batch.schema.get_field_index("text"), "text", pa.array(texts, pa.string())).drop_columns(["_gone"])
+
+    cleaned = marked.mapInArrow(cut, docs.schema)
+    return cleaned.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType)) if "n_chars" in docs.columns else cleaned
+
+
 def op8_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """What every whole document keeps once each repeated line is left to its earliest place."""
     return dedup_lines(table(spark, sf_dir, "documents")).select(

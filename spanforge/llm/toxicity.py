@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from spanforge.llm.common import checkpointed, id_and_text, slices, table
+from spanforge.llm.common import checkpointed, id_and_text, slices, table, with_texts
 
 #: Most labelled documents of each label that the classifier is fitted on.
 SAMPLE_EACH = 3000
@@ -291,6 +291,17 @@ def score_toxicity(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", t
     return plain.mapInArrow(work, SCHEMA)
 
 
+def without_toxic(docs: DataFrame, labels: DataFrame, threshold: float = 0.5) -> DataFrame:
+    """The documents, all columns, that score under the threshold."""
+    counts, classifier = fit_toxicity(id_and_text(docs), labels)
+
+    def work():
+        scorer = Scorer(CharacterModel(counts), classifier)
+        return lambda texts: [None if scorer.score(t)[0] >= threshold else t for t in texts]
+
+    return with_texts(docs, work)
+
+
 class Scorer(dict):
     """Weighed words of each chunk; nearly all chunks have none, so a text costs one look-up a chunk."""
 
