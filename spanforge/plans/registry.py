@@ -10,3 +10,24 @@ Query = Callable[[SparkSession, str], DataFrame]
 
 QUERIES: dict[str, Query] = {}
 ORACLES: dict[str, str] = {}
+FLAGSHIP = "span_segments"
+
+
+def query(name: str, sql: str | None = None):
+    """Registers a query, and the SQL over the same tables that must give the same rows."""
+
+    def add(f: Query) -> Query:
+        QUERIES[name] = f
+        if sql:
+            ORACLES[name] = sql
+        return f
+
+    return add
+
+
+def _load() -> None:
+    from spanforge.operators import aggregates, joins, lines, windows  # noqa: F401
+    from spanforge.streaming import state  # noqa: F401
+
+
+_load()
