@@ -13,7 +13,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from spanforge.llm.common import bucket, shuffle_partitions
+from spanforge.llm.common import bucket
 
 #: Text that a batch holds on average, and the text whose keys one shard holds. Batches follow the input's size.
 BATCH_BYTES = 4_000_000
@@ -31,8 +31,23 @@ def batched(docs: DataFrame, n_batches: int) -> DataFrame:
     return docs.select(bucket(F.col("doc_id"), n_batches, seed=17).alias("batch"), "doc_id", "text")
 
 
-def batch_count(docs: DataFrame, n_bytes: int) -> int:
-    return max(2 * shuffle_partitions(docs.sparkSession), -(-n_bytes // BATCH_BYTES))
+def batch_count(n_bytes: int) -> int:
+    """Follows the input alone, so that the rows between batches and shards do too."""
+    return max(16, -(-n_bytes // BATCH_BYTES))
+
+
+def first_copies(docs: DataFrame, n_batches: int) -> DataFrame:
+    """(batch, kind, shard, again, often) of kind 0: ``shard`` is the smallest id that has a text, told to its batch."""
+    nothing = F.lit(None).cast("binary")
+    least = docs.groupBy(F.sha2("text", 256).alias("same")).agg(F.min("doc_id").alias("doc_id"))
+    return least.select(
+        bucket(F.col("doc_id"), n_batches, seed=17).alias("batch"), F.lit(0).alias("kind"), F.col("doc_id").alias("shard"), nothing.alias("again"), nothing.alias("often")
+    )
+
+
+def with_told(dealt: DataFrame, told: DataFrame):
+    """Batches with what they were told, to work on together."""
+    return dealt.groupBy("batch").cogroup(told.groupBy("batch"))
 
 
 def by_shard(keys: np.ndarray, n_shards: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:

@@ -22,7 +22,7 @@ import hashlib
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from spanforge.llm import batches as B
@@ -46,12 +46,6 @@ def prefix_length(n: int) -> int:
     return n - -(-PERCENT * n // 100) + 1
 
 
-def _distinct(sets: list[np.ndarray]) -> tuple[list[np.ndarray], list[bytes]]:
-    """Sets that differ within a batch, and the digest of each given set."""
-    digests = [hashlib.md5(s.tobytes(), usedforsecurity=False).digest() for s in sets]
-    return list(dict(zip(digests, sets, strict=True)).values()), digests
-
-
 def _ask(sets: list[np.ndarray], n_shards: int):
     """Distinct shingles of a batch by shard, and which of them two of its sets hold."""
     every = np.sort(np.concatenate(sets)) if sets else np.zeros(0, np.uint64)
@@ -63,48 +57,58 @@ def _ask(sets: list[np.ndarray], n_shards: int):
     return keys, order, bounds, low, twice[order]
 
 
-def shingle_questions(batches: DataFrame, n_shards: int) -> DataFrame:
-    def ask(group: pa.Table) -> pa.Table:
-        sets, _ = _distinct(shingle_sets(B.texts_of(group)[1]))
-        _, _, bounds, low, twice = _ask(sets, n_shards)
-        return B.questions(group.column("batch")[0].as_py(), bounds, low, twice)
+def _unlike(group: pa.Table, stands: set[int]) -> tuple[list[int], list[np.ndarray], list[bytes], list[np.ndarray]]:
+    """(ids, sets, digests) of a batch, and the distinct sets of its first copies."""
+    ids, texts = B.texts_of(group)
+    sets = shingle_sets(texts)
+    digests = [hashlib.md5(s.tobytes(), usedforsecurity=False).digest() for s in sets]
+    return ids, sets, digests, list({d: s for i, d, s in zip(ids, digests, sets, strict=True) if i in stands}.values())
+
+
+def _told(told: pa.Table) -> tuple[set[int], list[tuple[int, bytes, bytes]]]:
+    """First copies, and answers by shard."""
+    rows = list(zip(*(told.column(c).to_pylist() for c in ("kind", "shard", "again", "often")), strict=True))
+    return {s for kind, s, _, _ in rows if kind == 0}, [(s, a, o) for kind, s, a, o in rows if kind == 1]
+
 
-    return batches.groupBy("batch").applyInArrow(ask, B.QUESTIONS)
+def shingle_questions(dealt: DataFrame, stands: DataFrame, n_shards: int) -> DataFrame:
+    def ask(key, group: pa.Table, told: pa.Table) -> pa.Table:
+        _, _, bounds, low, twice = _ask(_unlike(group, _told(told)[0])[3], n_shards)
+        return B.questions(key[0].as_py(), bounds, low, twice)
+
+    return B.with_told(dealt, stands).applyInArrow(ask, B.QUESTIONS)
 
 
 SETS = "doc_id long, n long, digest binary, prefix array<long>, shingles binary"
 
 
-def document_sets(batches: DataFrame, answers: DataFrame, n_shards: int) -> DataFrame:
-    """Every document's set size and digest; those that may have partners also with the shared part of the prefix and the set."""
+def document_sets(dealt: DataFrame, told: DataFrame, n_shards: int) -> DataFrame:
+    """Every document's set size and digest; first copies that may have partners also with the shared part of the prefix and the set."""
 
-    def work(key, group: pa.Table, answered: pa.Table) -> pa.Table:
-        ids, texts = B.texts_of(group)
-        sets = shingle_sets(texts)
-        unlike, digests = _distinct(sets)
+    def work(key, group: pa.Table, told: pa.Table) -> pa.Table:
+        stands, answered = _told(told)
+        ids, sets, digests, unlike = _unlike(group, stands)
         keys, order, bounds, _, _ = _ask(unlike, n_shards)
         rank = np.zeros(keys.size, np.uint8)
-        for shard, again, often in zip(*(answered.column(c).to_pylist() for c in ("shard", "again", "often")), strict=True):
+        for shard, again, often in answered:
             own = order[bounds[shard] : bounds[shard + 1]]
             rank[own] = B.unpack_bits(again, own.size).astype(np.uint8) + B.unpack_bits(often, own.size)
-        made: dict[bytes, tuple] = {}
-        rows = []
+        rows, posted = [], set()
         for doc, own, digest in zip(ids, sets, digests, strict=True):
-            if digest not in made:
-                prefix, raw = None, None
-                if own.size:
-                    ranks = rank[np.searchsorted(keys, own)]
-                    alone = int(np.count_nonzero(ranks == 0))
-                    if alone < (length := prefix_length(own.size)):
-                        taken = np.argsort(ranks, kind="stable")[alone:length]
-                        prefix, raw = own[taken].view(np.int64).tolist(), own.tobytes()
-                made[digest] = prefix, raw
-            rows.append((doc, own.size, digest, *made[digest]))
+            prefix, raw = None, None
+            if own.size and doc in stands and digest not in posted:
+                posted.add(digest)
+                ranks = rank[np.searchsorted(keys, own)]
+                alone = int(np.count_nonzero(ranks == 0))
+                if alone < (length := prefix_length(own.size)):
+                    taken = np.argsort(ranks, kind="stable")[alone:length]
+                    prefix, raw = own[taken].view(np.int64).tolist(), own.tobytes()
+            rows.append((doc, own.size, digest, prefix, raw))
         kinds = (pa.int64(), pa.int64(), pa.binary(), pa.list_(pa.int64()), pa.binary())
         columns = zip(*rows, strict=True) if rows else [[]] * len(kinds)
         return pa.table({f.split()[0]: pa.array(c, k) for f, c, k in zip(SETS.split(", "), columns, kinds, strict=True)})
 
-    return batches.groupBy("batch").cogroup(answers.groupBy("batch")).applyInArrow(work, SETS)
+    return B.with_told(dealt, told).applyInArrow(work, SETS)
 
 
 def bitmap(own: np.ndarray, bits: int) -> np.ndarray:
@@ -176,33 +180,40 @@ def tile_links(tiled: DataFrame) -> DataFrame:
     return tiled.groupBy("tile").applyInArrow(work, "a long, b long")
 
 
-def into_tiles(candidates: DataFrame, groups: DataFrame, n_sets: int) -> DataFrame:
-    """Candidate sets dealt to tiles by the group they hang together in, band of size and block.
+def into_tiles(groups: DataFrame, n_sets: int) -> DataFrame:
+    """(doc_id, tile, grp, side): sets dealt by the group they hang together in, band of size and block; rows are (doc_id, grp, n).
 
     Groups of at most BLOCK sets share tiles of about BLOCK sets. Of larger groups each pair of blocks in the same or in neighbouring bands is a
     tile of its own.
     """
-    sets = candidates.join(groups, "doc_id").withColumn("band", F.floor(F.log(F.col("n").cast("double")) / F.log(F.lit(_SIZE_BAND))))
+    sets = groups.withColumn("band", F.floor(F.log(F.col("n").cast("double")) / F.log(F.lit(_SIZE_BAND))).cast("long"))
     by_band = sets.groupBy("grp", "band").agg(F.count(F.lit(1)).alias("m"))
     by_group = by_band.groupBy("grp").agg(F.sum("m").alias("all"), F.map_from_entries(F.collect_list(F.struct("band", "m"))).alias("in_band"))
     sized = sets.join(by_group, "grp")
+
+    def tile(g: Column, x: Column, y: Column, z: Column) -> Column:
+        return F.struct(g.alias("g"), x.cast("long").alias("x"), y.cast("long").alias("y"), z.cast("long").alias("z")).alias("tile")
+
+    def blocks(band: Column) -> Column:
+        return F.ceil(F.coalesce(F.element_at("in_band", band), F.lit(0)) / BLOCK).cast("int")
+
+    def pairs(band: Column, make) -> Column:
+        """One pair of blocks for each block of a band."""
+        return F.when(blocks(band) > 0, F.transform(F.sequence(F.lit(0), blocks(band) - 1), make))
+
     small = sized.where(F.col("all") <= BLOCK).select(
-        F.struct(F.lit(-1).cast("long").alias("g"), bucket(F.col("grp"), max(64, n_sets // BLOCK), seed=23).alias("x"), F.lit(0).cast("long").alias("y"), F.lit(0).cast("long").alias("z")).alias("tile"),
-        "grp", F.lit(0).cast("int").alias("side"), "doc_id", "shingles",
-    )
-    blocks = lambda band: F.ceil(F.coalesce(F.element_at("in_band", band), F.lit(0)) / BLOCK).cast("int")
+        "doc_id", tile(F.lit(-1).cast("long"), bucket(F.col("grp"), max(64, n_sets // BLOCK), seed=23), F.lit(0), F.lit(0)), "grp", F.lit(0).alias("side")
+    )
+    band, own = F.col("band"), F.col("own")
+    same = pairs(band, lambda s: F.struct((2 * band).alias("x"), F.least(own, s).alias("y"), F.greatest(own, s).alias("z"), F.when(s == own, 0).when(own < s, 1).otherwise(2).alias("side")))
+    up = pairs(band + 1, lambda s: F.struct((2 * band + 1).alias("x"), own.alias("y"), s.alias("z"), F.lit(1).alias("side")))
+    down = pairs(band - 1, lambda s: F.struct((2 * band - 1).alias("x"), s.alias("y"), own.alias("z"), F.lit(2).alias("side")))
     large = (
         sized.where(F.col("all") > BLOCK)
-        .withColumn("own", F.pmod(F.xxhash64(F.lit(29), "doc_id"), blocks(F.col("band"))).cast("int"))
-        .withColumn("same", F.transform(F.sequence(F.lit(0), blocks(F.col("band")) - 1), lambda s: F.struct(F.col("band").alias("x"), F.least("own", s).alias("y"), F.col("band").alias("x2"), F.greatest("own", s).alias("z"), F.when(s == F.col("own"), 0).when(F.col("own") < s, 1).otherwise(2).alias("side"))))
-        .withColumn("up", F.when(blocks(F.col("band") + 1) > 0, F.transform(F.sequence(F.lit(0), blocks(F.col("band") + 1) - 1), lambda s: F.struct(F.col("band").alias("x"), F.col("own").alias("y"), (F.col("band") + 1).alias("x2"), s.alias("z"), F.lit(1).alias("side")))))
-        .withColumn("down", F.when(blocks(F.col("band") - 1) > 0, F.transform(F.sequence(F.lit(0), blocks(F.col("band") - 1) - 1), lambda s: F.struct((F.col("band") - 1).alias("x"), s.alias("y"), F.col("band").alias("x2"), F.col("own").alias("z"), F.lit(2).alias("side")))))
-        .select("grp", "doc_id", "shingles", F.explode(F.flatten(F.filter(F.array("same", "up", "down"), lambda t: t.isNotNull()))).alias("t"))
-        .select(
-            F.struct(F.col("grp").alias("g"), (F.col("t.x") * 2 + (F.col("t.x2") - F.col("t.x"))).cast("long").alias("x"), F.col("t.y").cast("long").alias("y"), F.col("t.z").cast("long").alias("z")).alias("tile"),
-            "grp", F.col("t.side").cast("int").alias("side"), "doc_id", "shingles",
-        )
-    )
+        .withColumn("own", F.pmod(F.xxhash64(F.lit(29), "doc_id"), blocks(band)).cast("int"))
+        .select("doc_id", "grp", F.explode(F.flatten(F.filter(F.array(same, up, down), lambda t: t.isNotNull()))).alias("t"))
+        .select("doc_id", tile(F.col("grp"), F.col("t.x"), F.col("t.y"), F.col("t.z")), "grp", F.col("t.side").alias("side"))
+    )
     return small.unionByName(large)
 
 
@@ -210,17 +221,21 @@ def near_duplicate_components(docs: DataFrame, id_col: str = "doc_id", text_col:
     """(doc_id, n_shingles, component_id) of every document."""
     plain = id_and_text(docs, id_col, text_col)
     _, n_bytes = B.size_of(plain)
-    n_batches = B.batch_count(plain, n_bytes)
-    n_shards = n_batches
-    dealt = B.batched(plain, n_batches)
-    every = checkpointed(document_sets(dealt, B.answers(shingle_questions(dealt, n_shards)), n_shards))
+    n_batches = B.batch_count(n_bytes)
+    dealt, stands = B.batched(plain, n_batches), B.first_copies(plain, n_batches)
+    answers = B.answers(shingle_questions(dealt, stands, n_batches)).withColumn("kind", F.lit(1))
+    every = checkpointed(document_sets(dealt, stands.unionByName(answers), n_batches))
     classes = checkpointed(every.where("n > 0").groupBy("digest").agg(F.min("doc_id").alias("rep")))
-    candidates = every.where("prefix is not null").join(classes, (every.doc_id == classes.rep) & (every.digest == classes.digest), "left_semi").dropDuplicates(["doc_id"])
-    posted = candidates.select("doc_id", F.explode("prefix").alias("shingle"))
+    # sets stay where they are until tiles are known; prefixes, sizes and groups are all that moves before
+    first = every.where("prefix is not null").select("doc_id", "n", "digest", "prefix").join(classes, (every.doc_id == classes.rep) & (every.digest == classes.digest), "left_semi")
+    posted = first.select("doc_id", F.explode("prefix").alias("shingle")).repartition("shingle")
     least = posted.groupBy("shingle").agg(F.min("doc_id").alias("a"), F.max("doc_id").alias("most")).where("a <> most").select("shingle", "a")
     shared = posted.join(least, "shingle").select("a", F.col("doc_id").alias("b")).where("a <> b").distinct()
-    groups = checkpointed(connected_components(shared).select(F.col("node").alias("doc_id"), F.col("component").alias("grp")))
-    found = tile_links(into_tiles(candidates.select("doc_id", "n", "shingles"), groups, groups.count()))
+    hanging = connected_components(shared).select(F.col("node").alias("doc_id"), F.col("component").alias("grp"))
+    groups = checkpointed(hanging.join(first.groupBy("doc_id").agg(F.max("n").alias("n")), "doc_id"))
+    tiles = into_tiles(groups, groups.count())
+    sets = every.where("prefix is not null").select("doc_id", "shingles").join(groups.select("doc_id"), "doc_id", "left_semi")
+    found = tile_links(tiles.join(sets, "doc_id"))
     joined = connected_components(found)
     by_class = classes.join(joined, classes.rep == joined.node, "left").select("digest", F.coalesce("component", "rep").alias("component"))
     return every.select("doc_id", "n", F.when(F.col("n") > 0, F.col("digest")).alias("digest")).join(by_class, "digest", "left").select(
