@@ -30,7 +30,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from spanforge.llm import batches as B
-from spanforge.llm.common import bucket, id_and_text, table
+from spanforge.llm.common import id_and_text, table
 
 LENGTH = 50
 GRAM = 16
@@ -351,12 +351,10 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     """(doc_id, n_bytes, spans, kept) of every document."""
     plain = id_and_text(docs, id_col, text_col)
     _, n_bytes = B.size_of(plain)
-    n_batches = B.batch_count(plain, n_bytes)
+    n_batches = B.batch_count(n_bytes)
     dealt = B.batched(plain, n_batches)
     nothing = F.lit(None).cast("binary")
-    stands = plain.groupBy(F.sha2("text", 256).alias("same")).agg(F.min("doc_id").alias("doc_id")).select(
-        bucket(F.col("doc_id"), n_batches, seed=17).alias("batch"), F.lit(0).alias("kind"), F.col("doc_id").alias("shard"), nothing.alias("bits"), nothing.alias("windows")
-    )
+    stands = B.first_copies(plain, n_batches).withColumnsRenamed({"again": "bits", "often": "windows"})
 
     def ask(key, group: pa.Table, told: pa.Table) -> pa.Table:
         own = _Batch(group, _told(told)[0], n_batches)
@@ -396,15 +394,12 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
             }
         )
 
-    def with_told(told: DataFrame):
-        return dealt.groupBy("batch").cogroup(told.groupBy("batch"))
-
-    again = B.answers(with_told(stands).applyInArrow(ask, B.QUESTIONS)).select(
+    again = B.answers(B.with_told(dealt, stands).applyInArrow(ask, B.QUESTIONS)).select(
         "batch", F.lit(1).alias("kind"), "shard", F.col("again").alias("bits"), nothing.alias("windows")
     )
     told = stands.unionByName(again)
-    settled = settle(with_told(told).applyInArrow(send, CONTENTS))
-    return with_told(told.unionByName(settled)).applyInArrow(remove, REMOVED)
+    settled = settle(B.with_told(dealt, told).applyInArrow(send, CONTENTS))
+    return B.with_told(dealt, told.unionByName(settled)).applyInArrow(remove, REMOVED)
 
 
 def op1_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
