@@ -24,6 +24,8 @@ an empty result.
 
 from __future__ import annotations
 
+from typing import NamedTuple
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
@@ -124,20 +126,42 @@ class _Batch:
         np.maximum.at(high, self.key_of, self.doc)
         return (high > low)[self.order]
 
-    def contents(self, answers: list[tuple[int, bytes]]) -> dict[bytes, list[int]]:
-        """Segments of each distinct content, for hashes that occur again; in the order of their first segment."""
+    def contents(self, answers: list[tuple[int, bytes]]) -> _Contents:
+        """The distinct contents of segments whose hashes occur again, in the order of their first segment."""
         again = np.zeros(self.keys.size, bool)
         for shard, bits in answers:
             own = self.order[self.bounds[shard] : self.bounds[shard + 1]]
             again[own] = B.unpack_bits(bits, own.size)
-        out: dict[bytes, list[int]] = {}
-        for k in np.flatnonzero(again[self.key_of]).tolist():
-            start = int(self.start[k])
-            out.setdefault(self.raw[self.own[self.doc[k]]][start : start + int(self.width[k]) + LENGTH - 1], []).append(k)
-        return out
-
-    def shard_of(self, k: int) -> int:
-        return int((int(self.keys[self.key_of[k]]) >> 32) % self.n_shards)
+        at = np.flatnonzero(again[self.key_of])
+        raws = [self.raw[k] for k in self.own]
+        place: dict[bytes, int] = {}
+        index = [
+            place.setdefault(raws[d][a:b], len(place))
+            for d, a, b in zip(self.doc[at].tolist(), self.start[at].tolist(), (self.start[at] + self.width[at] + LENGTH - 1).tolist(), strict=True)
+        ]
+        which = np.array(index, np.int64)
+        first = at[np.unique(which, return_index=True)[1]]
+        ids = np.array([self.ids[k] for k in self.own], np.int64)
+        keys = self.keys[self.key_of[first]]
+        shard = ((keys >> np.uint64(32)) % np.uint64(self.n_shards)).astype(np.int64)
+        return _Contents(list(place), at, which, keys, shard, ids[self.doc[first]], ids[self.doc[at]])
+
+
+class _Contents(NamedTuple):
+    raw: list[bytes]
+    segment: np.ndarray  # segments that have a content
+    which: np.ndarray  # and which one
+    keys: np.ndarray  # by content: hash, shard, smallest document
+    shard: np.ndarray
+    least: np.ndarray
+    doc: np.ndarray  # by segment: its document
+
+    def by_shard(self):
+        """(shard, places of its contents in order)."""
+        order = np.argsort(self.shard, kind="stable")
+        for own in np.split(order, np.flatnonzero(np.diff(self.shard[order])) + 1):
+            if own.size:
+                yield int(self.shard[own[0]]), own
 
 
 def group_by_prefix(buf: np.ndarray, length: int = LENGTH) -> tuple[np.ndarray, np.ndarray]:
@@ -222,68 +246,57 @@ CONTENTS = "shard long, batch long, lengths binary, hashes binary, docs binary,
 REPLIES = "batch long, kind int, shard long, bits binary, windows binary"
 
 
-def _send(own: _Batch, batch: int, contents: dict[bytes, list[int]]) -> pa.Table:
-    by: dict[int, list[tuple[bytes, int]]] = {}
-    for raw, at in contents.items():
-        by.setdefault(own.shard_of(at[0]), []).append((raw, at[0]))
-    rows = []
-    for shard, items in sorted(by.items()):
-        rows.append(
-            (
-                shard,
-                batch,
-                np.array([len(r) for r, _ in items], np.uint32).tobytes(),
-                own.keys[own.key_of[[k for _, k in items]]].astype(np.uint64).tobytes(),
-                np.array([min(own.ids[own.own[own.doc[k]]] for k in contents[r]) for r, _ in items], np.int64).tobytes(),
-                b"".join(r for r, _ in items),
-            )
-        )
+def _send(batch: int, contents: _Contents) -> pa.Table:
+    lengths = np.array([len(r) for r in contents.raw], np.uint32)
+    rows = [
+        (shard, batch, lengths[own].tobytes(), contents.keys[own].tobytes(), contents.least[own].tobytes(), b"".join([contents.raw[k] for k in own.tolist()]))
+        for shard, own in contents.by_shard()
+    ]
     kinds = (pa.int64(), pa.int64(), *[pa.binary()] * 4)
     columns = zip(*rows, strict=True) if rows else [[]] * 6
     return pa.table({f.split()[0]: pa.array(c, k) for f, c, k in zip(CONTENTS.split(", "), columns, kinds, strict=True)})
 
 
+def _shared(keys: np.ndarray) -> np.ndarray:
+    """Places whose key another place has too."""
+    order = np.argsort(keys, kind="stable")
+    same = keys[order][1:] == keys[order][:-1]
+    return np.sort(order[np.concatenate([same, [False]]) | np.concatenate([[False], same])])
+
+
 def settle(sent: DataFrame) -> DataFrame:
     """Answers to batches: a bit a content, whether it belongs to a smaller document of another batch; and for the others a bit a window."""
 
     def work(group: pa.Table) -> pa.Table:
-        rows = []
         place: dict[bytes, int] = {}
-        least: list[int] = []
-        hashes: list[int] = []
-        for lengths, keys, docs, raw in zip(*(group.column(c).to_pylist() for c in ("lengths", "hashes", "docs", "raw")), strict=True):
-            at, own = 0, []
-            for n, key, doc in zip(np.frombuffer(lengths, np.uint32).tolist(), np.frombuffer(keys, np.uint64).tolist(), np.frombuffer(docs, np.int64).tolist(), strict=True):
-                content = raw[at : at + n]
-                at += n
-                k = place.setdefault(content, len(least))
-                if k == len(least):
-                    least.append(doc)
-                    hashes.append(key)
-                elif doc < least[k]:
-                    least[k] = doc
-                own.append((k, doc))
-            rows.append(own)
+        lengths, keys, docs = ([np.frombuffer(x, kind) for x in group.column(c).to_pylist()] for c, kind in (("lengths", np.uint32), ("hashes", np.uint64), ("docs", np.int64)))
+        index: list[int] = []
+        for own, raw in zip(lengths, group.column("raw").to_pylist(), strict=True):
+            end = np.cumsum(own, dtype=np.int64)
+            index += [place.setdefault(raw[a:b], len(place)) for a, b in zip((end - own).tolist(), end.tolist(), strict=True)]
+        which, doc, size = np.array(index, np.int64), np.concatenate(docs), np.concatenate(lengths).astype(np.int64) - LENGTH + 1
         texts = list(place)
-        order = sorted(range(len(texts)), key=hashes.__getitem__)
-        several = [k for n, k in enumerate(order) if (n and hashes[order[n - 1]] == hashes[k]) or (n + 1 < len(order) and hashes[order[n + 1]] == hashes[k])]
-        seen: dict[int, np.ndarray] = {}
-        if several:
-            seen = dict(zip(several, earlier_windows([texts[k] for k in several], np.array([least[k] for k in several])), strict=True))
-        out_bits, out_windows = [], []
-        for own in rows:
-            later = np.array([doc > least[k] for k, doc in own], bool)
-            windows = [seen[k] if k in seen else np.zeros(len(texts[k]) - LENGTH + 1, bool) for (k, _), all_ in zip(own, later.tolist(), strict=True) if not all_]
-            out_bits.append(B.pack_bits(later))
-            out_windows.append(B.pack_bits(np.concatenate(windows)) if windows else b"")
+        least = np.full(len(texts), np.iinfo(np.int64).max)
+        np.minimum.at(least, which, doc)
+        later = doc > least[which]
+        bounds = np.cumsum([0, *(x.size for x in lengths)])
+        width = np.where(later, 0, size)
+        begin = np.cumsum(width) - width
+        windows = np.zeros(int(width.sum()), bool)
+        several = _shared(np.concatenate(keys)[np.unique(which, return_index=True)[1]])
+        if several.size:
+            seen = dict(zip(several.tolist(), earlier_windows([texts[k] for k in several.tolist()], least[several]), strict=True))
+            for k in np.flatnonzero(~later & np.isin(which, several)).tolist():
+                windows[begin[k] : begin[k] + width[k]] = seen[int(which[k])]
+        cut = np.append(begin, windows.size)
         n = group.num_rows
         return pa.table(
             {
                 "batch": group.column("batch"),
                 "kind": pa.array([2] * n, pa.int32()),
                 "shard": group.column("shard"),
-                "bits": pa.array(out_bits, pa.binary()),
-                "windows": pa.array(out_windows, pa.binary()),
+                "bits": pa.array([B.pack_bits(later[a:b]) for a, b in zip(bounds[:-1], bounds[1:], strict=True)], pa.binary()),
+                "windows": pa.array([B.pack_bits(windows[cut[a] : cut[b]]) for a, b in zip(bounds[:-1], bounds[1:], strict=True)], pa.binary()),
             }
         )
 
@@ -306,47 +319,44 @@ def _told(group: pa.Table) -> tuple[set[int], list[tuple[int, bytes]], dict[int,
     return stands, again, settled
 
 
-def _covered(own: _Batch, contents: dict[bytes, list[int]], settled: dict[int, tuple[bytes, bytes]]) -> dict[int, list[tuple[int, int]]]:
-    """Starts of the windows that go, as ranges, by place in the batch."""
-    by: dict[int, list[bytes]] = {}
-    for raw, at in contents.items():
-        by.setdefault(own.shard_of(at[0]), []).append(raw)
-    out: dict[int, list[tuple[int, int]]] = {}
-    for shard, items in by.items():
+def _covered(own: _Batch, contents: _Contents, settled: dict[int, tuple[bytes, bytes]]) -> list[list[tuple[int, int]]]:
+    """Maximal runs of bytes that go, for each document that stands for its copies."""
+    size = np.array([len(r) for r in contents.raw], np.int64) - LENGTH + 1
+    later = np.zeros(size.size, bool)
+    some: dict[int, np.ndarray] = {}
+    for shard, at in contents.by_shard():
         bits, packed = settled[shard]
-        later = B.unpack_bits(bits, len(items)).tolist()
-        widths = [0 if late else len(r) - LENGTH + 1 for r, late in zip(items, later, strict=True)]
-        windows, at = B.unpack_bits(packed, sum(widths)), 0
-        for raw, late, width in zip(items, later, widths, strict=True):
-            own_windows, at = windows[at : at + width], at + width
-            places = contents[raw]
-            smallest = min(own.ids[own.own[own.doc[k]]] for k in places)
-            some: list[tuple[int, int]] | None = None
-            for k in places:
-                place, start, n = own.own[own.doc[k]], int(own.start[k]), int(own.width[k])
-                if late or own.ids[place] > smallest:
-                    out.setdefault(place, []).append((start, start + n))
-                else:
-                    if some is None:
-                        edge = np.flatnonzero(np.diff(own_windows.astype(np.int8), prepend=0, append=0))
-                        some = [(a, b) for a, b in edge.reshape(-1, 2).tolist()]
-                    if some:
-                        out.setdefault(place, []).extend((start + a, start + b) for a, b in some)
+        later[at] = B.unpack_bits(bits, at.size)
+        left = at[~later[at]]
+        windows, end = B.unpack_bits(packed, int(size[left].sum())), np.cumsum(size[left])
+        if windows.any():
+            hit = np.add.reduceat(windows, end - size[left]) > 0
+            some |= {int(k): windows[b - size[k] : b] for k, b in zip(left[hit], end[hit], strict=True)}
+    whole = later[contents.which] | (contents.doc > contents.least[contents.which])
+    gone = contents.segment[whole]
+    doc, start, width = own.doc[gone], own.start[gone], own.width[gone]
+    if some:
+        parts = []
+        for n in np.flatnonzero(~whole & np.isin(contents.which, list(some))).tolist():
+            k = contents.segment[n]
+            edge = np.flatnonzero(np.diff(some[int(contents.which[n])].astype(np.int8), prepend=0, append=0))
+            parts += [(int(own.doc[k]), int(own.start[k]) + a, b - a) for a, b in edge.reshape(-1, 2).tolist()]
+        if parts:
+            more = np.array(parts, np.int64)
+            doc, start, width = np.concatenate([doc, more[:, 0]]), np.concatenate([start, more[:, 1]]), np.concatenate([width, more[:, 2]])
+            order = np.lexsort((start, doc))
+            doc, start, width = doc[order], start[order], width[order]
+    out: list[list[tuple[int, int]]] = [[] for _ in own.own]
+    if doc.size:  # ranges of windows don't overlap, so their ends rise with their starts
+        end = start + width - 1 + LENGTH
+        new = np.concatenate([[True], (doc[1:] != doc[:-1]) | (start[1:] > end[:-1])])
+        first = np.flatnonzero(new)
+        last = np.append(first[1:], doc.size) - 1
+        for d, a, b in zip(doc[first].tolist(), start[first].tolist(), end[last].tolist(), strict=True):
+            out[d].append((a, b))
     return out
 
 
-def _merge(ranges: list[tuple[int, int]]) -> list[tuple[int, int]]:
-    """Maximal runs of bytes covered by windows that start in these ranges."""
-    out: list[list[int]] = []
-    for a, b in sorted(ranges):
-        end = b - 1 + LENGTH
-        if out and a <= out[-1][1]:
-            out[-1][1] = max(out[-1][1], end)
-        else:
-            out.append([a, end])
-    return [(a, b) for a, b in out]
-
-
 def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(doc_id, n_bytes, spans, kept) of every document."""
     plain = id_and_text(docs, id_col, text_col)
@@ -364,19 +374,19 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     def send(key, group: pa.Table, told: pa.Table) -> pa.Table:
         stands_, again, _ = _told(told)
         own = _Batch(group, stands_, n_batches)
-        return _send(own, key[0].as_py(), own.contents(again))
+        return _send(key[0].as_py(), own.contents(again))
 
     def remove(key, group: pa.Table, told: pa.Table) -> pa.Table:
         stands_, again, settled = _told(told)
         own = _Batch(group, stands_, n_batches)
         covered = _covered(own, own.contents(again), settled)
-        first = set(own.own)
+        first = {k: n for n, k in enumerate(own.own)}
         by_doc = {(own.ids[k], own.raw[k]): k for k in own.own}
         spans, kept = [], []
         for k, raw in enumerate(own.raw):
             stand = k if k in first else by_doc.get((own.ids[k], raw))
             if stand is not None:
-                found = _merge(covered.get(stand, []))
+                found = covered[first[stand]]
             else:
                 found = [(0, len(raw))] if len(raw) >= LENGTH else []
             at, left = 0, []
