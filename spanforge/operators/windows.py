@@ -9,15 +9,17 @@ from spanforge.operators.lines import _LINES, lines_of
 from spanforge.plans.registry import query
 from spanforge.sources.tables import table
 
-_BY_USER = Window.partitionBy("user_id").orderBy("ts", "event_id")
+
+def _by_user():
+    return Window.partitionBy("user_id").orderBy("ts", "event_id")
 
 
 @query("w5_longest_run", """select user_id, max(n) as longest from (select user_id, g, event_type, count(*) as n from (
   select user_id, event_type, row_number() over (partition by user_id order by ts, event_id) - row_number() over (partition by user_id, event_type order by ts, event_id) as g from events) group by 1, 2, 3) group by 1""")
 def w5_longest_run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The longest run of equal neighbours: a running sum of changes names the runs."""
-    changed = table(spark, sf_dir, "events").withColumn("new", (F.coalesce(F.lag("event_type").over(_BY_USER), F.lit("")) != F.col("event_type")).cast("int"))
-    runs = changed.withColumn("run", F.sum("new").over(_BY_USER)).groupBy("user_id", "run").agg(F.count(F.lit(1)).alias("n"))
+    changed = table(spark, sf_dir, "events").withColumn("new", (F.coalesce(F.lag("event_type").over(_by_user()), F.lit("")) != F.col("event_type")).cast("int"))
+    runs = changed.withColumn("run", F.sum("new").over(_by_user())).groupBy("user_id", "run").agg(F.count(F.lit(1)).alias("n"))
     return runs.groupBy("user_id").agg(F.max("n").alias("longest"))
 
 
@@ -30,7 +32,7 @@ def w7_repetition(spark: SparkSession, sf_dir: str) -> DataFrame:
   window w as (partition by user_id order by ts, event_id rows between 2 preceding and current row)) where n = 3 and a = b""")
 def w9_frozen(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Steps after which the last three are all the same; a frame that isn't full doesn't count."""
-    w = _BY_USER.rowsBetween(-2, 0)
+    w = _by_user().rowsBetween(-2, 0)
     seen = table(spark, sf_dir, "events").select("event_id", F.count(F.lit(1)).over(w).alias("n"), F.max("event_type").over(w).alias("a"), F.min("event_type").over(w).alias("b"))
     return seen.where("n = 3 and a = b").select("event_id")
 
@@ -64,7 +66,7 @@ def w22_merge(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("w24_monotone", """select user_id, coalesce(bool_and(value <= p), true) as monotone from (select user_id, value, lag(value) over (partition by user_id order by ts, event_id) as p from events) group by 1""")
 def w24_monotone(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Whether a curve never rises."""
-    steps = table(spark, sf_dir, "events").select("user_id", "value", F.lag("value").over(_BY_USER).alias("p"))
+    steps = table(spark, sf_dir, "events").select("user_id", "value", F.lag("value").over(_by_user()).alias("p"))
     return steps.groupBy("user_id").agg(F.coalesce(F.bool_and(F.col("value") <= F.col("p")), F.lit(True)).alias("monotone"))
 
 

@@ -8,13 +8,15 @@ from pyspark.sql import functions as F
 from spanforge.plans.registry import query
 from spanforge.sources.tables import table
 
-_BY_USER = Window.partitionBy("user_id").orderBy("ts", "event_id")
+
+def _by_user():
+    return Window.partitionBy("user_id").orderBy("ts", "event_id")
 
 
 @query("l1_latch", """select user_id, event_type, min(r) as first_step from (select user_id, event_type, value, row_number() over (partition by user_id order by ts, event_id) as r from events) where value >= 50 group by 1, 2""")
 def l1_latch(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The first step at which each condition held."""
-    steps = table(spark, sf_dir, "events").withColumn("step", F.row_number().over(_BY_USER).cast("long"))
+    steps = table(spark, sf_dir, "events").withColumn("step", F.row_number().over(_by_user()).cast("long"))
     return steps.where("value >= 50").groupBy("user_id", "event_type").agg(F.min("step").alias("first_step"))
 
 
@@ -22,8 +24,8 @@ def l1_latch(spark: SparkSession, sf_dir: str) -> DataFrame:
   from events window w as (partition by user_id order by ts, event_id)) where r >= 50 or spent >= 500 group by 1""")
 def l2_budget(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The first step at which a cap on steps or on spending is reached."""
-    spent = F.sum(F.floor("value")).over(_BY_USER.rowsBetween(Window.unboundedPreceding, 0))
-    steps = table(spark, sf_dir, "events").select("user_id", F.row_number().over(_BY_USER).cast("long").alias("step"), spent.alias("spent"))
+    spent = F.sum(F.floor("value")).over(_by_user().rowsBetween(Window.unboundedPreceding, 0))
+    steps = table(spark, sf_dir, "events").select("user_id", F.row_number().over(_by_user()).cast("long").alias("step"), spent.alias("spent"))
     return steps.where("step >= 50 or spent >= 500").groupBy("user_id").agg(F.min("step").alias("stop_step"))
 
 
@@ -48,8 +50,8 @@ def l6_memory(spark: SparkSession, sf_dir: str) -> DataFrame:
   from events window w as (partition by user_id order by ts, event_id)) where r >= 3 and bad >= 2 and bad > 0.3 * r group by 1""")
 def l8_error_abort(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The first step with at least three attempts, two errors and an error rate over 0.3."""
-    bad = F.sum((F.col("value") < 10).cast("int")).over(_BY_USER.rowsBetween(Window.unboundedPreceding, 0))
-    steps = table(spark, sf_dir, "events").select("user_id", F.row_number().over(_BY_USER).cast("long").alias("r"), bad.alias("bad"))
+    bad = F.sum((F.col("value") < 10).cast("int")).over(_by_user().rowsBetween(Window.unboundedPreceding, 0))
+    steps = table(spark, sf_dir, "events").select("user_id", F.row_number().over(_by_user()).cast("long").alias("r"), bad.alias("bad"))
     return steps.where("r >= 3 and bad >= 2 and bad > 0.3 * r").groupBy("user_id").agg(F.min("r").alias("abort_step"))
 
 
