@@ -72,9 +72,13 @@ def f16s_f17s_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-def shingles_of(text, size: int = 8):
-    """Distinct runs of ``size`` alphanumeric words; a shorter text is one run, an empty one none."""
-    words = F.regexp_extract_all(F.lower(text), F.lit("([a-z0-9]+)"), 1)
+def words_of(text):
+    """Alphanumeric words in lower case."""
+    return F.regexp_extract_all(F.lower(text), F.lit("([a-z0-9]+)"), 1)
+
+
+def shingles_of(words, size: int = 8):
+    """Distinct runs of ``size`` words; fewer words are one run, none are none. ``words`` is a column of its own: as an expression it would be split anew for every run."""
     runs = F.transform(F.sequence(F.lit(1), F.size(words) - size + 1), lambda i: F.array_join(F.slice(words, i, size), " "))
     return F.when(F.size(words) == 0, F.array().cast("array<string>")).when(F.size(words) < size, F.array(F.array_join(words, " "))).otherwise(F.array_distinct(runs))
 
@@ -83,7 +87,8 @@ def shingles_of(text, size: int = 8):
   else list_distinct(list_transform(range(1, len(w) - 6), lambda i: array_to_string(w[i:i+7], ' '))) end) as bigint) as n_shingles
   from (select item_id, regexp_extract_all(lower(text), '[a-z0-9]+') as w from benchmark)""")
 def f18s_shingles(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return table(spark, sf_dir, "benchmark").select("item_id", F.size(shingles_of(F.col("text"))).cast("long").alias("n_shingles"))
+    items = table(spark, sf_dir, "benchmark").select("item_id", words_of(F.col("text")).alias("w"))
+    return items.select("item_id", F.size(shingles_of(F.col("w"))).cast("long").alias("n_shingles"))
 
 
 @query("f33s_domains", """select domain, count(*) as n from (select regexp_extract(url, '^[a-z]+://([^/:?#]+)', 1) as host,
