@@ -26,7 +26,7 @@ def query(name: str, sql: str | None = None):
 
 
 def _load() -> None:
-    from spanforge.operators import aggregates, choices, joins, lines, scoring, texts, windows  # noqa: F401
+    from spanforge.operators import aggregates, choices, contracts, evaluation, joins, lines, scalars, scoring, texts, windows  # noqa: F401
     from spanforge.streaming import state  # noqa: F401
 
 

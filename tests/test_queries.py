@@ -1,10 +1,11 @@
 """Every query on the smallest tables against the same question in SQL, and invariants of single operators."""
 
 import glob
-import math
+import numbers
 import os
 
 import duckdb
+import pandas as pd
 import pytest
 
 from spanforge.plans import registry
@@ -14,9 +15,9 @@ SF = "/root/testdata/sf0.001"
 
 def rows_of(frame):
     def plain(v):
-        if v is None or (isinstance(v, float) and math.isnan(v)) or v != v:
+        if pd.isna(v):
             return "null"
-        return round(float(v), 6) if isinstance(v, (int, float)) and not isinstance(v, bool) else str(v)
+        return round(float(v), 6) if isinstance(v, numbers.Real) and not isinstance(v, bool) else str(v)
 
     frame = frame[sorted(frame.columns)]
     return sorted((tuple(plain(v) for v in r) for r in frame.itertuples(index=False)), key=str)
