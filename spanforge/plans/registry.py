@@ -1,4 +1,4 @@
-"""All queries on the reference tables by name, each with the SQL that gives the same rows where there is one."""
+"""Where queries are put down by name, each with the SQL that gives the same rows where there is one. ``catalogue`` has them all."""
 
 from __future__ import annotations
 
@@ -23,11 +23,3 @@ def query(name: str, sql: str | None = None):
         return f
 
     return add
-
-
-def _load() -> None:
-    from spanforge.operators import aggregates, choices, contracts, evaluation, joins, lines, scalars, scoring, texts, windows  # noqa: F401
-    from spanforge.streaming import state  # noqa: F401
-
-
-_load()

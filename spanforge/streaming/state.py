@@ -2,8 +2,12 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import pandas as pd
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
+from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from spanforge.plans.registry import query
 from spanforge.sources.tables import table
@@ -58,3 +62,27 @@ def l8_error_abort(spark: SparkSession, sf_dir: str) -> DataFrame:
 def latch_stream(steps: DataFrame, late: str = "1 hour") -> DataFrame:
     """``l1_latch`` on a stream of (user_id, event_type, ts, value): first passing time of each condition, by hour, with a bound on lateness."""
     return steps.withWatermark("ts", late).where("value >= 50").groupBy(F.window("ts", "1 hour"), "user_id", "event_type").agg(F.min("ts").alias("first_ts"))
+
+
+def budget_stream(steps: DataFrame, max_steps: int = 50, max_spent: int = 500) -> DataFrame:
+    """``l2_budget`` on a stream of (user_id, event_id, ts, value): each run's stopping step, told once.
+
+    State is three numbers a run and never expires within it. Steps count in order of (ts, event_id) inside a batch, and batches in the order they come.
+    """
+
+    def stop(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        step, spent, stopped = state.get if state.exists else (0, 0, 0)
+        rows = pd.concat(list(batches)).sort_values(["ts", "event_id"])
+        if not stopped:
+            total = spent + rows["value"].fillna(0).floordiv(1).astype("int64").cumsum()
+            count = step + pd.RangeIndex(1, len(rows) + 1).to_series(index=rows.index)
+            over = (count >= max_steps) | (total >= max_spent)
+            if over.any():
+                stopped = int(count[over.to_numpy().argmax() : over.to_numpy().argmax() + 1].iloc[0])
+                yield pd.DataFrame({"user_id": [key[0]], "stop_step": [stopped]})
+            step, spent = int(count.iloc[-1]), int(total.iloc[-1])
+        state.update((step, spent, stopped))
+
+    return steps.select("user_id", "event_id", "ts", "value").groupBy("user_id").applyInPandasWithState(
+        stop, "user_id long, stop_step long", "step long, spent long, stopped long", "append", GroupStateTimeout.NoTimeout
+    )

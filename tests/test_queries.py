@@ -8,7 +8,7 @@ import duckdb
 import pandas as pd
 import pytest
 
-from spanforge.plans import registry
+from spanforge.plans import catalogue
 
 SF = "/root/testdata/sf0.001"
 
@@ -31,9 +31,9 @@ def duck():
     return con
 
 
-@pytest.mark.parametrize("name", sorted(registry.QUERIES))
+@pytest.mark.parametrize("name", sorted(catalogue.ORACLES))
 def test_query_matches_sql(spark, duck, name):
-    got, want = registry.QUERIES[name](spark, SF).toPandas(), duck.sql(registry.ORACLES[name]).df()
+    got, want = catalogue.QUERIES[name](spark, SF).toPandas(), duck.sql(catalogue.ORACLES[name]).df()
     assert sorted(got.columns) == sorted(want.columns)
     assert rows_of(got) == rows_of(want)
 
