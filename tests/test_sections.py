@@ -134,3 +134,17 @@ def test_budget_stream_is_the_batch_form(spark, tmp_path):
         if r.user_id not in want and (n >= 4 or spent >= 60):
             want[r.user_id] = n
     assert got == set(want.items()) and l2_budget(spark, sf).columns == ["user_id", "stop_step"]
+
+
+def test_similarity_and_linked_lines(spark, tmp_path):
+    import difflib
+
+    from spanforge.operators.sections import f4s_f7s_linked_lines, f9s_similarity
+
+    turns = [(1, 0, "user", "Where is it"), (1, 1, "assistant", "There it is\nand more"), (2, 0, "user", None), (2, 1, "assistant", "x")]
+    spark.createDataFrame(turns, "conv_id long, turn long, role string, text string").write.parquet(f"{tmp_path}/conversations.parquet")
+    got = {(r.conv_id, r.turn): r.ratio for r in f9s_similarity(spark, str(tmp_path)).collect()}
+    assert got == {(1, 1): round(difflib.SequenceMatcher(None, "where is it", "there it is").ratio(), 6), (2, 1): 0.0}
+    page = '<p><a href="/x">Go back</a></p><p>Go on</p><p>text <a href="/y">Go on</a></p>'
+    spark.createDataFrame([(1, page), (2, None)], "page_id long, html string").write.parquet(f"{tmp_path}/pages.parquet")
+    assert [(r.page_id, r.line) for r in f4s_f7s_linked_lines(spark, str(tmp_path)).orderBy("line_idx").collect()] == [(1, "Go back"), (1, "Go on")]
