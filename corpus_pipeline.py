@@ -29,7 +29,7 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 
 def repeated_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Lines that an earlier document holds go; the documents stay."""
+    """Lines and passages of 50 words or more that an earlier document holds go; the documents stay."""
     return without_repeated_lines(docs)
 
 

@@ -22,6 +22,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from spanforge.llm.common import id_and_text, slices, table
+from spanforge.llm.passages import repeated_passages, spans_of, without
 
 LEAST_WORDS = 8
 
@@ -90,19 +91,23 @@ def dedup_lines(docs: DataFrame, separator: str = "\n", id_col: str = "doc_id",
 
 
 def without_repeated_lines(docs: DataFrame, separator: str = "\n") -> DataFrame:
-    """The documents, all columns, without the lines that earlier ones hold."""
-    gone = repeated_units(id_and_text(docs), separator).select("doc_id", F.col("removed.pos").alias("_gone"))
-    marked = docs.join(gone, "doc_id", "left").select(*docs.columns, "_gone")
+    """The documents, all columns, without the lines that earlier ones hold, and without the passages of LEAST_RUN words that do so within lines or across them.
+
+    Both are judged on the given texts.
+    """
+    plain = id_and_text(docs)
+    gone = repeated_units(plain, separator).select("doc_id", F.col("removed.pos").alias("_gone"))
+    passages = repeated_passages(plain).withColumnRenamed("windows", "_windows")
+    marked = docs.join(gone, "doc_id", "left").join(passages, "doc_id", "left").select(*docs.columns, "_gone", "_windows")
 
     def cut(batches):
         for batch in slices(batches):
             texts = []
-            for text, places in zip(batch.column("text").to_pylist(), batch.column("_gone").to_pylist(), strict=True):
-                if places and text is not None:
-                    out = {*places}
-                    text = separator.join(line for n, line in enumerate(text.split(separator)) if n not in out)
+            for text, places, windows in zip(*(batch.column(c).to_pylist() for c in ("text", "_gone", "_windows")), strict=True):
+                if (places or windows) and text is not None:
+                    text = without(text, spans_of(text, windows) if windows else [], {*(places or [])}, separator)
                 texts.append(text)
-            yield batch.set_column(batch.schema.get_field_index("text"), "text", pa.array(texts, pa.string())).drop_columns(["_gone"])
+            yield batch.set_column(batch.schema.get_field_index("text"), "text", pa.array(texts, pa.string())).drop_columns(["_gone", "_windows"])
 
     cleaned = marked.mapInArrow(cut, docs.schema)
     return cleaned.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType)) if "n_chars" in docs.columns else cleaned

@@ -261,6 +261,37 @@ def test_line_dedup(docs, empty, rows):
     assert dedup_lines(empty).count() == 0
 
 
+def test_repeated_passages_within_lines(spark):
+    from spanforge.llm.line_dedup import without_repeated_lines
+    from spanforge.llm.passages import _WORD
+
+    rng = random.Random(6)
+    word = lambda: "".join(rng.choice("abcdefgh") for _ in range(5))
+    own = lambda n: " ".join(word() for _ in range(n))
+    passage, short, signs = own(55), own(49), "".join(chr(0x4E00 + rng.randrange(3000)) for _ in range(60))
+    in_lines = "\n".join(" ".join(passage.split()[k : k + 5]) for k in range(0, 55, 5))
+    texts = {
+        1: f"{own(30)} {passage} {own(9)}\n{own(4)}", 2: f"{own(3)} {passage.upper()}, {own(8)}\n{own(60)}", 3: f"{own(6)}\n{in_lines}\n{own(6)}",
+        4: f"{own(20)} {short} {own(20)}", 5: f"{own(9)} {short} {own(9)}", 6: f"{own(9)}{signs}", 7: f"{own(2)} {signs}.{own(60)}", 8: f"{passage} {own(5)} {passage}",
+        9: own(70), 10: "", 11: None,
+    }
+    words = {i: [w.lower() for w in _WORD.findall(t or "")] for i, t in texts.items()}
+    first = {}
+    for i, w in words.items():
+        for k in range(len(w) - 49):
+            first.setdefault(tuple(w[k : k + 50]), i)
+    want = {}
+    for i, w in words.items():
+        out = {k + n for k in range(len(w) - 49) if first[tuple(w[k : k + 50])] < i for n in range(50)}
+        want[i] = [x for k, x in enumerate(w) if k not in out]
+    df = spark.createDataFrame([(i, t, len(t or "")) for i, t in texts.items()], "doc_id long, text string, n_chars long").repartition(3)
+    got = {r.doc_id: r for r in without_repeated_lines(df).collect()}
+    assert {i: [w.lower() for w in _WORD.findall(r.text or "")] for i, r in got.items()} == want
+    assert sum(len(words[i]) - len(w) for i, w in want.items()) == 55 * 4 + 60
+    assert all(got[i].text == texts[i] for i in (1, 4, 5, 6, 9, 10, 11)) and all(r.n_chars == (None if r.text is None else len(r.text)) for r in got.values())
+    assert got[2].text == texts[2].replace(passage.upper(), "") and got[3].text.count("\n") == 1
+
+
 def test_warc(spark):
     from spanforge.llm.warc import build_derivatives, digest, read_record
 
