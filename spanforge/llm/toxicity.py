@@ -36,7 +36,8 @@ COMMON_SHARE = 0.03
 #: Documents that the assumed one-word document of each picked word counts for.
 LONE_WORD_TRUST = 5.0
 WORD_ENTRIES = 500_000
-LONGEST_NOISY = 40
+#: Longer chunks are decoded each time, so that a worker doesn't hold on to them.
+LONGEST_KEPT = 100
 
 _A = 26  # letters; code 0 is the edge of a word
 _CODES = _A + 1
@@ -82,11 +83,15 @@ class CharacterModel:
         p1 = (uni + 1) / (uni.sum() + _CODES)
         p2 = (bi + 50 * p1) / (bi.sum(1, keepdims=True) + 50)
         p3 = (tri + 20 * p2[None]) / (tri.sum(2, keepdims=True) + 20)
-        self.cost = -np.log(p3)
+        self.cost = (-np.log(p3)).ravel().tolist()
 
-    def restore(self, noisy: str) -> str:
-        """The likeliest word behind a noisy one: a lattice of (cost, letters) by the last two letters, left to right."""
-        states: dict[tuple[int, int], tuple[float, str]] = {(0, 0): (0.0, "")}
+    def restore(self, noisy: str, edges: bool = False) -> str:
+        """The likeliest word behind a noisy one: a lattice of (cost, letters) by the last two letters, left to right.
+
+        The whole text is decoded, whatever its length; with ``edges`` the lattice may end a word after any letter, and words come apart by blanks.
+        """
+        cost_of = self.cost
+        states: dict[tuple[int, int], tuple[float, tuple | None]] = {(0, 0): (0.0, None)}  # letters are linked from the last to the first
         for c in noisy:
             arcs: list[tuple[str, float]] = []
             plain = unicodedata.normalize("NFD", c)[0].lower()
@@ -94,14 +99,18 @@ class CharacterModel:
                 arcs.append((plain, _CHANNEL["same"]))
             stands = LOOKALIKES.get(c, "")
             arcs += [(x, _CHANNEL["sign"] + _CHANNEL["star"] * (len(stands) > 2)) for x in stands]
-            nxt: dict[tuple[int, int], tuple[float, str]] = {}
+            nxt: dict[tuple[int, int], tuple[float, tuple | None]] = {}
             for (p, q), (cost, word) in states.items():
                 for letter, price in arcs:
                     code = ord(letter) - 96
-                    total = cost + price + self.cost[p, q, code]
+                    total = cost + price + cost_of[(p * _CODES + q) * _CODES + code]
                     key = (q, code)
                     if key not in nxt or total < nxt[key][0]:
-                        nxt[key] = (total, word + letter)
+                        nxt[key] = (total, (word, letter))
+                    if edges and q:
+                        total = cost + price + cost_of[(p * _CODES + q) * _CODES] + cost_of[q * _CODES * _CODES + code]
+                        if total < nxt.get((0, code), (math.inf,))[0]:
+                            nxt[(0, code)] = (total, ((word, " "), letter))
                     if code == q and (total := cost + _CHANNEL["drop"]) < nxt.get((p, q), (math.inf,))[0]:
                         nxt[(p, q)] = (total, word)  # the same letter again
                 if not arcs or not plain.isalpha():  # a sign that stands for nothing
@@ -109,13 +118,19 @@ class CharacterModel:
                     if total < nxt.get((p, q), (math.inf,))[0]:
                         nxt[(p, q)] = (total, word)
             states = nxt
-        best = min(states.items(), key=lambda s: s[1][0] + self.cost[s[0][0], s[0][1], 0], default=None)
-        return best[1][1] if best else ""
+        best = min(states.items(), key=lambda s: s[1][0] + cost_of[(s[0][0] * _CODES + s[0][1]) * _CODES], default=None)
+        letters, link = [], best[1][1] if best else None
+        while link:
+            link, letter = link
+            letters.append(letter)
+        return "".join(reversed(letters))
 
 
 _EDGES = ".,;:?\"'()[]{}<>-_~`#%&*$!|"
 _SPACED = re.compile(r"(?<!\S)[^\W_](?:[ ._*-]{1,2}[^\W_]){3,}(?![^\s.,!?])")
-_SPACED_HINT = re.compile(r" [^\W_][._*-]? [^\W_][._*-]? [^\W_]")
+_SPACED_HINT = re.compile(r" [^\W_][ ._*-]{1,2}[^\W_][ ._*-]{1,2}[^\W_]")
+_SPELLED = re.compile(r"[^\W_](?:[._*~-]{1,2}[^\W_]){3,}")
+_BETWEEN, _NO_LETTER = re.compile(r"[^\w@$!|+(*#€£]+|_+"), re.compile(r"[\W_]+")
 _JOINED = re.compile(r"[^\W\d_][._*~-][^\W\d_]")
 _THRICE = re.compile(r"([^\W\d_])\1\1")
 _SIGN_INSIDE = re.compile(r"[^\W\d_][0-9@$!|+*#€£(]+[^\W\d_]|^[0-9@$!|+(]+[^\W\d_]{2}|[^\W\d_]{2}[0-9@$!|+]+$")
@@ -125,6 +140,17 @@ def fold(word: str) -> str:
     return word.strip(_EDGES).lower()
 
 
+def _latin(c: str) -> bool:
+    base = unicodedata.normalize("NFD", c)[0].lower()
+    return "a" <= base <= "z" or not base.isalpha()
+
+
+def parts_of(chunk: str) -> set[str]:
+    """What punctuation, letters of other scripts and at last signs hold apart in a chunk, in pieces of two characters or more."""
+    own = chunk if chunk.isascii() else "".join(c if _latin(c) else " " for c in chunk)
+    return {p for pattern in (_BETWEEN, _NO_LETTER) for p in pattern.split(own) if len(p) > 1} - {chunk}
+
+
 class Restorer(dict):
     """The words behind white-space-separated chunks: the chunk's own word and, if it looks noisy, the restored one."""
 
@@ -135,25 +161,40 @@ class Restorer(dict):
     def __missing__(self, chunk: str) -> tuple[str, ...]:
         if len(self) >= WORD_ENTRIES:
             self.clear()
-        out = self[chunk] = self._words(chunk)
+        out = self._words(chunk)
+        if len(chunk) <= LONGEST_KEPT:
+            self[chunk] = out
         return out
 
     def _words(self, chunk: str) -> tuple[str, ...]:
         word = fold(chunk)
-        if word.isalpha() and (len({*word}) > len(word) - 2 or not _THRICE.search(word)):
+        if word.isalpha() and word.isascii() and (len({*word}) > len(word) - 2 or not _THRICE.search(word)):
             return (word,)
         own = chunk.strip(".,;:?\"'").lower()
-        if not word or len(own) > LONGEST_NOISY or "=" in own:
-            return (word[:LONGEST_NOISY],) if word else ()
-        if _SIGN_INSIDE.search(own) or _JOINED.search(own) or _THRICE.search(own):
-            restored = {self.model.restore(own), self.model.restore(word)}
-            return tuple(sorted({word, *restored} - {""}))
-        return (word,)
+        if not word:
+            return ()
+        words = {word, *self._restored(own, word)}
+        for part in parts_of(own):
+            plain = fold(part)
+            words.update((plain, *self._restored(part, plain)))
+        return tuple(sorted(words - {""}))
+
+    def _restored(self, own: str, word: str) -> set[str]:
+        if not (_SIGN_INSIDE.search(own) or _JOINED.search(own) or _THRICE.search(own)):
+            return set()
+        spelled = [w for m in _SPELLED.finditer(own) for w in self.model.restore(m[0], edges=True).split()]
+        return {self.model.restore(own), self.model.restore(word), *spelled}
 
     def spaced(self, text: str) -> list[str]:
+        """Words behind spaced-out runs: each run as one word, as the words it is likeliest made of, and as those that wider gaps hold apart."""
         if not _SPACED_HINT.search(text) and not _SPACED_HINT.match(" " + text[:8]):
             return []
-        return [self.model.restore(re.sub(r"[ ._*-]", "", m[0]).lower()[:LONGEST_NOISY]) for m in _SPACED.finditer(text)]
+        words = []
+        for m in _SPACED.finditer(text):
+            run = re.sub(r"[ ._*-]", "", m[0]).lower()
+            words += [self.model.restore(run), *self.model.restore(run, edges=True).split()]
+            words += [self.model.restore(re.sub(r"[._*-]", "", part.replace(" ", "")).lower()) for part in (m[0].split("  ") if "  " in m[0] else ())]
+        return [w for w in dict.fromkeys(words) if w]
 
     def features(self, text: str) -> set[str]:
         """Restored words of a text, and the first four and five letters of the longer ones."""
@@ -308,11 +349,15 @@ class Scorer(dict):
     def __init__(self, model: CharacterModel, classifier: Classifier):
         super().__init__()
         self.restorer, self.classifier = Restorer(model), classifier
+        self.whole = [w for w in classifier.weight if not w.endswith("-") and len(w) >= 4]
 
     def __missing__(self, chunk: str) -> frozenset[str]:
         if len(self) >= WORD_ENTRIES:
             self.clear()
-        out = self[chunk] = self._weighed(self.restorer._words(chunk))
+        words = self.restorer._words(chunk)
+        out = self._weighed(words) | (self._inside(words) if _SPELLED.search(chunk) else _NONE)
+        if len(chunk) <= LONGEST_KEPT:
+            self[chunk] = out
         return out
 
     def _weighed(self, words) -> frozenset[str]:
@@ -320,9 +365,14 @@ class Scorer(dict):
         own = [k for w in words for k in (w, w[:4] + "-", w[:5] + "-") if k in known]
         return frozenset(own) if own else _NONE
 
+    def _inside(self, words) -> frozenset[str]:
+        """Weighed words within words that were spelled letter by letter, as the lattice doesn't find every edge."""
+        return frozenset(k for w in words for k in self.whole if k in w)
+
     def score(self, text: str) -> tuple[float, set[str]]:
         found = set(map(self.__getitem__, text.split()))
-        found.add(self._weighed(self.restorer.spaced(text)))
+        spelled = self.restorer.spaced(text)
+        found.add(self._weighed(spelled) | self._inside(spelled))
         words = set().union(*found)
         return self.classifier.score(words), words
 

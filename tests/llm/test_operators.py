@@ -214,6 +214,26 @@ def test_restoring_noisy_words():
     assert restore.spaced("you m o r o n there") == ["moron"]
 
 
+def test_restoring_long_and_joined_texts():
+    import numpy as np
+
+    from spanforge.llm.toxicity import CharacterModel, Classifier, Restorer, Scorer, letter_of_latin1
+
+    letters, counts = letter_of_latin1(), np.zeros(27**3, np.int64)
+    c = letters[np.frombuffer((" stupid idiot moron the and for with trash you are such a " * 50).encode(), np.uint8)].astype(int)
+    np.add.at(counts, c[:-2] * 729 + c[1:-1] * 27 + c[2:], 1)
+    restore = Restorer(CharacterModel(counts))
+    spelled = " ".join("youaresuchastupidforthewithandforthewithidiot")
+    assert len(spelled) > 80 and "idiot" in restore.spaced(spelled) and {"stupid", "idiot"} <= {*restore.spaced("s t u p i d i d i o t")}
+    assert "moron" in restore.spaced("t r a s h  m o r o n")
+    assert "youaresuchastupidforthewithandforthewithidiot" in restore.spaced(spelled)
+    for chunk in ("the,and;for/" * 10 + "idiot", "the,and;for/" * 10 + "1d1ot,the", "a=1&b=1d1ot", "idiot=the", "the!idiot", "\u6f22\u5b57" * 30 + "1d1ot", "y.o.u.s.t.u.p.i.d.i.d.i.o.t"):
+        assert "idiot" in restore[chunk]
+    score = Scorer(CharacterModel(counts), Classifier(["idiot"], np.array([-4.0, 8.0]))).score
+    for text in ("the,and;for/" * 10 + "1d1ot", " ".join("thewithandforthewithandforthewithandforidiotyou"), "x " * 3 + "the and"):
+        assert (score(text)[0] > 0.5) == ("the and" not in text)
+
+
 def test_audio(docs, empty):
     from spanforge.llm.audio import MELS, WINDOW_FRAMES, audio_features, from_tensors, from_wave
 
