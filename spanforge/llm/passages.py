@@ -26,7 +26,7 @@ from spanforge.llm.common import checkpointed, slices
 
 LEAST_RUN = 50
 GRAM = 8
-WORD_ENTRIES = 500_000
+WORD_ENTRIES = 100_000
 
 _UNSPACED = r"\u0e00-\u0eff\u1000-\u109f\u1780-\u17ff\u3040-\u30ff\u3400-\u4dbf\u4e00-\u9fff\uf900-\ufaff\U00020000-\U0003ffff"
 _WORD = re.compile(rf"[{_UNSPACED}]|[^\W{_UNSPACED}]+")
@@ -34,13 +34,12 @@ _FACTOR = np.random.default_rng(51).integers(0, 1 << 64, (2, 8), dtype=np.uint64
 
 
 class _Codes(dict):
-    """Two random 64-bit numbers for each word, the same in every process."""
+    """Two random 64-bit numbers for each word, as bytes, the same in every process."""
 
-    def __missing__(self, word: str) -> tuple[int, int]:
+    def __missing__(self, word: str) -> bytes:
         if len(self) >= WORD_ENTRIES:
             self.clear()
-        raw = hashlib.blake2b(word.lower().encode("utf-8", "surrogatepass"), digest_size=16).digest()
-        out = self[word] = int.from_bytes(raw[:8], "little"), int.from_bytes(raw[8:], "little")
+        out = self[word] = hashlib.blake2b(word.lower().encode("utf-8", "surrogatepass"), digest_size=16).digest()
         return out
 
 
@@ -78,7 +77,7 @@ def _least(h: np.ndarray, width: int) -> np.ndarray:
 def _numbers(text: str, codes: _Codes) -> np.ndarray | None:
     """Two rows of numbers by word, or None where there are fewer words than a window has."""
     words = _WORD.findall(text)
-    return np.array([codes[w] for w in words], np.uint64).T.copy() if len(words) >= LEAST_RUN else None
+    return np.frombuffer(b"".join([codes[w] for w in words]), "<u8").reshape(-1, 2).T.copy() if len(words) >= LEAST_RUN else None
 
 
 def _window_keys(numbers: np.ndarray) -> np.ndarray:
