@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import os
+import uuid
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -42,12 +43,14 @@ def shuffle_partitions(spark: SparkSession) -> int:
 def shared_dir(spark: SparkSession) -> str:
     """The folder for checkpoints that driver and executors share.
 
-    It is what the cluster names in spark.checkpoint.dir; only where that is unset (tests on one machine) a local one is made.
+    It is what the cluster names in spark.checkpoint.dir; a temporary one is made only where that is unset and all runs on one machine.
     """
     context = spark.sparkContext
     if context.getCheckpointDir() is None:
         named = spark.conf.get("spark.checkpoint.dir", None)
         if named is None:
+            if not context.master.startswith("local"):
+                raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
             import tempfile
 
             named = tempfile.mkdtemp(prefix="spanforge-checkpoint-")
@@ -61,6 +64,30 @@ def checkpointed(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+def written(df: DataFrame) -> DataFrame:
+    """The frame, written once as Parquet to the shared folder and read back, so that later steps read only the columns they need."""
+    spark = df.sparkSession
+    path = f"{shared_dir(spark)}/table-{uuid.uuid4().hex}"
+    df.write.option("compression", "zstd").parquet(path)
+    return spark.read.schema(df.schema).parquet(path)
+
+
+#: At most this many keys of a join count as hot, so what is broadcast has this many rows at most.
+HOT_KEYS = 2000
+
+
+def join_hot(left: DataFrame, right: DataFrame, keys: list[str], n_left: int, n_col: str = "n") -> DataFrame:
+    """An inner join with rows unique by key; ``n_col`` of these says how often the key stands in ``left``, which has ``n_left`` rows.
+
+    Keys of more than ``n_left / HOT_KEYS`` rows, which HOT_KEYS can be at most, are broadcast; the others are joined by a shuffle, where none is large.
+    ``left`` is read twice, so it should be a table or a light plan over one.
+    """
+    often = max(1000, n_left // HOT_KEYS)
+    hot = F.broadcast(right.where(F.col(n_col) > often))
+    cold = left.join(hot.select(*keys), keys, "left_anti").join(right.where(F.col(n_col) <= often), keys)
+    return left.join(hot, keys).unionByName(cold).drop(n_col)
+
+
 def tokenizer_path(name: str) -> str:
     """Where a public tokenizer's file lies; SPANFORGE_TOKENIZERS overrides the installed package's folder."""
     folder = os.environ.get("SPANFORGE_TOKENIZERS")

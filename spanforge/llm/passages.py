@@ -1,15 +1,10 @@
-"""Passages of LEAST_RUN words or more that an earlier document holds too, wherever in a line they begin and end.
+"""Runs of LEAST_RUN words or more that an earlier document holds too, wherever in a line they begin and end.
 
 A word is a run of letters, digits and underscores in lower case, or one character of a script that is written without blanks; what stands
-between words doesn't count. Every window of LEAST_RUN words is known by the least hash of the GRAM words in a row in it. Equal windows
-have equal least hashes, so only windows whose least hash another document has too are told apart by digests of 128 bits; a
-window goes if a document with a smaller id has its digest. Nothing is sampled: every window is judged.
-
-Only hashes and places are shuffled. A hash costs a document one row however many windows it stands for, and joins are by
-hash or digest, so Spark splits those of a passage that many documents hold.
-
-Edge cases: null and short texts lose nothing; a passage repeated within one document only stays; rows with a null id neither lose nor
-cause anything.
+between words doesn't count. Every window of LEAST_RUN words has a key, the least hash of the GRAM words in a row in it, and equal
+windows have equal keys. A segment is a run of windows with one key. Keys are small and few (one for some twenty words), so they
+find the segments that may repeat; only these have their windows told apart, by 64 more bits each. Segments of equal windows settle each other
+as one row; the windows of a key's distinct segments are told apart one by one. Nothing is sampled: every window is judged.
 """
 
 from __future__ import annotations
@@ -18,22 +13,17 @@ import hashlib
 import re
 
 import numpy as np
-import pyarrow as pa
-from pyspark.sql import DataFrame
-from pyspark.sql import functions as F
-
-from spanforge.llm.common import checkpointed, slices
 
 LEAST_RUN = 50
 GRAM = 8
 WORD_ENTRIES = 100_000
 
 _UNSPACED = r"\u0e00-\u0eff\u1000-\u109f\u1780-\u17ff\u3040-\u30ff\u3400-\u4dbf\u4e00-\u9fff\uf900-\ufaff\U00020000-\U0003ffff"
-_WORD = re.compile(rf"[{_UNSPACED}]|[^\W{_UNSPACED}]+")
+WORD = re.compile(rf"[{_UNSPACED}]|[^\W{_UNSPACED}]+")
 _FACTOR = np.random.default_rng(51).integers(0, 1 << 64, (2, 8), dtype=np.uint64) | np.uint64(1)
 
 
-class _Codes(dict):
+class Codes(dict):
     """Two random 64-bit numbers for each word, as bytes, the same in every process."""
 
     def __missing__(self, word: str) -> bytes:
@@ -74,88 +64,47 @@ def _least(h: np.ndarray, width: int) -> np.ndarray:
     return np.minimum(h[: h.size - (width - m)], h[width - m :]) if m < width else h
 
 
-def _numbers(text: str, codes: _Codes) -> np.ndarray | None:
-    """Two rows of numbers by word, or None where there are fewer words than a window has."""
-    words = _WORD.findall(text)
-    return np.frombuffer(b"".join([codes[w] for w in words]), "<u8").reshape(-1, 2).T.copy() if len(words) >= LEAST_RUN else None
-
-
-def _window_keys(numbers: np.ndarray) -> np.ndarray:
-    return _least(_runs(numbers[0], _FACTOR[0], GRAM), LEAST_RUN - GRAM + 1).view(np.int64)
-
+class Windows:
+    """The windows of one text: their keys, and their hashes when asked; ``size`` is 0 where there are fewer words than a window has."""
 
-def repeated_passages(docs: DataFrame) -> DataFrame:
-    """(doc_id, windows): the first words of the windows that an earlier document holds, by number; for (doc_id, text)."""
-    known = docs.where("doc_id is not null")
+    def __init__(self, words: list[str], codes: Codes):
+        self.size = max(0, len(words) - LEAST_RUN + 1)
+        if self.size:
+            self.numbers = np.frombuffer(b"".join([codes[w] for w in words]), "<u8").reshape(-1, 2).T.copy()
+            self.keys = _least(_runs(self.numbers[0], _FACTOR[0], GRAM), LEAST_RUN - GRAM + 1).view(np.int64)
 
-    def keys(batches):
-        codes = _Codes()
-        for batch in slices(batches):
-            ids, found = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
-            for doc, text in zip(batch.column("doc_id").to_pylist(), batch.column("text").to_pylist(), strict=True):
-                if (numbers := _numbers(text, codes)) is not None:
-                    found.append(np.unique(_window_keys(numbers)))
-                    ids.append(np.full(found[-1].size, doc, np.int64))
-            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(ids)), pa.array(np.concatenate(found))], names=["doc_id", "key"])
+    def segments(self) -> tuple[np.ndarray, np.ndarray]:
+        """(start, end) of the runs of windows with one key, in order."""
+        edge = np.flatnonzero(np.diff(self.keys)) + 1
+        return np.concatenate([[0], edge]), np.append(edge, self.size)
 
-    every = checkpointed(known.mapInArrow(keys, "doc_id long, key long"))
-    shared = every.groupBy("key").agg(F.min("doc_id").alias("a"), F.max("doc_id").alias("b")).where("a < b").select("key")
-    asked = every.join(shared, "key").groupBy("doc_id").agg(F.collect_set("key").alias("keys"))
+    def hashes(self) -> np.ndarray:
+        return _runs(self.numbers[1], _FACTOR[1], LEAST_RUN).view(np.int64)
 
-    def digests(batches):
-        codes = _Codes()
-        for batch in slices(batches):
-            parts = [(np.zeros(0, np.int64),) * 4]
-            for doc, text, own in zip(*(batch.column(c).to_pylist() for c in ("doc_id", "text", "keys")), strict=True):
-                if (numbers := _numbers(text, codes)) is not None:
-                    at = np.flatnonzero(np.isin(_window_keys(numbers), np.array(own, np.int64)))
-                    a, b = (_runs(numbers[k], _FACTOR[k], LEAST_RUN)[at].view(np.int64) for k in (0, 1))
-                    parts.append((np.full(at.size, doc, np.int64), at, a, b))
-            columns = [pa.array(np.concatenate(c)) for c in zip(*parts, strict=True)]
-            columns[1] = columns[1].cast(pa.int32())
-            yield pa.RecordBatch.from_arrays(columns, names=["doc_id", "at", "a", "b"])
 
-    windows = checkpointed(known.select("doc_id", "text").join(asked, "doc_id").mapInArrow(digests, "doc_id long, at int, a long, b long"))
-    first = windows.groupBy("a", "b").agg(F.min("doc_id").alias("first"), F.max("doc_id").alias("last")).where("first < last").drop("last")
-    return windows.join(first, ["a", "b"]).where("doc_id > first").groupBy("doc_id").agg(F.array_sort(F.collect_set("at")).alias("windows"))
+def ranges_of_words(words: list[tuple[int, int]], windows: list[tuple[int, int]]) -> list[tuple[int, int]]:
+    """(start, end) in code points of the words in a row that runs (first window, number of windows) cover."""
+    covered = merged([(at, at + n + LEAST_RUN - 1) for at, n in windows])
+    return [(words[a][0], words[b - 1][1]) for a, b in covered]
 
 
-def spans_of(text: str, windows: list[int]) -> list[tuple[int, int]]:
-    """(start, end) in code points of what the windows cover, in order and apart; windows are in order."""
-    places = [m.span() for m in _WORD.finditer(text)]
+def merged(spans: list[tuple[int, int]]) -> list[tuple[int, int]]:
+    """Spans in order, with those that overlap or touch made one."""
     out: list[tuple[int, int]] = []
-    begin = end = -1
-    for w in windows:
-        if w + LEAST_RUN > len(places):
-            continue  # of another text of this id
-        if w > end:
-            if end >= 0:
-                out.append((places[begin][0], places[end - 1][1]))
-            begin = w
-        end = w + LEAST_RUN
-    return [*out, (places[begin][0], places[end - 1][1])] if end >= 0 else out
-
-
-def without(text: str, spans: list[tuple[int, int]], gone: set[int], separator: str = "\n") -> str:
-    """The text without the lines ``gone`` by number and without the spans; a line of which only blanks are left goes too."""
-    kept, start, k = [], 0, 0
-    for n, line in enumerate(text.split(separator)):
-        end = start + len(line)
-        while k < len(spans) and spans[k][1] <= start:
-            k += 1
-        if n not in gone:
-            left, at, j = "", start, k
-            while j < len(spans) and spans[j][0] < end:
-                part = text[at : max(at, spans[j][0])]
-                left += part[1:] if left[-1:].isspace() and part[:1].isspace() else part
-                at = min(end, spans[j][1])
-                j += 1
-            if j == k:
-                kept.append(line)
-            else:
-                part = text[at:end]
-                left += part[1:] if left[-1:].isspace() and part[:1].isspace() else part
-                if left.strip():
-                    kept.append(left)
-        start = end + len(separator)
-    return separator.join(kept)
+    for a, b in sorted(spans):
+        if a == b:
+            continue
+        if out and a <= out[-1][1]:
+            out[-1] = (out[-1][0], max(b, out[-1][1]))
+        else:
+            out.append((a, b))
+    return out
+
+
+def without(text: str, spans: list[tuple[int, int]]) -> str:
+    """The text without the spans, which are in order and apart."""
+    kept, at = [], 0
+    for a, b in spans:
+        kept.append(text[at:a])
+        at = b
+    return "".join([*kept, text[at:]])

@@ -261,55 +261,71 @@ def test_resampling_matches_direct_filter():
         assert np.allclose(resample(x, up, down), want[: resample(x, up, down).size], atol=1e-4)
 
 
+def brute_units(rows):
+    """What op8 keeps of each (doc_id, text), by a plain reading of its rule."""
+    from spanforge.llm.passages import WORD
+
+    lines, windows, out = {}, {}, {}
+    known = sorted({(i, t) for i, t in rows if i is not None and t}, key=lambda r: r[0])
+    plain = lambda line: re.sub(r"[ \t\n\r\f\v]+", " ", line.lower()).strip(" ")
+    for i, t in known:
+        for n, line in enumerate(t.split("\n")):
+            lines.setdefault(plain(line), (i, n))
+        w = [x.lower() for x in WORD.findall(t)]
+        for k in range(len(w) - 49):
+            windows.setdefault(tuple(w[k : k + 50]), i)
+    for i, t in known:
+        gone, start = bytearray(len(t)), 0
+        for n, line in enumerate(t.split("\n")):
+            if len(WORD.findall(line)) >= 8 and lines[plain(line)] != (i, n):
+                gone[start : start + len(line) + 1] = b"\1" * len(gone[start : start + len(line) + 1])
+            start += len(line) + 1
+        at = [m.span() for m in WORD.finditer(t)]
+        hit = {k + n for k in range(len(at) - 49) if windows[tuple(t[a:b].lower() for a, b in at[k : k + 50])] < i for n in range(50)}
+        for k in hit:
+            a, b = at[k][0], at[k + 1][0] if k + 1 in hit else at[k][1]
+            gone[a:b] = b"\1" * (b - a)
+        out[i, t] = "".join(c for c, g in zip(t, gone, strict=True) if not g)
+    return out
+
+
 def test_line_dedup(docs, empty, rows):
-    from spanforge.llm.line_dedup import dedup_lines
-
-    seen, want = set(), {}
-    for i, t, *_ in sorted(rows):
-        kept = []
-        for line in (t or "").split("\n"):
-            plain = re.sub(r"[ \t\n\r\f\v]+", " ", line.lower()).strip(" ")
-            if len(plain.split(" ")) < 8 or plain not in seen:
-                kept.append(line)
-            if len(plain.split(" ")) >= 8:
-                seen.add(plain)
-        want[i] = "\n".join(kept)
-    got = dedup_lines(docs).collect()
-    assert {r.doc_id: r.kept for r in got} == want
-    texts = {i: t or "" for i, t, *_ in rows}
-    assert all("\n" not in texts[r.doc_id][s.start : s.start + s.length] for r in got for s in r.removed)
-    assert dedup_lines(empty).count() == 0
+    from spanforge.llm.line_dedup import dedup_units
+
+    want = brute_units([(i, t) for i, t, *_ in rows])
+    got = dedup_units(docs).collect()
+    assert len(got) == len(rows) and all(r.kept == want.get((r.doc_id, r.text), r.text) for r in got)
+    for r in got:
+        left = list(r.text)
+        for s in r.removed:
+            left[s.start : s.start + s.length] = [""] * s.length
+        assert "".join(left) == r.kept
+    assert dedup_units(empty).count() == 0
 
 
-def test_repeated_passages_within_lines(spark):
-    from spanforge.llm.line_dedup import without_repeated_lines
-    from spanforge.llm.passages import _WORD
+def test_repeated_paragraphs(spark):
+    from spanforge.llm.line_dedup import dedup_units, without_repeated_units
 
     rng = random.Random(6)
     word = lambda: "".join(rng.choice("abcdefgh") for _ in range(5))
     own = lambda n: " ".join(word() for _ in range(n))
     passage, short, signs = own(55), own(49), "".join(chr(0x4E00 + rng.randrange(3000)) for _ in range(60))
     in_lines = "\n".join(" ".join(passage.split()[k : k + 5]) for k in range(0, 55, 5))
-    texts = {
-        1: f"{own(30)} {passage} {own(9)}\n{own(4)}", 2: f"{own(3)} {passage.upper()}, {own(8)}\n{own(60)}", 3: f"{own(6)}\n{in_lines}\n{own(6)}",
-        4: f"{own(20)} {short} {own(20)}", 5: f"{own(9)} {short} {own(9)}", 6: f"{own(9)}{signs}", 7: f"{own(2)} {signs}.{own(60)}", 8: f"{passage} {own(5)} {passage}",
-        9: own(70), 10: "", 11: None,
-    }
-    words = {i: [w.lower() for w in _WORD.findall(t or "")] for i, t in texts.items()}
-    first = {}
-    for i, w in words.items():
-        for k in range(len(w) - 49):
-            first.setdefault(tuple(w[k : k + 50]), i)
-    want = {}
-    for i, w in words.items():
-        out = {k + n for k in range(len(w) - 49) if first[tuple(w[k : k + 50])] < i for n in range(50)}
-        want[i] = [x for k, x in enumerate(w) if k not in out]
-    df = spark.createDataFrame([(i, t, len(t or "")) for i, t in texts.items()], "doc_id long, text string, n_chars long").repartition(3)
-    got = {r.doc_id: r for r in without_repeated_lines(df).collect()}
-    assert {i: [w.lower() for w in _WORD.findall(r.text or "")] for i, r in got.items()} == want
-    assert sum(len(words[i]) - len(w) for i, w in want.items()) == 55 * 4 + 60
-    assert all(got[i].text == texts[i] for i in (1, 4, 5, 6, 9, 10, 11)) and all(r.n_chars == (None if r.text is None else len(r.text)) for r in got.values())
-    assert got[2].text == texts[2].replace(passage.upper(), "") and got[3].text.count("\n") == 1
+    whole = own(80)
+    rows = [
+        (1, f"{own(30)} {passage} {own(9)}\n{own(4)}"), (2, f"{own(3)} {passage.upper()}, {own(8)}\n{own(60)}"), (3, f"{own(6)}\n{in_lines}\n{own(6)}"),
+        (4, f"{own(20)} {short} {own(20)}"), (5, f"{own(9)} {short} {own(9)}"), (6, f"{own(9)}{signs}"), (7, f"{own(2)} {signs}.{own(60)}"), (8, f"{passage} {own(5)} {passage}"),
+        (9, own(70)), (10, ""), (11, None), (12, whole), (13, whole), (14, whole.replace(" ", "\n")), (14, own(60)), (15, whole[:-7] + own(30)), (15, whole[:-7] + own(30)),
+        (16, own(20) + " again " * 60), (None, whole), (17, whole + " " + signs), (17, whole + " " + signs),
+    ]
+    df = spark.createDataFrame([(i, t, len(t or ""), 1, 2) for i, t in rows], "doc_id long, text string, n_chars long, tag int, a int").repartition(3)
+    want = brute_units(rows)
+    got = dedup_units(df).collect()
+    assert len(got) == len(rows) and all(r.kept == want.get((r.doc_id, r.text), r.text) for r in got)
+    assert sum(len(r.kept) < len(r.text) for r in got) == 10
+    left = sorted((str(r.doc_id), r.text or "", r.n_chars) for r in without_repeated_units(df).collect())
+    assert left == sorted((str(i), k, len(k) if t is not None else None) for i, t in rows for k in [want.get((i, t), t or "")])
+    assert without_repeated_units(df.where("false")).count() == 0
 
 
 def test_warc(spark):
