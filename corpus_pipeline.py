@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from spanforge.llm.common import shared_dir, table
 from spanforge.llm.jaccard_join import one_of_each
-from spanforge.llm.line_dedup import without_repeated_lines
+from spanforge.llm.line_dedup import without_repeated_units
 from spanforge.llm.packing import pack_documents
 from spanforge.llm.pii import redact_documents
 from spanforge.llm.toxicity import without_toxic
@@ -29,8 +29,8 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 
 def repeated_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Lines and passages of 50 words or more that an earlier document holds go; the documents stay."""
-    return without_repeated_lines(docs)
+    """Lines, and passages of 50 words or more, that an earlier document holds go; the documents stay."""
+    return without_repeated_units(docs)
 
 
 def personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
