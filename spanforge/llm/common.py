@@ -74,18 +74,37 @@ def written(df: DataFrame) -> DataFrame:
 
 #: At most this many keys of a join count as hot, so what is broadcast has this many rows at most.
 HOT_KEYS = 2000
+#: Words of 64 bits in a filter of keys: it never has more rows than this, whatever it is made from.
+FILTER_WORDS = 1 << 18
+
+
+def _filter_bit(keys: list[str]) -> tuple[Column, Column]:
+    h = F.xxhash64(F.lit(41), *keys)
+    return F.pmod(h, F.lit(FILTER_WORDS)), F.call_function("shiftleft", F.lit(1).cast("long"), F.shiftrightunsigned(h, 40).bitwiseAND(F.lit(63).cast("long")).cast("int"))
+
+
+def marked_by(df: DataFrame, held: DataFrame, keys: list[str], name: str = "_may") -> DataFrame:
+    """The rows with a column that is true for all whose keys ``held`` has, and for some others: few while it has few million keys.
+
+    The filter is broadcast; it has FILTER_WORDS rows at most.
+    """
+    word, bit = _filter_bit(keys)
+    words = held.select(word.alias("_word"), bit.alias("_bit")).groupBy("_word").agg(F.bit_or("_bit").alias("_bits"))
+    marked = df.withColumn("_word", word).join(F.broadcast(words), "_word", "left")
+    return marked.withColumn(name, F.coalesce(F.col("_bits").bitwiseAND(bit) != 0, F.lit(False))).drop("_word", "_bits")
 
 
 def join_hot(left: DataFrame, right: DataFrame, keys: list[str], n_left: int, n_col: str = "n") -> DataFrame:
     """An inner join with rows unique by key; ``n_col`` of these says how often the key stands in ``left``, which has ``n_left`` rows.
 
-    Keys of more than ``n_left / HOT_KEYS`` rows, which HOT_KEYS can be at most, are broadcast; the others are joined by a shuffle, where none is large.
-    ``left`` is read twice, so it should be a table or a light plan over one.
+    Keys of more than ``n_left / HOT_KEYS`` rows, which HOT_KEYS can be at most, are broadcast; the others are joined by a shuffle, where none is large
+    and from which a filter of keys keeps most rows without a partner. ``left`` is read twice, so it should be a table or a light plan over one.
     """
+    right = written(right)
     often = max(1000, n_left // HOT_KEYS)
-    hot = F.broadcast(right.where(F.col(n_col) > often))
-    cold = left.join(hot.select(*keys), keys, "left_anti").join(right.where(F.col(n_col) <= often), keys)
-    return left.join(hot, keys).unionByName(cold).drop(n_col)
+    hot = right.where(F.col(n_col) > often)
+    cold = right.where(F.col(n_col) <= often)
+    return left.join(F.broadcast(hot), keys).unionByName(marked_by(left, cold, keys).where("_may").drop("_may").join(cold, keys)).drop(n_col)
 
 
 def tokenizer_path(name: str) -> str:

@@ -25,13 +25,13 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from spanforge.llm.common import id_and_text, join_hot, slices, table, written
+from spanforge.llm.common import id_and_text, join_hot, marked_by, slices, table, written
 from spanforge.llm.passages import LEAST_RUN, WORD, Codes, Windows, merged, ranges_of_words, without
 
 LEAST_WORDS = 8
 
 _BLANKS = re.compile(r"\s+", re.ASCII)
-_LINE, _KEY, _WINDOWS, _STANDS = range(4)
+_LINE, _KEY, _WINDOWS, _COPY = range(4)
 
 
 def normalised(unit: str) -> str:
@@ -123,12 +123,14 @@ def single_windows(segments: DataFrame) -> DataFrame:
 def repeated_windows(rows: DataFrame, keys: DataFrame, n_rows: int, stands: DataFrame) -> DataFrame:
     """(doc_id, tag, at, size): runs of windows that a document with a smaller id holds, in the texts that stand for their copies."""
     shared = keys.groupBy("key").agg(F.min("tag").alias("one"), F.max("tag").alias("other"), F.count(F.lit(1)).alias("n")).where("one <> other").select("key", "n")
-    asked = join_hot(keys, shared, ["key"], n_rows).groupBy("doc_id", "tag").agg(F.collect_set("key").alias("keys")).join(stands, ["doc_id", "tag"], "left_semi")
-    segments = written(shared_segments(rows.join(asked, ["doc_id", "tag"])))
+    asked = written(join_hot(keys, shared, ["key"], n_rows).groupBy("doc_id", "tag").agg(F.collect_set("key").alias("keys")).join(stands, ["doc_id", "tag"], "left_semi"))
+    texts = marked_by(rows, asked, ["doc_id", "tag"]).where("_may").drop("_may")
+    segments = written(shared_segments(texts.join(asked, ["doc_id", "tag"])))
     n_segments = segments.count()
-    contents = segments.groupBy("key", "digest").agg(F.min("doc_id").alias("least"), F.count(F.lit(1)).alias("n"))
+    contents = written(segments.groupBy("key", "digest").agg(F.min("doc_id").alias("least"), F.count(F.lit(1)).alias("n")))
     whole = join_hot(segments.drop("hashes"), contents.where("n > 1"), ["key", "digest"], n_segments).where("doc_id > least").select("doc_id", "tag", "at", "size")
-    several = contents.join(contents.groupBy("key").agg(F.count(F.lit(1)).alias("m")).where("m > 1"), "key").select("key", "digest", F.col("least").alias("doc_id"))
+    apart = contents.groupBy("key").agg(F.min("least").alias("one"), F.max("least").alias("other"), F.count(F.lit(1)).alias("n")).where("one <> other").select("key", "n")
+    several = join_hot(contents.select("key", "digest", F.col("least").alias("doc_id")), apart, ["key"], n_segments)
     windows = written(single_windows(segments.join(several, ["key", "digest", "doc_id"])))
     first = windows.groupBy("key", "hash").agg(F.min("doc_id").alias("first"), F.max("doc_id").alias("last"), F.count(F.lit(1)).alias("n")).where("first < last").drop("last")
     single = join_hot(windows, first, ["key", "hash"], windows.count()).where("doc_id > first").select("doc_id", "tag", "at", F.lit(1).alias("size"))
@@ -139,12 +141,13 @@ _PLACES = "array<struct<kind:int,at:int,size:int>>"
 
 
 def repeated_units(docs: DataFrame) -> DataFrame:
-    """(doc_id, tag, places): what goes, by kind, for each text that stands for its copies or has lines that go; rows are (doc_id, text).
+    """(doc_id, tag, places): what goes, by kind, for each text that loses something; rows are (doc_id, text).
 
-    A row of kind _STANDS says that a text is the first of its copies; a text without it loses all windows.
+    A place of kind _COPY says that a text is not the first of its copies, so it loses all windows.
     """
     rows = docs.where("doc_id is not null").select("doc_id", F.xxhash64("text").alias("tag"), "text")
-    stands = rows.groupBy(F.md5("text").alias("same")).agg(F.min(F.struct("doc_id", "tag")).alias("s")).select("s.doc_id", "s.tag")
+    own = rows.select("doc_id", "tag", F.md5("text").alias("same"))
+    stands = written(own.groupBy("same").agg(F.min(F.struct("doc_id", "tag")).alias("s")).select("s.doc_id", "s.tag"))
     every = written(units(rows))
     n_rows = every.count()
     lines = repeated_lines(every.where(F.col("kind") == _LINE).dropDuplicates(["doc_id", "tag", "at"]), n_rows)
@@ -152,15 +155,15 @@ def repeated_units(docs: DataFrame) -> DataFrame:
     place = lambda kind, at, size: F.struct(F.lit(kind).alias("kind"), at.cast("int").alias("at"), size.cast("int").alias("size")).alias("place")
     gone = lines.select("doc_id", "tag", place(_LINE, F.col("at"), F.lit(0)))
     gone = gone.unionByName(windows.select("doc_id", "tag", place(_WINDOWS, F.col("at"), F.col("size"))))
-    gone = gone.unionByName(stands.select("doc_id", "tag", place(_STANDS, F.lit(0), F.lit(0))))
-    return gone.groupBy("doc_id", "tag").agg(F.collect_set("place").alias("places"))
+    gone = gone.unionByName(own.join(stands, ["doc_id", "tag"], "left_anti").select("doc_id", "tag", place(_COPY, F.lit(0), F.lit(0))))
+    return written(gone.groupBy("doc_id", "tag").agg(F.collect_set("place").alias("places")))
 
 
 def spans_of(text: str, places: list[dict]) -> list[tuple[int, int]]:
     """(start, end) in code points of what goes, in order and apart."""
     lines = {p["at"] for p in places if p["kind"] == _LINE}
     windows = [(p["at"], p["size"]) for p in places if p["kind"] == _WINDOWS]
-    copy = not any(p["kind"] == _STANDS for p in places)
+    copy = any(p["kind"] == _COPY for p in places)
     spans = []
     if copy or windows:
         words = [m.span() for m in WORD.finditer(text)]
@@ -178,10 +181,15 @@ def spans_of(text: str, places: list[dict]) -> list[tuple[int, int]]:
 
 
 def _marked(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """The documents, all columns, and with them the places of repeated units in a column of its own."""
+    """The documents, all columns, and with them the places of repeated units in a column of its own, null where there are none.
+
+    Most documents lose nothing, and a filter lets these pass without a shuffle.
+    """
     given = docs.withColumns({"_doc": F.col(id_col).cast("long"), "_tag": F.xxhash64(F.coalesce(F.col(text_col).cast("string"), F.lit("")))})
     gone = repeated_units(id_and_text(docs, id_col, text_col)).select(F.col("doc_id").alias("_doc"), F.col("tag").alias("_tag"), F.col("places").alias("_places"))
-    return given.join(gone, ["_doc", "_tag"], "left").select(*docs.columns, F.when(F.col("_doc").isNotNull(), F.coalesce("_places", F.expr(f"cast(array() as {_PLACES})"))).alias("_places"))
+    given = marked_by(given, gone, ["_doc", "_tag"])
+    touched = given.where("_may").join(gone, ["_doc", "_tag"], "left").select(*docs.columns, "_places")
+    return touched.unionByName(given.where("not _may").select(*docs.columns, F.lit(None).cast(_PLACES).alias("_places")))
 
 
 def dedup_units(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
