@@ -14,7 +14,7 @@ def _to_least(pairs: DataFrame) -> DataFrame:
     return pairs.join(least, "u")
 
 
-def connected_components(edges: DataFrame, most_rounds: int = 50) -> DataFrame:
+def connected_components(edges: DataFrame) -> DataFrame:
     """(node, component) of every node of edges (a, b); a component is its smallest node. Edges from a node to itself name it only.
 
     A large star links a node's larger neighbours to its least one, a small star the smaller ones; each round keeps the
@@ -25,7 +25,7 @@ def connected_components(edges: DataFrame, most_rounds: int = 50) -> DataFrame:
         edges.where("a <> b").select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct()
     )
     state = None
-    for _ in range(most_rounds):
+    while True:
         both = e.union(e.select(F.col("v").alias("u"), F.col("u").alias("v")))
         large = _to_least(both).where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
         stars = _to_least(large)
@@ -35,7 +35,5 @@ def connected_components(edges: DataFrame, most_rounds: int = 50) -> DataFrame:
         if now == state:
             break
         state = now
-    else:
-        raise RuntimeError("components did not settle")
     roots = e.groupBy("u").agg(F.min("v").alias("component")).withColumnRenamed("u", "node")
     return nodes.join(roots, "node", "left").select("node", F.coalesce("component", "node").alias("component"))

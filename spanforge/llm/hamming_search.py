@@ -8,7 +8,7 @@ within that; the others go on. The last radius is the width of a part, which cov
 Equal codes are one entry with its k + 1 smallest ids, which is all that a top-k by (distance, id) can need, so a vector that a
 third of all rows share is one entry. Rounds are checkpointed; what a round keeps is k rows a query.
 
-Edge cases: null vectors and null ids are left out; null elements are no sign (bit 0); repeated ids count once; the query itself is no
+Edge cases: null vectors and null ids are left out; null elements are no sign (bit 0); vectors of over BITS dimensions are an error; repeated ids count once; the query itself is no
 result; ties go to the smaller id; fewer than k other rows give fewer results; an empty table gives an empty result.
 """
 
@@ -30,9 +30,10 @@ _WIDTH = BITS // SEGMENTS
 
 
 def sign_code(vector: Column) -> Column:
-    """64 bits: bit i is set where element i is at least 0."""
+    """64 bits: bit i is set where element i is at least 0. A shorter vector's other bits are 0; a longer one is an error, as none of it may be left out."""
     bit = lambda x, i: F.when(x >= 0, F.call_function("shiftleft", F.lit(1).cast("long"), i)).otherwise(F.lit(0).cast("long"))
-    return F.aggregate(F.transform(F.slice(vector, 1, BITS), bit), F.lit(0).cast("long"), lambda a, b: a.bitwiseOR(b))
+    code = F.aggregate(F.transform(vector, bit), F.lit(0).cast("long"), lambda a, b: a.bitwiseOR(b))
+    return F.when(F.size(vector) > BITS, F.raise_error(F.lit(f"a vector has more than {BITS} dimensions")).cast("long")).otherwise(code)
 
 
 def _part(code: Column, n: int) -> Column:

@@ -12,8 +12,11 @@ class. For the others:
    exactly as sorted arrays. A tile gives a spanning forest of its links, not all of them.
 4. The forests' components are the result.
 
+Sets are of 64-bit hashes of shingles.
+
 Edge cases: null, empty and blank texts have no shingles and are alone; fewer than five words count as one shingle; repeated rows
-and copies are one class; extra columns are ignored; an empty table gives an empty result.
+and copies are one class; two texts under one id are two documents, of which each has the component of its own links; a row with a null id
+is linked with nothing and has no component; extra columns are ignored; an empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -22,11 +25,12 @@ import hashlib
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import BinaryType, StructField, StructType
 
 from spanforge.llm import batches as B
-from spanforge.llm.common import bucket, checkpointed, id_and_text, table
+from spanforge.llm.common import bucket, checkpointed, id_and_text, slices, table
 from spanforge.llm.components import connected_components
 from spanforge.llm.shingles import shingle_sets
 
@@ -217,36 +221,79 @@ def into_tiles(groups: DataFrame, n_sets: int) -> DataFrame:
     return small.unionByName(large)
 
 
-def near_duplicate_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(doc_id, n_shingles, component_id) of every document."""
-    plain = id_and_text(docs, id_col, text_col)
+def class_nodes(every: DataFrame) -> DataFrame:
+    """(digest, rep, node): each distinct set, its smallest document, and a number of its own.
+
+    That is the document's id but where one id is the smallest of several sets: the others get a hash.
+    """
+    classes = every.where("n > 0").groupBy("digest").agg(F.min("doc_id").alias("rep"))
+    first = F.row_number().over(Window.partitionBy("rep").orderBy("digest")) == 1
+    return classes.withColumn("node", F.when(first, F.col("rep")).otherwise(F.xxhash64("rep", "digest")))
+
+
+def set_sizes(docs: DataFrame) -> DataFrame:
+    """(doc_id, n_shingles) of every text."""
+
+    def size(batches):
+        for batch in slices(batches):
+            sizes = [s.size for s in shingle_sets(batch.column("text").to_pylist())]
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(sizes, pa.int64())], names=["doc_id", "n_shingles"])
+
+    return docs.mapInArrow(size, "doc_id long, n_shingles long")
+
+
+def _components(plain: DataFrame) -> DataFrame:
+    """(doc_id, n, digest, root, component) of every row: ``root`` is a component's own number, ``component`` its smallest id; digest and root are null where a text has no shingles."""
     _, n_bytes = B.size_of(plain)
     n_batches = B.batch_count(n_bytes)
     dealt, stands = B.batched(plain, n_batches), B.first_copies(plain, n_batches)
     answers = B.answers(shingle_questions(dealt, stands, n_batches)).withColumn("kind", F.lit(1))
     every = checkpointed(document_sets(dealt, stands.unionByName(answers), n_batches))
-    classes = checkpointed(every.where("n > 0").groupBy("digest").agg(F.min("doc_id").alias("rep")))
+    classes = checkpointed(class_nodes(every))
     # sets stay where they are until tiles are known; prefixes, sizes and groups are all that moves before
-    first = every.where("prefix is not null").select("doc_id", "n", "digest", "prefix").join(classes, (every.doc_id == classes.rep) & (every.digest == classes.digest), "left_semi")
-    posted = first.select("doc_id", F.explode("prefix").alias("shingle")).repartition("shingle")
-    least = posted.groupBy("shingle").agg(F.min("doc_id").alias("a"), F.max("doc_id").alias("most")).where("a <> most").select("shingle", "a")
-    shared = posted.join(least, "shingle").select("a", F.col("doc_id").alias("b")).where("a <> b").distinct()
-    hanging = connected_components(shared).select(F.col("node").alias("doc_id"), F.col("component").alias("grp"))
-    groups = checkpointed(hanging.join(first.groupBy("doc_id").agg(F.max("n").alias("n")), "doc_id"))
+    posting = every.where("prefix is not null")
+    own = (posting.doc_id == classes.rep) & (posting.digest == classes.digest)
+    first = posting.select("doc_id", "n", "digest", "prefix").join(classes, own).select("node", "n", "prefix")
+    posted = first.select("node", F.explode("prefix").alias("shingle"))
+    least = posted.groupBy("shingle").agg(F.min("node").alias("a"), F.max("node").alias("most")).where("a <> most").select("shingle", "a")
+    shared = posted.join(least, "shingle").select("a", F.col("node").alias("b")).where("a <> b").distinct()
+    hanging = connected_components(shared).select("node", F.col("component").alias("grp"))
+    groups = checkpointed(hanging.join(first.groupBy("node").agg(F.max("n").alias("n")), "node").withColumnRenamed("node", "doc_id"))
     tiles = into_tiles(groups, groups.count())
-    sets = every.where("prefix is not null").select("doc_id", "shingles").join(groups.select("doc_id"), "doc_id", "left_semi")
-    found = tile_links(tiles.join(sets, "doc_id"))
-    joined = connected_components(found)
-    by_class = classes.join(joined, classes.rep == joined.node, "left").select("digest", F.coalesce("component", "rep").alias("component"))
+    sets = posting.select("doc_id", "digest", "shingles").join(classes, own).select(F.col("node").alias("doc_id"), "shingles").join(groups.select("doc_id"), "doc_id", "left_semi")
+    joined = classes.join(connected_components(tile_links(tiles.join(sets, "doc_id"))), "node", "left").withColumn("component", F.coalesce("component", "node"))
+    smallest = joined.groupBy("component").agg(F.min("rep").alias("least"))
+    by_class = joined.join(smallest, "component").select("digest", F.col("component").alias("root"), F.col("least").alias("component"))
     return every.select("doc_id", "n", F.when(F.col("n") > 0, F.col("digest")).alias("digest")).join(by_class, "digest", "left").select(
-        "doc_id", F.col("n").alias("n_shingles"), F.coalesce("component", "doc_id").alias("component_id")
+        "doc_id", "n", "digest", "root", F.coalesce("component", "doc_id").alias("component")
     )
 
 
+def near_duplicate_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """(doc_id, n_shingles, component_id) of every document."""
+    plain = id_and_text(docs, id_col, text_col)
+    found = _components(plain.where("doc_id is not null")).select("doc_id", F.col("n").alias("n_shingles"), F.col("component").alias("component_id"))
+    return found.unionByName(set_sizes(plain.where("doc_id is null")).withColumn("component_id", F.lit(None).cast("long")))
+
+
 def one_of_each(docs: DataFrame) -> DataFrame:
-    """The documents, all columns, that are the smallest of their component; repeated rows of one id count once."""
-    kept = near_duplicate_components(docs).where("component_id = doc_id").select("doc_id").distinct()
-    return docs.join(kept, "doc_id", "left_semi").dropDuplicates(["doc_id"])
+    """The documents, all columns, that are the smallest of their component.
+
+    Of repeated rows, and of one id's texts in one component, one stays; other texts under that id are documents of their own. Rows with a null id stay.
+    """
+    ours = _components(id_and_text(docs).where("doc_id is not null")).where("component = doc_id")
+    kept = ours.groupBy("doc_id", "root").agg(F.min("digest").alias("_set")).select(F.col("doc_id").alias("_doc"), "_set")
+
+    def digests(batches):
+        for batch in slices(batches):
+            sets = shingle_sets([t or "" for t in batch.column("text").to_pylist()])
+            own = pa.array([hashlib.md5(s.tobytes(), usedforsecurity=False).digest() if s.size else None for s in sets], pa.binary())
+            yield pa.RecordBatch.from_arrays([*batch.columns, own], names=[*batch.schema.names, "_digest"])
+
+    marked = docs.where("doc_id is not null").mapInArrow(digests, StructType([*docs.schema.fields, StructField("_digest", BinaryType())]))
+    same = (F.col("doc_id").cast("long") == F.col("_doc")) & F.col("_digest").eqNullSafe(F.col("_set"))
+    one = marked.join(kept, same, "left_semi").dropDuplicates(["doc_id", "_digest"]).select(*docs.columns)
+    return one.unionByName(docs.where("doc_id is null"))
 
 
 def op6_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -5,7 +5,7 @@ random group of documents are packed by first-fit decreasing; a tournament tree
 bin that a piece fits in O(log bins). Groups hold about GROUP_DOCS documents whatever the input's size, so more data means
 more groups and not larger ones, and only the last bins of a group are left partly empty.
 
-Edge cases: a null or empty text is its separator alone; repeated rows are packed as often as they occur; pieces of equal
+Edge cases: a null or empty text is its separator alone; a null id is an id like others; repeated rows are packed as often as they occur; pieces of equal
 length are taken in the order of document and start; extra columns are ignored; an empty table gives an empty result.
 """
 
@@ -28,7 +28,7 @@ from spanforge.llm.common import bucket, id_and_text, slices, table, tokenizer_p
 SEQUENCE_TOKENS = 2048
 SEPARATOR_ID = 1
 GROUP_DOCS = 4096
-WORD_ENTRIES = 700_000
+WORD_ENTRIES = 250_000
 
 PIECES = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long"
 PACKED = f"{PIECES}, sequence_id long, offset long"

@@ -18,8 +18,8 @@ A text that a third of all documents have is one content a batch. Copies of a wh
 all this; a copy loses all of its bytes if it has LENGTH of them.
 
 Edge cases: a null or empty text loses nothing; texts shorter than LENGTH bytes neither lose nor cause anything; rows with one
-id and equal texts have equal results, as an id is not smaller than itself; extra columns are ignored; an empty table gives
-an empty result.
+id, of equal or different texts, don't touch each other, as an id is not smaller than itself; a row with a null id neither loses nor causes
+anything; extra columns are ignored; an empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -108,10 +108,10 @@ class _Batch:
     def __init__(self, group: pa.Table, stands: set[int], n_shards: int):
         self.ids, texts = B.texts_of(group)
         self.raw = [t.encode() for t in texts]
-        chosen: dict[int, int] = {}
+        chosen: dict[tuple[int, bytes], int] = {}
         for k, doc in enumerate(self.ids):
             if doc in stands:
-                chosen.setdefault(doc, k)
+                chosen.setdefault((doc, self.raw[k]), k)
         self.own = sorted(chosen.values())
         self.doc, self.start, self.width, hashes = segments([self.raw[k] for k in self.own])
         self.keys, self.key_of = np.unique(hashes, return_inverse=True)
@@ -359,7 +359,8 @@ def _covered(own: _Batch, contents: _Contents, settled: dict[int, tuple[bytes, b
 
 def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(doc_id, n_bytes, spans, kept) of every document."""
-    plain = id_and_text(docs, id_col, text_col)
+    every = id_and_text(docs, id_col, text_col)
+    plain = every.where("doc_id is not null")
     _, n_bytes = B.size_of(plain)
     n_batches = B.batch_count(n_bytes)
     dealt = B.batched(plain, n_batches)
@@ -409,7 +410,10 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     )
     told = stands.unionByName(again)
     settled = settle(B.with_told(dealt, told).applyInArrow(send, CONTENTS))
-    return B.with_told(dealt, told.unionByName(settled)).applyInArrow(remove, REMOVED)
+    nameless = every.where("doc_id is null").select(
+        "doc_id", F.octet_length("text").cast("long").alias("n_bytes"), F.expr("cast(array() as array<struct<start:long,end:long>>)").alias("spans"), F.encode("text", "UTF-8").alias("kept")
+    )
+    return B.with_told(dealt, told.unionByName(settled)).applyInArrow(remove, REMOVED).unionByName(nameless)
 
 
 def op1_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

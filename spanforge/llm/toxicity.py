@@ -29,13 +29,13 @@ from spanforge.llm.common import checkpointed, id_and_text, slices, table, with_
 
 #: Most labelled documents of each label that the classifier is fitted on.
 SAMPLE_EACH = 3000
-#: Words picked at most, the least number of sampled toxic documents a word must newly explain, and its least precision.
-MOST_WORDS, LEAST_NEW, LEAST_PRECISION = 400, 3, 0.9
+#: The least number of sampled toxic documents a word must newly explain, so SAMPLE_EACH bounds the words, and its least precision.
+LEAST_NEW, LEAST_PRECISION = 3, 0.9
 #: A word in this share of the sampled toxic documents counts as evidence of its own, even where others explain them too.
 COMMON_SHARE = 0.03
 #: Documents that the assumed one-word document of each picked word counts for.
 LONE_WORD_TRUST = 5.0
-WORD_ENTRIES = 500_000
+WORD_ENTRIES = 300_000
 #: Longer chunks are decoded each time, so that a worker doesn't hold on to them.
 LONGEST_KEPT = 100
 
@@ -229,7 +229,7 @@ def _select_words(rows: list[tuple[bool, set[str]]]) -> list[str]:
     good = {w for w, n in toxic.items() if n >= LEAST_NEW and n >= LEAST_PRECISION * (n + clean[w])}
     left = [words & good for is_toxic, words in rows if is_toxic]
     picked: list[str] = []
-    while len(picked) < MOST_WORDS:
+    while True:
         news = Counter(w for words in left for w in words)
         # whole words before their beginnings, shorter before longer, so that ties are settled alike on every run
         best = min(news, key=lambda w: (-news[w], w.endswith("-"), len(w), w), default=None)
@@ -242,7 +242,7 @@ def _select_words(rows: list[tuple[bool, set[str]]]) -> list[str]:
     picked = [next(w for w in whole if w.startswith(p[:-1]) and toxic[w] >= 0.8 * toxic[p]) if p in same else p for p in picked]
     picked, good = list(dict.fromkeys(picked)), good - same
     common = max(2 * LEAST_NEW, COMMON_SHARE * sum(t for t, _ in rows))
-    return (picked + sorted((w for w in good - {*picked} if toxic[w] >= common), key=lambda w: (-toxic[w], w)))[:MOST_WORDS]
+    return picked + sorted((w for w in good - {*picked} if toxic[w] >= common), key=lambda w: (-toxic[w], w))
 
 
 class Classifier:

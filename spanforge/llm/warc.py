@@ -5,8 +5,10 @@ metadata record (title, language, outgoing links, source headers) and a conversi
 response in WARC-Refers-To, repeat its target URI and date, and carry digests of their own blocks; the three stand in one
 warcinfo-free file in that order. Each page is worked on alone: a narrow map without a shuffle.
 
-Edge cases: a null url or html is empty; HTML that never closes its tags is read to its end; repeated rows give repeated
-records with equal ids; extra columns are ignored; an empty table gives an empty result.
+A crawl's date and status are no columns of ``pages``, so every response has DATE and status 200.
+
+Edge cases: a null url or html is empty; HTML that never closes its tags is read to its end, in linear time; repeated rows give repeated
+records with equal ids, a null page_id is an id like others; extra columns are ignored; an empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -25,13 +27,14 @@ from spanforge.llm.common import slices, table
 
 DATE = "2024-01-01T00:00:00Z"
 _NAMESPACE = uuid.UUID("6ba7b811-9dad-11d1-80b4-00c04fd430c8")  # the published name space for URLs
-_DROPPED = re.compile(r"<!--.*?(?:-->|\Z)|<(script|style|noscript|template|nav)\b[^>]*>.*?(?:</\1\s*>|\Z)", re.I | re.S)
+_OPEN = re.compile(r"<!--|<(script|style|noscript|template|nav)\b[^>]*>", re.I)
+_CLOSE = {name: re.compile(rf"</{name}\s*>", re.I) for name in ("script", "style", "noscript", "template", "nav")}
 _BREAK = re.compile(r"<(?:/?(?:p|div|article|section|li|ul|ol|table|tr|h[1-6]|header|footer|main|blockquote|pre|title|head|body|html)\b[^>]*|br\b[^>]*)>", re.I)
 _CELL = re.compile(r"</t[dh]\s*>", re.I)
 _TAG = re.compile(r"<[^>]*>")
-_TITLE = re.compile(r"<title[^>]*>(.*?)</title>", re.I | re.S)
-_LANG = re.compile(r"<html[^>]*\blang\s*=\s*[\"']?([A-Za-z-]+)", re.I)
-_LINK = re.compile(r"<a\b[^>]*\bhref\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+))", re.I)
+_TITLE_OPEN, _TITLE_CLOSE = re.compile(r"<title[^>]*>", re.I), re.compile(r"</title>", re.I)
+_LANG = re.compile(r"<html.*?\blang\s*=\s*[\"']?([A-Za-z-]+)", re.I | re.S)
+_LINK = re.compile(r"<a\b.*?\bhref\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+))", re.I | re.S)
 _BLANKS = re.compile(r"[^\S\n]+")
 
 SCHEMA = "page_id long, record_type string, record_id string, refers_to string, target_uri string, content_type string, block_digest string, payload_digest string, content_length long, record binary"
@@ -45,11 +48,53 @@ def record_id(*parts: str | int) -> str:
     return f"<urn:uuid:{uuid.uuid5(_NAMESPACE, '|'.join(map(str, parts)))}>"
 
 
+def _tags_end(html: str) -> int:
+    """Where the last tag can end: from before it, a search for a tag's end always finds one, so no search runs to the end in vain."""
+    return html.rfind(">") + 1
+
+
+def without_hidden(html: str) -> str:
+    """The page without comments, scripts and the like, each a blank; one that never closes goes to the end."""
+    out, at, end = [], 0, _tags_end(html)
+    while m := _OPEN.search(html, at, end):
+        out += [html[at : m.start()], " "]
+        if m[1]:
+            close = _CLOSE[m[1].lower()].search(html, m.end())
+            at = close.end() if close else len(html)
+        else:
+            close = html.find("-->", m.end())
+            at = close + 3 if close >= 0 else len(html)
+    late = html.find("<!--", at)
+    return "".join([*out, html[at:], ""] if late < 0 else [*out, html[at:late], " "])
+
+
+def title_of(html: str) -> tuple[int, int, int, int] | None:
+    """(start, text start, text end, end) of the first title."""
+    if m := _TITLE_OPEN.search(html, 0, _tags_end(html)):
+        if close := _TITLE_CLOSE.search(html, m.end()):
+            return m.start(), m.end(), close.start(), close.end()
+    return None
+
+
+def without_titles(html: str) -> str:
+    out, at, end = [], 0, _tags_end(html)
+    while (m := _TITLE_OPEN.search(html, at, end)) and (close := _TITLE_CLOSE.search(html, m.end())):
+        out += [html[at : m.start()], "\n"]
+        at = close.end()
+    return "".join([*out, html[at:]])
+
+
+def _replaced(pattern: re.Pattern, by: str, html: str) -> str:
+    """Replaces tags up to the last tag's end."""
+    end = _tags_end(html)
+    return pattern.sub(by, html[:end]) + html[end:]
+
+
 def plain_text(html: str) -> str:
     """The text of a page, a line for each block."""
-    body = _DROPPED.sub(" ", html)
-    body = _TITLE.sub("\n", body)
-    body = _TAG.sub("", _CELL.sub(" ", _BREAK.sub("\n", body)))
+    body = without_titles(without_hidden(html))
+    for pattern, by in ((_BREAK, "\n"), (_CELL, " "), (_TAG, "")):
+        body = _replaced(pattern, by, body)
     lines = (_BLANKS.sub(" ", line).strip() for line in unescape(body).split("\n"))
     return "\n".join(line for line in lines if line)
 
@@ -91,10 +136,11 @@ def records(page_id: int, url: str, html: str) -> list[tuple]:
         made.append((page_id, kind, own, refers, uri, content_type, block_digest, payload_digest, len(block), write_record(fields, block)))
 
     add("response", response, None, "application/http; msgtype=response", http, payload)
-    title, lang = _TITLE.search(html), _LANG.search(html)
-    about = [("title", " ".join(unescape(title[1]).split()) if title else ""), ("language", lang[1].lower() if lang else "")]
+    title, tags = title_of(html), [m[0] for m in _TAG.finditer(html, 0, _tags_end(html))]
+    lang = next((m for t in tags if t[:5].lower() == "<html" and (m := _LANG.match(t))), None)
+    about = [("title", " ".join(unescape(html[title[1] : title[2]]).split()) if title else ""), ("language", lang[1].lower() if lang else "")]
     about += [(f"http-{k.lower()}", v) for k, v in source] + [("source-payload-digest", digest(payload))]
-    about += [("outlink", _uri(unescape(next(filter(None, m.groups()), "")))) for m in _LINK.finditer(html)]
+    about += [("outlink", _uri(unescape(next(filter(None, m.groups()), "")))) for t in tags if t[:2].lower() == "<a" and (m := _LINK.match(t))]
     meta = "".join(f"{k}: {v}\r\n" for k, v in about).encode()
     add("metadata", record_id("metadata", response), response, "application/warc-fields", meta, meta)
     text = plain_text(html).encode()

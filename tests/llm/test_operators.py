@@ -345,6 +345,53 @@ def test_warc(spark):
     assert read_record(text)[1].decode() == "One\nTwo z"
 
 
+def test_warc_odd_pages(spark):
+    import time
+
+    from spanforge.llm.warc import build_derivatives, plain_text, read_record
+
+    assert plain_text("<p>a<b") == "a<b" and plain_text("x<script>y") == "x" and plain_text("a<!-- b") == "a" and plain_text("<title>q") == "q"
+    assert plain_text("<title a>t</title><title>u</title>z<nav>n</nav>q<style>s</style >w <script") == "z q w <script"
+    began = time.time()
+    for piece in ("<a", "<script", "<title>", "<html", "<!--", "<script>", "<a href ", "</script   "):
+        plain_text(piece * 100_000 + ">"), plain_text(piece * 100_000)
+    assert time.time() - began < 20
+    rows = [(1, "u", "<html lang=en><title>T</title>" + "<p>x " * 50_000, "a", 1), (1, "u", "same", "b", 2), (1, "u", "same", "b", 2), (None, None, "", "c", None), (3, "", None, None, None)]
+    pages = spark.createDataFrame(rows, "page_id long, url string, html string, record_type string, content_length long")
+    got = build_derivatives(pages).collect()
+    assert len(got) == 15 and all(len(read_record(bytes(r.record))[1]) == r.content_length for r in got)
+    assert len({r.record_id for r in got}) == 12 and build_derivatives(pages.where("false")).count() == 0
+
+
+def test_rows_of_one_id_and_null_ids(spark):
+    from spanforge.llm.jaccard_join import near_duplicate_components, one_of_each
+    from spanforge.llm.suffix_dedup import remove_repeats
+
+    rng = random.Random(8)
+    own = lambda n: " ".join("".join(rng.choice("abcdefgh") for _ in range(5)) for _ in range(n))
+    a, b, c, d = own(60), own(60), own(60), own(60)
+    rows = [(1, a), (1, b), (2, c), (2, a), (3, b + " more"), (4, c), (None, a), (None, None), (5, ""), (5, d), (5, d), (6, d + " end"), (7, None)]
+    df = spark.createDataFrame([(i, t, 1, "x") for i, t in rows], "doc_id long, text string, node int, digest string").repartition(3)
+    got = sorted((str(r.doc_id), r.n_shingles, str(r.component_id)) for r in near_duplicate_components(df).collect())
+    want = [(1, 56, 1), (1, 56, 1), (2, 56, 2), (2, 56, 1), (3, 57, 1), (4, 56, 2), (None, 56, None), (None, 0, None), (5, 0, 5), (5, 56, 5), (5, 56, 5), (6, 57, 5), (7, 0, 7)]
+    assert got == sorted((str(i), n, str(k)) for i, n, k in want)
+    left = sorted((str(r.doc_id), str(r.text)) for r in one_of_each(df).collect())
+    assert [x for x in left if x[0] != "1"] == sorted((str(i), str(t)) for i, t in [(2, c), (None, a), (None, None), (5, ""), (5, d), (7, None)])
+    assert [x for x in left if x[0] == "1"] == sorted([("1", a), ("1", b)])
+    kept = sorted((str(r.doc_id), bytes(r.kept).decode()) for r in remove_repeats(df).collect())
+    assert kept == sorted([("1", a), ("1", b), ("2", c), ("2", ""), ("3", " more"), ("4", ""), ("None", a), ("None", ""), ("5", ""), ("5", d), ("5", d), ("6", " end"), ("7", "")])
+
+
+def test_wide_vectors_are_an_error(spark):
+    from pyspark.sql import functions as F
+
+    from spanforge.llm.hamming_search import top_k
+
+    df = spark.createDataFrame([(i, [float(i)] * 96) for i in range(3)], "vec_id long, embedding array<double>")
+    with pytest.raises(Exception, match="dimensions"):
+        top_k(df, F.col("vec_id") == 0).collect()
+
+
 def test_hamming_search(spark):
     from pyspark.sql import functions as F
 
