@@ -21,9 +21,19 @@ BLOCKS = frozenset("p div br tr table ul ol li h1 h2 h3 h4 h5 h6 section article
 CELLS = frozenset(("td", "th"))
 PLAIN = str.maketrans({"\u00a0": " ", "\u2013": "-", "\u2014": "-", "\u2018": "'", "\u2019": "'", "\u201c": '"', "\u201d": '"'})
 _TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<(script|style)\b.*?(?:</\1\s*>|\Z)|<(/?)([A-Za-z][A-Za-z0-9]*)[^>]*>|<![^>]*>|(&#?\w+;)|[^<&]+|.", re.S | re.I)
+#: The same where no ">" follows, so that a search for one never runs to the end of the page in vain.
+_LATE_TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<(script|style)\b.*?(?:</\1\s*>|\Z)|(?!)(/?)([A-Za-z]*)|(&#?\w+;)|(?:[^<&]|<(?!!--|(?:script|style)\b))+|.", re.S | re.I)
 _WORD = re.compile(r"\S+")
 
 
+def _tokens(raw: str) -> Iterator[re.Match]:
+    at, end = 0, raw.rfind(">") + 1
+    while at < len(raw):
+        m = (_TOKEN if at < end else _LATE_TOKEN).match(raw, at)
+        yield m
+        at = m.end()
+
+
 def plain_text(raw: str) -> tuple[str, list[dict]]:
     """The visible text of a page and the runs (text_start, raw_start, length) that came from it character by character.
 
@@ -45,7 +55,7 @@ def plain_text(raw: str) -> tuple[str, list[dict]]:
             runs.append({"text_start": size, "raw_start": at, "length": len(s)})
         size += len(s)
 
-    for m in _TOKEN.finditer(raw):
+    for m in _tokens(raw):
         tag, token = (m.group(3) or "").lower(), m.group()
         if tag in BLOCKS:
             gap = "\n"
