@@ -189,6 +189,47 @@ def test_tagger_on_held_out_windows():
     assert (viterbi(emissions(w, x)[0], w["trans"]) == y).mean() > 0.93
 
 
+def test_tagger_decides_what_no_pattern_finds(spark):
+    import numpy as np
+
+    from spanforge.llm.pii import _writers, find_personal_data, find_spans, possible, trained_tagger, write_spans
+
+    w = dict(trained_tagger())
+    for text, span in (("mail bob (at) corp.org now", (0, 5, 22)), ("call (555) 123-4567 or come", (3, 5, 19))):
+        assert find_spans(w, [text])[0] == ([], [span])
+    for text in ("the cat is at the dot of noon", "on 2024-03-01 at 12:30:45", "version 3.2.0. and 15%", "id 123456789"):
+        assert find_spans(w, [text])[0] == ([], [])
+    assert not possible(1, "1.2.3.400") and not possible(2, "4111.1111.1111.1112") and possible(2, "4111.1111.1111.1111") and not possible(0, "stan. de")
+    word, make, decoy = _writers(np.random.default_rng(123))
+    rng, texts, gold = random.Random(4), [], []
+    for _ in range(300):
+        text, own = "", set()
+        for _ in range(14):
+            pick = rng.random()
+            kind = rng.randrange(4)
+            piece = make[kind]() if pick < 0.2 else decoy() if pick < 0.4 else word()
+            if pick < 0.2:
+                own.add((kind, len(text), len(text) + len(piece)))
+            text += piece + rng.choice([" ", ", ", ".\n"])
+        texts.append(text)
+        gold.append(own)
+    found, right, planted = 0, 0, 0
+    for (base, every), own in zip(find_spans(w, texts), gold, strict=True):
+        added = set(every) - set(base)
+        own = {s for s in own if not any(a < s[2] and s[1] < b for _, a, b in base)}
+        found, right, planted = found + len(added), right + len(added & own), planted + len(own)
+    assert right >= 0.95 * found and right >= 0.5 * planted > 100
+    # a window's place in a batch of texts doesn't matter, and the query's columns are those of the spans
+    assert [x for t in texts[:40] for x in find_spans(w, [t])] == find_spans(w, texts[:40])
+    df = spark.createDataFrame([(k, t) for k, t in enumerate([*texts[:20], None, "", "9" * 100_000, "a@" * 20_000])] + [(None, texts[0])], "doc_id long, text string")
+    rows = {r.doc_id: r for r in find_personal_data(df).collect()}
+    assert len(rows) == 25
+    for k, t in enumerate(texts[:20]):
+        base, every = find_spans(w, [t])[0]
+        assert base == brute_pii(t) and rows[k].base == write_spans(base) and rows[k].spans == write_spans(every)
+        assert (rows[k].n_email, rows[k].n_phone) == (sum(s[0] == 0 for s in base), sum(s[0] == 3 for s in base))
+
+
 def test_toxicity(spark, docs, empty):
     from spanforge.llm.toxicity import op4_toxicity, score_toxicity
 
