@@ -68,7 +68,7 @@ def written(df: DataFrame) -> DataFrame:
     """The frame, written once as Parquet to the shared folder and read back, so that later steps read only the columns they need."""
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/table-{uuid.uuid4().hex}"
-    df.write.option("compression", "zstd").parquet(path)
+    df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 

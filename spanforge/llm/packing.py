@@ -15,7 +15,6 @@ import json
 import struct
 import unicodedata
 import zlib
-from functools import lru_cache
 
 import pyarrow as pa
 import regex
@@ -28,7 +27,7 @@ from spanforge.llm.common import bucket, id_and_text, slices, table, tokenizer_p
 SEQUENCE_TOKENS = 2048
 SEPARATOR_ID = 1
 GROUP_DOCS = 4096
-WORD_ENTRIES = 250_000
+WORD_ENTRIES = 150_000
 
 PIECES = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long"
 PACKED = f"{PIECES}, sequence_id long, offset long"
@@ -94,11 +93,6 @@ class WordTokens(dict):
         return b"".join(map(self.__getitem__, text.split()))
 
 
-@lru_cache(maxsize=2)
-def word_tokens(path: str) -> WordTokens:
-    return WordTokens(path)
-
-
 class FirstFit:
     """Bins in the order they are opened; a winner tree over their free room names the first that holds a given length."""
 
@@ -133,7 +127,7 @@ def cut_documents(docs: DataFrame, path: str, tokens: int = SEQUENCE_TOKENS, sep
     """Pieces of at most ``tokens`` ids of every document, each with a checksum of its ids. A narrow map."""
 
     def cut(batches):
-        coder, last = word_tokens(path), struct.pack("<I", separator)
+        coder, last = WordTokens(path), struct.pack("<I", separator)
         for batch in slices(batches):
             rows = []
             for doc, text in zip(batch.column("doc_id").to_pylist(), batch.column("text").to_pylist(), strict=True):

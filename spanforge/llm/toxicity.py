@@ -35,7 +35,7 @@ LEAST_NEW, LEAST_PRECISION = 3, 0.9
 COMMON_SHARE = 0.03
 #: Documents that the assumed one-word document of each picked word counts for.
 LONE_WORD_TRUST = 5.0
-WORD_ENTRIES = 300_000
+WORD_ENTRIES = 200_000
 #: Longer chunks are decoded each time, so that a worker doesn't hold on to them.
 LONGEST_KEPT = 100
 
