@@ -251,16 +251,15 @@ def _components(plain: DataFrame) -> DataFrame:
     every = checkpointed(document_sets(dealt, stands.unionByName(answers), n_batches))
     classes = checkpointed(class_nodes(every))
     # sets stay where they are until tiles are known; prefixes, sizes and groups are all that moves before
-    posting = every.where("prefix is not null")
-    own = (posting.doc_id == classes.rep) & (posting.digest == classes.digest)
-    first = posting.select("doc_id", "n", "digest", "prefix").join(classes, own).select("node", "rep", "digest", "n", "prefix")
+    posting = every.where("prefix is not null").withColumnRenamed("doc_id", "rep")
+    first = posting.select("rep", "digest", "n", "prefix").join(classes, ["rep", "digest"])
     posted = first.select("node", F.explode("prefix").alias("shingle"))
     least = posted.groupBy("shingle").agg(F.min("node").alias("a"), F.max("node").alias("most")).where("a <> most").select("shingle", "a")
     shared = posted.join(least, "shingle").select("a", F.col("node").alias("b")).where("a <> b").distinct()
     hanging = connected_components(shared).select("node", F.col("component").alias("grp"))
     groups = checkpointed(hanging.join(first.drop("prefix"), "node").withColumnRenamed("node", "doc_id"))
     tiles = into_tiles(groups.select("doc_id", "grp", "n"), groups.count()).join(groups.select("doc_id", "rep", "digest"), "doc_id")
-    sets = posting.select(F.col("doc_id").alias("rep"), "digest", "shingles")
+    sets = posting.select("rep", "digest", "shingles")
     joined = classes.join(connected_components(tile_links(tiles.join(sets, ["rep", "digest"]).drop("rep", "digest"))), "node", "left").withColumn("component", F.coalesce("component", "node"))
     smallest = joined.groupBy("component").agg(F.min("rep").alias("least"))
     by_class = joined.join(smallest, "component").select("digest", F.col("component").alias("root"), F.col("least").alias("component"))
