@@ -10,15 +10,26 @@ from pyspark.sql import functions as F
 
 #: Rows that a Python worker turns over at once, so that its memory follows these and not the Arrow batch.
 SLICE_ROWS = 500
+#: Rows of an Arrow batch at most. Batches lie outside the heap, on both sides of the pipe, and texts can be very long.
+BATCH_ROWS = 1000
+
+
+def short_batches(spark: SparkSession) -> None:
+    """Lowers the session's rows per Arrow batch to BATCH_ROWS where it is higher."""
+    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if not 0 < int(spark.conf.get(name)) <= BATCH_ROWS:
+        spark.conf.set(name, BATCH_ROWS)
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     """A table of the input folder; the path goes to Spark only, so any store that Spark reads will do."""
+    short_batches(spark)
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
 def id_and_text(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Only the two columns that operators read, under fixed names; a null text is empty."""
+    short_batches(docs.sparkSession)
     return docs.select(
         F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text")
     )
@@ -125,6 +136,8 @@ def with_texts(docs: DataFrame, work, text_col: str = "text", chars_col: str = "
     import pyarrow as pa
     import pyarrow.compute as pc
 
+    short_batches(docs.sparkSession)
+
     def run(batches):
         rewrite = work()
         for batch in slices(batches):

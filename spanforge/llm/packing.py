@@ -15,6 +15,7 @@ import json
 import struct
 import unicodedata
 import zlib
+from functools import lru_cache
 
 import pyarrow as pa
 import regex
@@ -93,6 +94,12 @@ class WordTokens(dict):
         return b"".join(map(self.__getitem__, text.split()))
 
 
+@lru_cache(maxsize=1)
+def word_tokens(path: str) -> WordTokens:
+    """One for each worker: loading it takes longer than a short task."""
+    return WordTokens(path)
+
+
 class FirstFit:
     """Bins in the order they are opened; a winner tree over their free room names the first that holds a given length."""
 
@@ -127,7 +134,7 @@ def cut_documents(docs: DataFrame, path: str, tokens: int = SEQUENCE_TOKENS, sep
     """Pieces of at most ``tokens`` ids of every document, each with a checksum of its ids. A narrow map."""
 
     def cut(batches):
-        coder, last = WordTokens(path), struct.pack("<I", separator)
+        coder, last = word_tokens(path), struct.pack("<I", separator)
         for batch in slices(batches):
             rows = []
             for doc, text in zip(batch.column("doc_id").to_pylist(), batch.column("text").to_pylist(), strict=True):
