@@ -120,10 +120,10 @@ def a21_lexicon(spark: SparkSession, sf_dir: str) -> DataFrame:
     tokens = docs.select("lang", F.explode(F.array_distinct(F.regexp_extract_all(F.lower("text"), F.lit("([a-z]{3,})"), 1))).alias("token"))
     t = tokens.groupBy("lang", "token").agg(F.count(F.lit(1)).alias("df"))
     overall = t.groupBy("token").agg(F.sum("df").alias("all_df"))
-    sizes = docs.groupBy("lang").agg(F.count(F.lit(1)).alias("nd"))
-    n = docs.count()
+    sizes = docs.groupBy("lang").agg(F.count(F.lit(1)).alias("nd")).withColumn("n_all", F.sum("nd").over(Window.partitionBy(F.lit(1))))  # a row a language
+    n = F.col("n_all")
     df, nd, other = F.col("df"), F.col("nd"), F.col("all_df") - F.col("df")
-    w = F.log((df + 0.5) / (nd - df + 0.5)) - F.log((other + 0.5) / (F.lit(n) - nd - other + 0.5))
+    w = F.log((df + 0.5) / (nd - df + 0.5)) - F.log((other + 0.5) / (n - nd - other + 0.5))
     good = t.join(sizes, "lang").where(df >= 0.4 * nd).join(overall, "token").where(F.col("all_df") < 0.5 * n).withColumn("w", w).where("w > 0").withColumn("weight", F.round("w", 6))
     rank = F.row_number().over(Window.partitionBy("lang").orderBy(F.desc("weight"), F.desc("token")))
     return good.withColumn("rank", rank.cast("long")).where("rank <= 40").select("lang", "token", "weight", "rank")

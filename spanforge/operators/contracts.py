@@ -98,11 +98,11 @@ def d28_p9_x4_contract_verdict(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query("p7_masked_hits", """select a.conv_id, a.turn, contains(array_to_string(list_filter(string_split(lower(coalesce(a.text, '')), chr(10)), lambda l: not contains(l, u.q)), chr(10)), u.w) as hit
-  from conversations a join (select conv_id, left(lower(text), 12) as q, left(lower(text), 4) as w from conversations where turn = 0 and text <> '') u on a.conv_id = u.conv_id where a.role = 'assistant'""")
+  from conversations a join (select conv_id, lower(text) as q, regexp_extract(lower(text), '[a-z]{4,}') as w from conversations where turn = 0 and text <> '') u on a.conv_id = u.conv_id where a.role = 'assistant'""")
 def p7_masked_hits(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Whether an answer holds the question's first letters in a line that doesn't just echo the question."""
+    """Whether an answer holds the question's first long word in a line that doesn't just echo the whole question."""
     turns = table(spark, sf_dir, "conversations")
-    asked = turns.where("turn = 0 and text <> ''").select("conv_id", F.left(F.lower("text"), F.lit(12)).alias("q"), F.left(F.lower("text"), F.lit(4)).alias("w"))
+    asked = turns.where("turn = 0 and text <> ''").select("conv_id", F.lower("text").alias("q"), F.regexp_extract(F.lower("text"), "([a-z]{4,})", 1).alias("w"))
     answers = turns.where("role = 'assistant'").select("conv_id", "turn", F.split(F.lower(F.coalesce("text", F.lit(""))), "\n", -1).alias("lines"))
     kept = F.array_join(F.filter("lines", lambda line: ~F.contains(line, F.col("q"))), "\n")
     return answers.join(asked, "conv_id").select("conv_id", "turn", F.contains(kept, F.col("w")).alias("hit"))

@@ -217,10 +217,10 @@ def x1_x3_history_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "conversations").select("conv_id", "turn", F.concat(F.left(clean, F.lit(120)), F.lit(" ["), kind, F.lit("]")).alias("entry"))
 
 
-@query("x16_f5s_clean_slice", f"""select doc_id, string_agg(line, chr(10) order by line_idx) as clean from {_LINES} where start < 1000 and not regexp_matches(line, '^[A-Z][a-z]+[.]?$') group by 1""")
+@query("x16_f5s_clean_slice", f"""select doc_id, string_agg(line, chr(10) order by line_idx) as clean from {_LINES} where not regexp_matches(line, '^[A-Z][a-z]+[.]?$') group by 1""")
 def x16_f5s_clean_slice(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The lines of a span without those of a single word, joined again in order."""
-    kept = lines_of(table(spark, sf_dir, "documents")).where((F.col("start") < 1000) & ~F.col("line").rlike("^[A-Z][a-z]+[.]?$"))
+    """The lines of a whole text without those of a single word, joined again in order."""
+    kept = lines_of(table(spark, sf_dir, "documents")).where(~F.col("line").rlike("^[A-Z][a-z]+[.]?$"))
     ordered = F.array_sort(F.collect_list(F.struct("line_idx", "line")))
     return kept.groupBy("doc_id").agg(F.array_join(F.transform(ordered, lambda s: s["line"]), "\n").alias("clean"))
 

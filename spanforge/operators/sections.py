@@ -17,12 +17,12 @@ from spanforge.sources.tables import table
 #: Item codes of the annual form with their titles, in order.
 ITEMS = [
     ("1", "Business"), ("1A", "Risk Factors"), ("1B", "Unresolved Staff Comments"), ("1C", "Cybersecurity"), ("2", "Properties"), ("3", "Legal Proceedings"),
-    ("4", "Mine Safety Disclosures"), ("5", "Market for Registrant's Common Equity"), ("6", "Reserved"), ("7", "Management's Discussion and Analysis"),
+    ("4", "Mine Safety Disclosures"), ("5", "Market for Registrant's Common Equity, Related Stockholder Matters and Issuer Purchases of Equity Securities"), ("6", "[Reserved]"), ("7", "Management's Discussion and Analysis of Financial Condition and Results of Operations"),
     ("7A", "Quantitative and Qualitative Disclosures About Market Risk"), ("8", "Financial Statements and Supplementary Data"),
-    ("9", "Changes in and Disagreements with Accountants"), ("9A", "Controls and Procedures"), ("9B", "Other Information"),
-    ("9C", "Disclosure Regarding Foreign Jurisdictions"), ("10", "Directors and Executive Officers"), ("11", "Executive Compensation"),
-    ("12", "Security Ownership of Certain Beneficial Owners"), ("13", "Certain Relationships and Related Transactions"),
-    ("14", "Principal Accountant Fees and Services"), ("15", "Exhibits"), ("16", "Form 10-K Summary"),
+    ("9", "Changes in and Disagreements with Accountants on Accounting and Financial Disclosure"), ("9A", "Controls and Procedures"), ("9B", "Other Information"),
+    ("9C", "Disclosure Regarding Foreign Jurisdictions that Prevent Inspections"), ("10", "Directors, Executive Officers and Corporate Governance"), ("11", "Executive Compensation"),
+    ("12", "Security Ownership of Certain Beneficial Owners and Management and Related Stockholder Matters"), ("13", "Certain Relationships and Related Transactions, and Director Independence"),
+    ("14", "Principal Accountant Fees and Services"), ("15", "Exhibits, Financial Statement Schedules"), ("16", "Form 10-K Summary"),
 ]
 
 HEADING = r"(?i)^\s*items?\s+(\d{1,2}[abc]?(?:\s*(?:,|and|&)\s*\d{1,2}[abc]?)*)\s*[.:\-]*\s*(.*)$"

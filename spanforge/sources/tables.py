@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -42,3 +42,39 @@ def append_evidence(records: DataFrame, path: str) -> None:
 def manifest(spark: SparkSession, path: str) -> DataFrame:
     """(path, length, sha256) of every file under a path."""
     return spark.read.format("binaryFile").option("recursiveFileLookup", True).load(path).select("path", "length", F.sha2("content", 256).alias("sha256"))
+
+
+def report_list(spark: SparkSession, path: str) -> DataFrame:
+    """A CSV list of reports under plain names, all trimmed; a byte order mark is no part of the first name."""
+    rows = spark.read.option("header", True).option("multiLine", True).option("escape", '"').csv(path)
+    names = {"company name": "company", "Link to edgar": "link", "SIC": "sic"}
+    clean = [(c, c.lstrip("﻿").strip()) for c in rows.columns]
+    return rows.select(*(F.trim(F.coalesce(F.col(f"`{c}`"), F.lit(""))).alias(names.get(n, n)) for c, n in clean))
+
+
+def csv_rows_of(spark: SparkSession, path: str, keys: DataFrame, key: str) -> DataFrame:
+    """Rows of a large CSV whose key another frame has; Spark picks the join, so no list of keys passes through the driver."""
+    return spark.read.option("header", True).csv(path).join(keys.select(key).distinct(), key, "left_semi")
+
+
+def first_records(spark: SparkSession, path: str, schema: T.StructType | str, k: int) -> DataFrame:
+    """The first k records of each file of JSON lines, in the order of their lines, with the file they came from.
+
+    A line's place comes from where it lies in its file, so files are ranked apart.
+    """
+    lines = spark.read.text(path).select("value", F.col("_metadata.file_name").alias("file"), F.monotonically_increasing_id().alias("place")).where(F.trim("value") != "")
+    rank = F.row_number().over(Window.partitionBy("file").orderBy("place"))
+    return lines.withColumn("rank", rank).where(F.col("rank") <= k).select("file", "rank", F.from_json("value", schema).alias("record")).select("file", "rank", "record.*")
+
+
+def ids_by_ticker(wanted: DataFrame, index: DataFrame) -> DataFrame:
+    """The wanted tickers with the id that the index has for them, without regard to case and blanks; null where it has none."""
+    key = F.upper(F.trim("ticker"))
+    known = index.select(key.alias("_key"), "cik").dropDuplicates(["_key"])
+    return wanted.withColumn("_key", key).join(known, "_key", "left").drop("_key")
+
+
+def numbered_files(spark: SparkSession, path: str, pattern: str = r"agent-(\d+)\.png$") -> DataFrame:
+    """(path, length, number) of files in the order of the number in their name; those without one come last."""
+    files = spark.read.format("binaryFile").load(path).select("path", "length", F.nullif(F.regexp_extract("path", pattern, 1), F.lit("")).cast("long").alias("number"))
+    return files.orderBy(F.col("number").asc_nulls_last(), "path")
