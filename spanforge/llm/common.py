@@ -89,6 +89,14 @@ HOT_KEYS = 2000
 FILTER_WORDS = 1 << 18
 
 
+def fresh(df: DataFrame, name: str) -> str:
+    """A name like this one that no column of the frame has."""
+    taken = {c.lower() for c in df.columns}
+    while name in taken:
+        name += "_"
+    return name
+
+
 def _filter_bit(keys: list[str]) -> tuple[Column, Column]:
     h = F.xxhash64(F.lit(41), *keys)
     return F.pmod(h, F.lit(FILTER_WORDS)), F.call_function("shiftleft", F.lit(1).cast("long"), F.shiftrightunsigned(h, 40).bitwiseAND(F.lit(63).cast("long")).cast("int"))
@@ -100,9 +108,10 @@ def marked_by(df: DataFrame, held: DataFrame, keys: list[str], name: str = "_may
     The filter is broadcast; it has FILTER_WORDS rows at most.
     """
     word, bit = _filter_bit(keys)
-    words = held.select(word.alias("_word"), bit.alias("_bit")).groupBy("_word").agg(F.bit_or("_bit").alias("_bits"))
-    marked = df.withColumn("_word", word).join(F.broadcast(words), "_word", "left")
-    return marked.withColumn(name, F.coalesce(F.col("_bits").bitwiseAND(bit) != 0, F.lit(False))).drop("_word", "_bits")
+    at, bits = fresh(df, "_word"), fresh(df, "_bits")
+    words = held.select(word.alias(at), bit.alias("_bit")).groupBy(at).agg(F.bit_or("_bit").alias(bits))
+    marked = df.withColumn(at, word).join(F.broadcast(words), at, "left")
+    return marked.withColumn(name, F.coalesce(F.col(bits).bitwiseAND(bit) != 0, F.lit(False))).drop(at, bits)
 
 
 def join_hot(left: DataFrame, right: DataFrame, keys: list[str], n_left: int, n_col: str = "n") -> DataFrame:

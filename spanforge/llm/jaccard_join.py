@@ -30,7 +30,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import BinaryType, StructField, StructType
 
 from spanforge.llm import batches as B
-from spanforge.llm.common import bucket, checkpointed, id_and_text, slices, table
+from spanforge.llm.common import bucket, checkpointed, fresh, id_and_text, slices, table
 from spanforge.llm.components import connected_components
 from spanforge.llm.shingles import shingle_sets
 
@@ -280,18 +280,19 @@ def one_of_each(docs: DataFrame) -> DataFrame:
 
     Of repeated rows, and of one id's texts in one component, one stays; other texts under that id are documents of their own. Rows with a null id stay.
     """
+    digest, doc, own_set = (fresh(docs, n) for n in ("_digest", "_doc", "_set"))
     ours = _components(id_and_text(docs).where("doc_id is not null")).where("component = doc_id")
-    kept = ours.groupBy("doc_id", "root").agg(F.min("digest").alias("_set")).select(F.col("doc_id").alias("_doc"), "_set")
+    kept = ours.groupBy("doc_id", "root").agg(F.min("digest").alias(own_set)).select(F.col("doc_id").alias(doc), own_set)
 
     def digests(batches):
         for batch in slices(batches):
             sets = shingle_sets([t or "" for t in batch.column("text").to_pylist()])
             own = pa.array([hashlib.md5(s.tobytes(), usedforsecurity=False).digest() if s.size else None for s in sets], pa.binary())
-            yield pa.RecordBatch.from_arrays([*batch.columns, own], names=[*batch.schema.names, "_digest"])
+            yield pa.RecordBatch.from_arrays([*batch.columns, own], names=[*batch.schema.names, digest])
 
-    marked = docs.where("doc_id is not null").mapInArrow(digests, StructType([*docs.schema.fields, StructField("_digest", BinaryType())]))
-    same = (F.col("doc_id").cast("long") == F.col("_doc")) & F.col("_digest").eqNullSafe(F.col("_set"))
-    one = marked.join(kept, same, "left_semi").dropDuplicates(["doc_id", "_digest"]).select(*docs.columns)
+    marked = docs.where("doc_id is not null").mapInArrow(digests, StructType([*docs.schema.fields, StructField(digest, BinaryType())]))
+    same = (F.col("doc_id").cast("long") == F.col(doc)) & F.col(digest).eqNullSafe(F.col(own_set))
+    one = marked.join(kept, same, "left_semi").dropDuplicates(["doc_id", digest]).select(*docs.columns)
     return one.unionByName(docs.where("doc_id is null"))
 
 

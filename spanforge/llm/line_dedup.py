@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from spanforge.llm.common import id_and_text, join_hot, marked_by, slices, table, written
+from spanforge.llm.common import fresh, id_and_text, join_hot, marked_by, slices, table, written
 from spanforge.llm.passages import LEAST_RUN, WORD, Codes, Windows, merged, ranges_of_words, without
 
 LEAST_WORDS = 8
@@ -180,16 +180,17 @@ def spans_of(text: str, places: list[dict]) -> list[tuple[int, int]]:
     return merged(spans)
 
 
-def _marked(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """The documents, all columns, and with them the places of repeated units in a column of its own, null where there are none.
+def _marked(docs: DataFrame, id_col: str, text_col: str) -> tuple[DataFrame, str]:
+    """The documents, all columns, and with them the places of repeated units, null where there are none, in a column of its own; and that column's name.
 
     Most documents lose nothing, and a filter lets these pass without a shuffle.
     """
-    given = docs.withColumns({"_doc": F.col(id_col).cast("long"), "_tag": F.xxhash64(F.coalesce(F.col(text_col).cast("string"), F.lit("")))})
-    gone = repeated_units(id_and_text(docs, id_col, text_col)).select(F.col("doc_id").alias("_doc"), F.col("tag").alias("_tag"), F.col("places").alias("_places"))
-    given = marked_by(given, gone, ["_doc", "_tag"])
-    touched = given.where("_may").join(gone, ["_doc", "_tag"], "left").select(*docs.columns, "_places")
-    return touched.unionByName(given.where("not _may").select(*docs.columns, F.lit(None).cast(_PLACES).alias("_places")))
+    doc, tag, places, may = (fresh(docs, n) for n in ("_doc", "_tag", "_places", "_may"))
+    given = docs.withColumns({doc: F.col(id_col).cast("long"), tag: F.xxhash64(F.coalesce(F.col(text_col).cast("string"), F.lit("")))})
+    gone = repeated_units(id_and_text(docs, id_col, text_col)).select(F.col("doc_id").alias(doc), F.col("tag").alias(tag), F.col("places").alias(places))
+    given = marked_by(given, gone, [doc, tag], may)
+    touched = given.where(F.col(may)).join(gone, [doc, tag], "left").select(*docs.columns, places)
+    return touched.unionByName(given.where(~F.col(may)).select(*docs.columns, F.lit(None).cast(_PLACES).alias(places))), places
 
 
 def dedup_units(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -204,18 +205,19 @@ def dedup_units(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
             removed = pa.array([[{"start": a, "length": b - a} for a, b in s] for s in spans], pa.list_(pa.struct([("start", pa.int64()), ("length", pa.int64())])))
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("text"), pa.array(kept, pa.string()), removed], names=["doc_id", "text", "kept", "removed"])
 
-    return _marked(plain, "doc_id", "text").mapInArrow(cut, "doc_id long, text string, kept string, removed array<struct<start:bigint,length:bigint>>")
+    return _marked(plain, "doc_id", "text")[0].mapInArrow(cut, "doc_id long, text string, kept string, removed array<struct<start:bigint,length:bigint>>")
 
 
 def without_repeated_units(docs: DataFrame) -> DataFrame:
     """The documents, all columns, without the units that earlier ones hold; the documents stay, and a null text stays null."""
+    marked, places = _marked(docs, "doc_id", "text")
 
     def cut(batches):
         for batch in slices(batches):
-            texts = [t if t is None or p is None else without(t, spans_of(t, p)) for t, p in zip(batch.column("text").to_pylist(), batch.column("_places").to_pylist(), strict=True)]
-            yield batch.set_column(batch.schema.get_field_index("text"), "text", pa.array(texts, pa.string())).drop_columns(["_places"])
+            texts = [t if t is None or p is None else without(t, spans_of(t, p)) for t, p in zip(batch.column("text").to_pylist(), batch.column(places).to_pylist(), strict=True)]
+            yield batch.set_column(batch.schema.get_field_index("text"), "text", pa.array(texts, pa.string())).drop_columns([places])
 
-    cleaned = _marked(docs, "doc_id", "text").mapInArrow(cut, docs.schema)
+    cleaned = marked.mapInArrow(cut, docs.schema)
     return cleaned.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType)) if "n_chars" in docs.columns else cleaned
 
 
