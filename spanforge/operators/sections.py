@@ -6,6 +6,8 @@ headings of a document. Python is used for string similarity (heading lines only
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -89,6 +91,38 @@ def chosen(found: DataFrame) -> DataFrame:
     return ordered.select("doc_id", F.inline(F.aggregate("picks", start, step, lambda s: s["kept"])))
 
 
+def with_shared_headings(heads: DataFrame, found: DataFrame) -> DataFrame:
+    """``chosen`` headings, and for each item without one the nearest earlier chosen heading whose title holds that item's whole title.
+
+    Both then count as combined. A heading serves one such item, none if it names several items itself; item 6 takes no part.
+    """
+    pattern = lambda t: r"(?i)\b" + r"\s+".join(re.escape(w) for w in t.split()) + r"\b"
+    holds = F.array_compact(F.array(*(F.when(F.col("title").rlike(pattern(t)), c) for c, t in ITEMS if c != "6")))
+    titled = heads.join(found.select("doc_id", "code", "line_idx", holds.alias("holds")), ["doc_id", "code", "line_idx"])
+    head = F.struct("ord", "cost", "start", "code", "end", "combined", "ratio", "line_idx", "holds")
+    docs = titled.groupBy("doc_id").agg(F.array_sort(F.collect_list(head)).alias("heads"))
+    wanted = F.array(*(F.struct(F.lit(i).alias("ord"), F.lit(c).alias("code")) for i, (c, _) in enumerate(ITEMS)))
+    none = F.array().cast("array<struct<code:string,ord:int,lender:string>>")
+
+    def lend(done: Column, item: Column) -> Column:
+        lenders = F.filter(
+            "heads",
+            lambda h: (h["ord"] < item["ord"]) & ~h["combined"] & F.array_contains(h["holds"], item["code"]) & ~F.exists(done, lambda d: d["lender"] == h["code"]),
+        )
+        lacking = ~F.exists("heads", lambda h: h["code"] == item["code"]) & (F.size(lenders) > 0)
+        lent = F.struct(item["code"].alias("code"), item["ord"].alias("ord"), F.get(lenders, F.size(lenders) - 1)["code"].alias("lender"))
+        return F.when(lacking, F.concat(done, F.array(lent))).otherwise(done)
+
+    lent = docs.select("doc_id", "heads", F.aggregate(wanted, none, lend).alias("lent"))
+    kept = F.transform("heads", lambda h: h.withField("combined", h["combined"] | F.exists("lent", lambda d: d["lender"] == h["code"])).dropFields("holds").cast(_PICK))
+
+    def borrowed(d: Column) -> Column:
+        lender = F.get(F.filter("heads", lambda h: h["code"] == d["lender"]), F.lit(0))
+        return lender.withField("code", d["code"]).withField("ord", d["ord"]).withField("combined", F.lit(True)).dropFields("holds").cast(_PICK)
+
+    return lent.select("doc_id", F.inline(F.concat(kept, F.transform("lent", borrowed))))
+
+
 def sections(docs: DataFrame) -> DataFrame:
     """All 23 items of every document: (doc_id, code, status, start_offset, end_offset, body_chars, toc_listed).
 
@@ -100,7 +134,7 @@ def sections(docs: DataFrame) -> DataFrame:
     spark = docs.sparkSession
     docs = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
     found = candidates(docs)
-    heads = chosen(found)
+    heads = with_shared_headings(chosen(found), found)
     starts = heads.groupBy("doc_id", "line_idx").agg(F.min("start").alias("seg"), F.max("end").alias("head_end"))
     by = Window.partitionBy("doc_id").orderBy("line_idx")
     lines = lines_of(docs).join(starts, ["doc_id", "line_idx"], "left")

@@ -2,6 +2,6 @@
 
 from __future__ import annotations
 
-from spanforge.operators import aggregates, choices, contracts, evaluation, joins, lines, passes, references, scalars, scoring, sections, texts, windows  # noqa: F401
+from spanforge.operators import aggregates, choices, contracts, evaluation, filings, joins, lines, passes, references, scalars, scoring, sections, texts, windows  # noqa: F401
 from spanforge.streaming import state  # noqa: F401
 from spanforge.plans.registry import FLAGSHIP, ORACLES, QUERIES  # noqa: F401
