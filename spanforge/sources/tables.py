@@ -78,3 +78,62 @@ def numbered_files(spark: SparkSession, path: str, pattern: str = r"agent-(\d+)\
     """(path, length, number) of files in the order of the number in their name; those without one come last."""
     files = spark.read.format("binaryFile").load(path).select("path", "length", F.nullif(F.regexp_extract("path", pattern, 1), F.lit("")).cast("long").alias("number"))
     return files.orderBy(F.col("number").asc_nulls_last(), "path")
+
+
+def decoded_files(spark: SparkSession, path: str) -> DataFrame:
+    """(path, text, replaced): files as UTF-8, with the number of replacement characters that bad bytes brought in; those that a file holds itself don't count. Spark reads no empty files, so these give no row."""
+    mark = "�"
+    files = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(path).select("path", F.make_valid_utf8(F.col("content").cast("string")).alias("text"), F.hex("content").alias("_hex"))
+    count = lambda c, s: F.length(c) - F.length(F.replace(c, F.lit(s), F.lit("")))
+    literal = F.regexp_count(F.regexp_replace("_hex", "(..)", "$1 "), F.lit("EF BF BD"))
+    return files.select("path", "text", F.greatest(F.lit(0), count(F.col("text"), mark) - literal).alias("replaced"))
+
+
+_HITS = "hits struct<hits: array<struct<_id: string, _source: struct<adsh: string, ciks: array<string>, file_date: string, form: string, display_names: array<string>>>>>"
+
+
+def search_hits(answers: DataFrame, column: str = "value", forms: str = "10-K", limit: int = 40) -> DataFrame:
+    """Rows of full-text search answers (JSON), the first ``limit`` hits of each; what a hit lacks has a plain default. Answers without hits give no row."""
+    listed = answers.select(F.explode(F.slice(F.from_json(column, _HITS)["hits"]["hits"], 1, limit)).alias("h"))
+    id_, source = F.coalesce("h._id", F.lit("")), "h._source."
+    first = lambda c, default: F.coalesce(F.get(F.col(source + c), F.lit(0)), F.lit(default))
+    adsh = F.nullif(F.coalesce(F.col(source + "adsh"), F.lit("")), F.lit(""))
+    return listed.select(
+        F.coalesce(adsh, F.substring_index(id_, ":", 1)).alias("accession"), first("ciks", "0").cast("long").alias("cik"),
+        F.when(id_.contains(":"), F.substring_index(id_, ":", -1)).otherwise("").alias("primary_document"), F.coalesce(F.col(source + "file_date"), F.lit("")).alias("file_date"),
+        F.coalesce(F.col(source + "form"), F.lit(forms)).alias("form"), first("display_names", "").alias("display"),
+    )
+
+
+def task_states(marks: DataFrame) -> DataFrame:
+    """(task_id, status, written_at) of each task from the marks it left: its last done or error, else incomplete, which tells that it died midway."""
+    order = F.struct((F.col("status") != "incomplete").alias("ended"), "written_at", "status")
+    return marks.groupBy("task_id").agg(F.max(order).alias("m")).select("task_id", "m.status", "m.written_at")
+
+
+def write_artifact(frame: DataFrame, path: str) -> None:
+    """A result as JSON in place of the one before; ``frame`` must not read from ``path``."""
+    frame.write.mode("overwrite").json(path)
+
+
+def upserted(old: DataFrame, new: DataFrame, keys: list[str]) -> DataFrame:
+    """Rows of a keyed store after new rows came in: a new row takes the place of the old one of its key. Columns are those of ``old``; the new have one row a key.
+
+    Null keys are keys like others.
+    """
+    both = old.withColumn("_new", F.lit(0)).unionByName(new.select(*old.columns).withColumn("_new", F.lit(1)))
+    latest = F.max_by(F.struct(*old.columns), "_new").alias("_row")
+    return both.groupBy(*(F.col(k).alias(f"_key_{i}") for i, k in enumerate(keys))).agg(latest).select("_row.*")
+
+
+def nested_payloads(items: DataFrame, gaps: DataFrame, exhibits: DataFrame) -> DataFrame:
+    """(doc_id, payload): a JSON object a document with its items (by ``ord``), gaps and exhibits (each by all their columns); documents without items are left out."""
+
+    def listed(rows: DataFrame, name: str) -> DataFrame:
+        return rows.groupBy("doc_id").agg(F.array_sort(F.collect_list(F.struct(*(c for c in rows.columns if c != "doc_id")))).alias(name))
+
+    ordered = items.select("doc_id", "ord", *(c for c in items.columns if c not in ("doc_id", "ord")))
+    joined = listed(ordered, "items").join(listed(gaps, "gaps"), "doc_id", "left").join(listed(exhibits, "exhibits"), "doc_id", "left")
+    filled = (F.coalesce(c, F.array()).alias(c) for c in ("gaps", "exhibits"))
+    counts = F.transform("items", lambda i: i.dropFields("ord")).alias("items")
+    return joined.select("doc_id", F.to_json(F.struct(counts, *filled)).alias("payload"))

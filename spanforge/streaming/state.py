@@ -86,3 +86,37 @@ def budget_stream(steps: DataFrame, max_steps: int = 50, max_spent: int = 500) -
     return steps.select("user_id", "event_id", "ts", "value").groupBy("user_id").applyInPandasWithState(
         stop, "user_id long, stop_step long", "step long, spent long, stopped long", "append", GroupStateTimeout.NoTimeout
     )
+
+
+@query("l10_watchdog", """select event_id from (select event_id, event_type, ts, coalesce(lead(ts) over (partition by user_id order by ts, event_id), max(ts) over ()) as till from events) where event_type = 'click' and till > ts + interval 1 hour""")
+def l10_watchdog(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Clicks as tasks that the same user's next event ends: those that run over an hour, the last ones up to the newest event."""
+    events = table(spark, sf_dir, "events")
+    newest = F.broadcast(events.agg(F.max("ts").alias("newest")))
+    till = F.coalesce(F.lead("ts").over(_by_user()), "newest")
+    tasks = events.join(newest, F.lit(True)).select("event_id", "event_type", "ts", till.alias("till"))
+    return tasks.where((F.col("event_type") == "click") & (F.col("till") > F.col("ts") + F.expr("interval 1 hour"))).select("event_id")
+
+
+def watchdog_stream(marks: DataFrame, deadline_ms: int) -> DataFrame:
+    """Tasks of a stream of (task_id, status) that a start mark opens and no other mark ends within the deadline, each told once.
+
+    State is one flag an open task; it goes when the task ends or is told. A task may start again.
+    """
+
+    def watch(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        if state.hasTimedOut:
+            state.remove()
+            yield pd.DataFrame({"task_id": [key[0]], "error": ["WatchdogTimeout"]})
+            return
+        statuses = pd.concat(list(batches))["status"]
+        if (statuses != "start").any():
+            if state.exists:
+                state.remove()
+        elif not state.exists:
+            state.update((True,))
+            state.setTimeoutDuration(deadline_ms)
+
+    return marks.select("task_id", "status").groupBy("task_id").applyInPandasWithState(
+        watch, "task_id string, error string", "open boolean", "append", GroupStateTimeout.ProcessingTimeTimeout
+    )
