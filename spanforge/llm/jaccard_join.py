@@ -6,9 +6,10 @@ class. For the others:
 1. Batches ask shards how often each shingle occurs; shards answer with bits (more than once, often).
 2. Linked sets share one of the first |A| - ceil(0.8 |A|) + 1 shingles in any fixed order. The order is by those bits and
    then by hash, so a set with a fifth of its shingles to itself needs no partner at all.
-3. Sets that share such a shingle hang together; each hanging-together group is dealt to size-banded tiles. Sizes within a factor of 1.25
-   lie in the same or in neighbouring bands; bands of many sets are cut into blocks, so a tile is of bounded size however large a
-   group is. In a tile hashed bitmaps bound the overlap of a pair from above by bit counts, and what passes is intersected
+3. Sets that share such a shingle hang together. A group of up to BLOCK sets that hang together is worked on as one; a larger one is
+   taken apart again into the sets of each shingle, so what meets follows from shared shingles and not from the size of a group that
+   long chains hold together. These groups are dealt to size-banded tiles. Sizes within a factor of 1.25 lie in the same or in
+   neighbouring bands; bands of many sets are cut into blocks, so a tile is of bounded size however large a group is. In a tile hashed bitmaps bound the overlap of a pair from above by bit counts, and what passes is intersected
    exactly as sorted arrays. A tile gives a spanning forest of its links, not all of them.
 4. The forests' components are the result.
 
@@ -221,6 +222,17 @@ def into_tiles(groups: DataFrame, n_sets: int) -> DataFrame:
     return small.unionByName(large)
 
 
+def taken_apart(groups: DataFrame, shared: DataFrame) -> DataFrame:
+    """(doc_id, grp, n): groups of at most BLOCK sets as they are, and larger ones by shingle; rows are (doc_id, grp, n) and (doc_id, shingle).
+
+    Linked sets share a shingle of ``shared``, so they still meet. A set of a larger group has a row for each of its shared shingles.
+    """
+    counted = groups.join(groups.groupBy("grp").agg(F.count(F.lit(1)).alias("all")), "grp")
+    small = counted.where(F.col("all") <= BLOCK).select("doc_id", "grp", "n")
+    large = counted.where(F.col("all") > BLOCK).select("doc_id", "n").join(shared, "doc_id").select("doc_id", F.col("shingle").alias("grp"), "n")
+    return small.unionByName(large)
+
+
 def class_nodes(every: DataFrame) -> DataFrame:
     """(digest, rep, node): each distinct set, its smallest document, and a number of its own.
 
@@ -255,10 +267,11 @@ def _components(plain: DataFrame) -> DataFrame:
     first = posting.select("rep", "digest", "n", "prefix").join(classes, ["rep", "digest"])
     posted = first.select("node", F.explode("prefix").alias("shingle"))
     least = posted.groupBy("shingle").agg(F.min("node").alias("a"), F.max("node").alias("most")).where("a <> most").select("shingle", "a")
-    shared = posted.join(least, "shingle").select("a", F.col("node").alias("b")).where("a <> b").distinct()
-    hanging = connected_components(shared).select("node", F.col("component").alias("grp"))
+    shared = checkpointed(posted.join(least, "shingle"))
+    hanging = connected_components(shared.select("a", F.col("node").alias("b")).where("a <> b").distinct()).select("node", F.col("component").alias("grp"))
     groups = checkpointed(hanging.join(first.drop("prefix"), "node").withColumnRenamed("node", "doc_id"))
-    tiles = into_tiles(groups.select("doc_id", "grp", "n"), groups.count()).join(groups.select("doc_id", "rep", "digest"), "doc_id")
+    met = checkpointed(taken_apart(groups.select("doc_id", "grp", "n"), shared.select(F.col("node").alias("doc_id"), "shingle")))
+    tiles = into_tiles(met, met.count()).join(groups.select("doc_id", "rep", "digest"), "doc_id")
     sets = posting.select("rep", "digest", "shingles")
     joined = classes.join(connected_components(tile_links(tiles.join(sets, ["rep", "digest"]).drop("rep", "digest"))), "node", "left").withColumn("component", F.coalesce("component", "node"))
     smallest = joined.groupBy("component").agg(F.min("rep").alias("least"))

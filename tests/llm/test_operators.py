@@ -54,11 +54,10 @@ def test_suffix_dedup(docs, empty, rows):
     assert remove_repeats(empty).count() == 0
 
 
-def test_jaccard(docs, empty, rows):
-    from spanforge.llm.jaccard_join import near_duplicate_components
-
+def brute_components(texts):
+    """{doc_id: (shingles, component)} by comparing every pair."""
     sets = {}
-    for i, t, *_ in rows:
+    for i, t in texts:
         w = [x for x in re.split(r"[\x20\x09-\x0D]+", re.sub("[A-Z]", lambda m: m[0].lower(), t or "")) if x]
         sets[i] = {tuple(w[k : k + 5]) for k in range(len(w) - 4)} if len(w) >= 5 else {tuple(w)} if w else set()
     root = {i: i for i in sets}
@@ -73,11 +72,34 @@ def test_jaccard(docs, empty, rows):
             if a < b and sets[a] and 100 * len(sets[a] & sets[b]) >= 80 * len(sets[a] | sets[b]):
                 x, y = sorted((find(a), find(b)))
                 root[y] = x
+    return {i: (len(s), find(i)) for i, s in sets.items()}
+
+
+def test_jaccard(docs, empty, rows):
+    from spanforge.llm.jaccard_join import near_duplicate_components
+
     got = {r.doc_id: (r.n_shingles, r.component_id) for r in near_duplicate_components(docs).collect()}
-    assert got == {i: (len(s), find(i)) for i, s in sets.items()}
+    assert got == brute_components([r[:2] for r in rows])
     assert near_duplicate_components(empty).count() == 0
 
 
+@pytest.mark.parametrize("block", [2, 8, 1024])
+def test_jaccard_of_long_chains(spark, monkeypatch, block):
+    """Windows of one long text hang together in long chains, of which only neighbours link; groups above the block are taken apart by shingle."""
+    from spanforge.llm import jaccard_join
+
+    monkeypatch.setattr(jaccard_join, "BLOCK", block)
+    rng, at, texts = random.Random(7), 0, []
+    for k in range(90):
+        at += rng.choice([1, 2, 4, 5, 9, 14])
+        texts.append((1000 - k, " ".join(f"w{n}" for n in range(at, at + rng.choice([40, 44, 52])))))
+    texts += [(2000 + k, texts[k][1] + f" end{k}") for k in range(0, 90, 3)]
+    got = {r.doc_id: (r.n_shingles, r.component_id) for r in jaccard_join.near_duplicate_components(spark.createDataFrame(texts, "doc_id long, text string")).collect()}
+    want = brute_components(texts)
+    assert got == want
+    assert 5 < len({c for _, c in want.values()}) < 90
+
+
 def test_bpe_is_the_library(docs, empty, rows):
     import numpy as np
     from tokenizers import Tokenizer
