@@ -178,7 +178,7 @@ def group_by_prefix(buf: np.ndarray, length: int = LENGTH) -> tuple[np.ndarray,
         key = (key << np.uint64(8 * m)) | nxt
     m = 8
     while True:
-        order = np.argsort(key, kind="stable")
+        order = np.argsort(key)  # rows that tie may stand in any order: only groups are read from it
         if m >= _SORTED:
             break
         ranked = key[order]
