@@ -6,6 +6,8 @@ one document and are judged on the input.
 1. Every window of LENGTH bytes is known by the least hash of the 16-byte strings in it. Equal windows have equal least
    hashes, so runs of windows with one least hash ("segments") are what may be compared with each other. Batches ask
    shards which of their hashes any other document has; about four fifths of the text end here.
+   Segments of a frequent hash are split again by the least of a second hash, so that common strings of 16 bytes don't bring
+   all that holds them together in one shard.
 2. Batches send the distinct contents of the remaining segments, with the smallest document that holds each, to the shard of
    the hash. Equal contents settle each other: all but the smallest document lose every window.
 3. Where a hash has several contents, the shard sorts their suffixes by 64 bytes and builds the Burrows-Wheeler
@@ -57,6 +59,12 @@ def _gram_hashes(buf: np.ndarray) -> np.ndarray:
     return h
 
 
+def _mixed(h: np.ndarray, factor: np.uint64) -> np.ndarray:
+    """Hashes in an order of their own."""
+    h = h * factor
+    return h ^ (h >> np.uint64(29))
+
+
 def _least(h: np.ndarray, width: int) -> np.ndarray:
     """The least of each ``width`` neighbours."""
     m = 1
@@ -66,8 +74,8 @@ def _least(h: np.ndarray, width: int) -> np.ndarray:
     return np.minimum(h[: h.size - (width - m)], h[width - m :]) if m < width else h
 
 
-def segments(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """(text, start, windows, hash) of each run of windows with one least hash, in order."""
+def segments(texts: list[bytes], second: bool = False) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """(text, start, windows, hash) of each run of windows with one least hash, in order; ``second`` takes another hash."""
     out: list[tuple[np.ndarray, ...]] = []
     part: list[bytes] = []
     first = size = 0
@@ -77,7 +85,8 @@ def segments(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np
         if size >= LENGTH:
             lengths = np.array([len(t) for t in part])
             begin = np.cumsum(lengths) - lengths
-            least = _least(_gram_hashes(np.frombuffer(b"".join(part), np.uint8)), LENGTH - GRAM + 1)
+            grams = _gram_hashes(np.frombuffer(b"".join(part), np.uint8))
+            least = _least(_mixed(grams, _FACTOR[6]) if second else grams, LENGTH - GRAM + 1)
             change = np.empty(least.size + 1, bool)
             change[0] = change[-1] = True
             np.not_equal(least[1:], least[:-1], out=change[1:-1])
@@ -126,35 +135,49 @@ class _Batch:
         np.maximum.at(high, self.key_of, self.doc)
         return (high > low)[self.order]
 
-    def contents(self, answers: list[tuple[int, bytes]]) -> _Contents:
+    def contents(self, answers: list[tuple[int, bytes, bytes]]) -> _Contents:
         """The distinct contents of segments whose hashes occur again, in the order of their first segment."""
-        again = np.zeros(self.keys.size, bool)
-        for shard, bits in answers:
+        again, often = np.zeros(self.keys.size, bool), np.zeros(self.keys.size, bool)
+        for shard, bits, more in answers:
             own = self.order[self.bounds[shard] : self.bounds[shard + 1]]
-            again[own] = B.unpack_bits(bits, own.size)
-        at = np.flatnonzero(again[self.key_of])
+            again[own], often[own] = B.unpack_bits(bits, own.size), B.unpack_bits(more, own.size)
         raws = [self.raw[k] for k in self.own]
+        at = np.flatnonzero(again[self.key_of])
+        doc, start, width, keys = self._split(raws, at, often)
         place: dict[bytes, int] = {}
-        index = [
-            place.setdefault(raws[d][a:b], len(place))
-            for d, a, b in zip(self.doc[at].tolist(), self.start[at].tolist(), (self.start[at] + self.width[at] + LENGTH - 1).tolist(), strict=True)
-        ]
+        index = [place.setdefault(raws[d][a:b], len(place)) for d, a, b in zip(doc.tolist(), start.tolist(), (start + width + LENGTH - 1).tolist(), strict=True)]
         which = np.array(index, np.int64)
-        first = at[np.unique(which, return_index=True)[1]]
-        ids = np.array([self.ids[k] for k in self.own], np.int64)
-        keys = self.keys[self.key_of[first]]
-        shard = ((keys >> np.uint64(32)) % np.uint64(self.n_shards)).astype(np.int64)
-        return _Contents(list(place), at, which, keys, shard, ids[self.doc[first]], ids[self.doc[at]])
+        first = np.unique(which, return_index=True)[1]
+        ids = np.array([self.ids[k] for k in self.own], np.int64)[doc]
+        shard = ((keys[first] >> np.uint64(32)) % np.uint64(self.n_shards)).astype(np.int64)
+        return _Contents(list(place), doc, start, width, which, ids, keys[first], shard, ids[first])
+
+    def _split(self, raws: list[bytes], at: np.ndarray, often: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """(text, start, windows, hash) of these segments in order, those of a frequent hash split by the second hash.
+
+        Whether a hash is frequent is the same for all batches, so equal windows still have equal hashes.
+        """
+        hot = often[self.key_of[at]]
+        cold, hot = at[~hot], at[hot]
+        doc, start = self.doc[hot], self.start[hot]
+        part, begin, width, second = segments([raws[d][a:b] for d, a, b in zip(doc.tolist(), start.tolist(), (start + self.width[hot] + LENGTH - 1).tolist(), strict=True)], second=True)
+        both = _mixed(self.keys[self.key_of[hot]][part] ^ second, _FACTOR[5])
+        columns = zip((self.doc[cold], self.start[cold], self.width[cold], self.keys[self.key_of[cold]]), (doc[part], start[part] + begin, width, both), strict=True)
+        doc, start, width, keys = (np.concatenate(c) for c in columns)
+        order = np.lexsort((start, doc))
+        return doc[order], start[order], width[order], keys[order]
 
 
 class _Contents(NamedTuple):
     raw: list[bytes]
-    segment: np.ndarray  # segments that have a content
-    which: np.ndarray  # and which one
+    text: np.ndarray  # by segment: the text, where it starts, its windows, which content it has, its document
+    start: np.ndarray
+    width: np.ndarray
+    which: np.ndarray
+    doc: np.ndarray
     keys: np.ndarray  # by content: hash, shard, smallest document
     shard: np.ndarray
     least: np.ndarray
-    doc: np.ndarray  # by segment: its document
 
     def by_shard(self):
         """(shard, places of its contents in order)."""
@@ -306,14 +329,14 @@ def settle(sent: DataFrame) -> DataFrame:
 REMOVED = "doc_id long, n_bytes long, spans array<struct<start:long,end:long>>, kept binary"
 
 
-def _told(group: pa.Table) -> tuple[set[int], list[tuple[int, bytes]], dict[int, tuple[bytes, bytes]]]:
-    """What a batch was told: documents that stand for their copies, which hashes occur again, how contents were settled."""
+def _told(group: pa.Table) -> tuple[set[int], list[tuple[int, bytes, bytes]], dict[int, tuple[bytes, bytes]]]:
+    """What a batch was told: documents that stand for their copies, which hashes occur again and often, how contents were settled."""
     stands, again, settled = set(), [], {}
     for kind, shard, bits, windows in zip(*(group.column(c).to_pylist() for c in ("kind", "shard", "bits", "windows")), strict=True):
         if kind == 0:
             stands.add(shard)
         elif kind == 1:
-            again.append((shard, bits))
+            again.append((shard, bits, windows))
         else:
             settled[shard] = bits, windows
     return stands, again, settled
@@ -333,14 +356,12 @@ def _covered(own: _Batch, contents: _Contents, settled: dict[int, tuple[bytes, b
             hit = np.add.reduceat(windows, end - size[left]) > 0
             some |= {int(k): windows[b - size[k] : b] for k, b in zip(left[hit], end[hit], strict=True)}
     whole = later[contents.which] | (contents.doc > contents.least[contents.which])
-    gone = contents.segment[whole]
-    doc, start, width = own.doc[gone], own.start[gone], own.width[gone]
+    doc, start, width = contents.text[whole], contents.start[whole], contents.width[whole]
     if some:
         parts = []
         for n in np.flatnonzero(~whole & np.isin(contents.which, list(some))).tolist():
-            k = contents.segment[n]
             edge = np.flatnonzero(np.diff(some[int(contents.which[n])].astype(np.int8), prepend=0, append=0))
-            parts += [(int(own.doc[k]), int(own.start[k]) + a, b - a) for a, b in edge.reshape(-1, 2).tolist()]
+            parts += [(int(contents.text[n]), int(contents.start[n]) + a, b - a) for a, b in edge.reshape(-1, 2).tolist()]
         if parts:
             more = np.array(parts, np.int64)
             doc, start, width = np.concatenate([doc, more[:, 0]]), np.concatenate([start, more[:, 1]]), np.concatenate([width, more[:, 2]])
@@ -364,7 +385,6 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     _, n_bytes = B.size_of(plain)
     n_batches = B.batch_count(n_bytes)
     dealt = B.batched(plain, n_batches)
-    nothing = F.lit(None).cast("binary")
     stands = B.first_copies(plain, n_batches).withColumnsRenamed({"again": "bits", "often": "windows"})
 
     def ask(key, group: pa.Table, told: pa.Table) -> pa.Table:
@@ -406,7 +426,7 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
         )
 
     again = B.answers(B.with_told(dealt, stands).applyInArrow(ask, B.QUESTIONS)).select(
-        "batch", F.lit(1).alias("kind"), "shard", F.col("again").alias("bits"), nothing.alias("windows")
+        "batch", F.lit(1).alias("kind"), "shard", F.col("again").alias("bits"), F.col("often").alias("windows")
     )
     told = stands.unionByName(again)
     settled = settle(B.with_told(dealt, told).applyInArrow(send, CONTENTS))

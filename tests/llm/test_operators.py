@@ -54,6 +54,26 @@ def test_suffix_dedup(docs, empty, rows):
     assert remove_repeats(empty).count() == 0
 
 
+def test_suffix_dedup_of_frequent_strings(spark, monkeypatch):
+    """Strings that most documents hold, between texts of their own: their hashes are frequent and split by the second hash."""
+    from spanforge.llm import batches, suffix_dedup
+
+    rng = random.Random(11)
+    common = ["the conditions of this general licence ", "as described in the annual report of ", TEXT[:70]]
+    texts = []
+    for k in range(160):
+        own = ["".join(rng.choice("abcdefgh ") for _ in range(rng.randint(3, 90))) for _ in range(4)]
+        texts.append((500 - k, "".join(o + rng.choice(common) for o in own), None))
+    want = brute_suffix(texts)
+    assert 20 < sum(len(want[i]) < len(t) for i, t, _ in texts) < 160
+    docs = spark.createDataFrame([t[:2] for t in texts], "doc_id long, text string")
+    split = []
+    for often in (2, 32, 10**9):
+        monkeypatch.setattr(batches, "OFTEN", often)
+        split.append({r.doc_id: bytes(r.kept) for r in suffix_dedup.remove_repeats(docs).collect()})
+    assert split == [want] * 3
+
+
 def brute_components(texts):
     """{doc_id: (shingles, component)} by comparing every pair."""
     sets = {}
