@@ -29,7 +29,12 @@ def _cycles(runs: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
 
 
 def page_run(numbers: list[int]) -> list[int]:
-    """The longest strictly increasing subsequence (each place takes its earliest best predecessor, the first best end wins), cut where it jumps by over 100; the longest part, the first on a tie."""
+    """The numbers at ``page_run_places``."""
+    return [numbers[i] for i in page_run_places(numbers)]
+
+
+def page_run_places(numbers: list[int]) -> list[int]:
+    """Places of the longest strictly increasing subsequence (each place takes its earliest best predecessor, the first best end wins), cut where it jumps by over 100; the longest part, the first on a tie."""
     tails: list[list[int]] = []  # per length, the ends in order of place; their numbers fall
     back = [-1] * len(numbers)
     for i, x in enumerate(numbers):
@@ -51,10 +56,10 @@ def page_run(numbers: list[int]) -> list[int]:
         return []
     chain, i = [], tails[-1][0]
     while i >= 0:
-        chain.append(numbers[i])
+        chain.append(i)
         i = back[i]
     chain.reverse()
-    cuts = [0, *(j for j in range(1, len(chain)) if chain[j] - chain[j - 1] > 100), len(chain)]
+    cuts = [0, *(j for j in range(1, len(chain)) if numbers[chain[j]] - numbers[chain[j - 1]] > 100), len(chain)]
     return max((chain[a:b] for a, b in zip(cuts, cuts[1:])), key=len)
 
 
@@ -67,6 +72,15 @@ def cycle(tokens: Column | str) -> Column:
     return F.pandas_udf(_cycles, "struct<period: long, repeats: long>")(tokens)
 
 
+def _page_places(numbers: pd.Series) -> pd.Series:
+    return numbers.map(lambda a: page_run_places([int(x) for x in a]))
+
+
+def page_places(numbers: Column | str) -> Column:
+    """The places (from 0) of an array's numbers that make up its page run."""
+    return F.pandas_udf(_page_places, "array<int>")(numbers)
+
+
 def page_runs(numbers: Column | str) -> Column:
     """The numbers of an array that make up its page run."""
     return F.pandas_udf(_page_runs, "array<bigint>")(numbers)

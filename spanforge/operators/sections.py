@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 
 from spanforge.functions.markup import normalized, similarity
 from spanforge.operators.lines import lines_of
+from spanforge.operators.stubs import LONG_BODY, stub_target
 from spanforge.plans.registry import query
 from spanforge.sources.tables import table
 
@@ -29,7 +30,6 @@ ITEMS = [
 
 HEADING = r"(?i)^\s*items?\s+(\d{1,2}[abc]?(?:\s*(?:,|and|&)\s*\d{1,2}[abc]?)*)\s*[.:\-]*\s*(.*)$"
 FURNITURE = r"(?i)^\s*(?:page\s+)?\d{1,3}\s*$|^\s*table of contents\s*$|^\s*part\s+[iv]+\.?\s*$"
-POINTER = r"(?i)incorporated\s+(?:herein\s+)?by\s+reference|see\s+(?:the\s+)?(?:proxy|annual report|note)"
 NEAR_MARKER, BAND, SHORT_GAP, AMBIGUOUS = 3000, 1500, 300, 0.85
 
 
@@ -144,10 +144,9 @@ def sections(docs: DataFrame) -> DataFrame:
     ).where("seg is not null and not signed")
     extents = placed.groupBy("doc_id", "seg").agg(F.max(F.when(~F.col("blank") & ~F.col("furniture"), F.col("end"))).alias("body_end"), F.max("head_end").alias("head_end"))
     by_doc = extents.groupBy("doc_id").agg(F.collect_list(F.struct("seg", "head_end", "body_end")).alias("segs"))
-    text_of = lambda s: F.trim(F.substr("text", (s["head_end"] + 1).cast("int"), F.least(s["body_end"] - s["head_end"], F.lit(3000)).cast("int")))
+    text_of = lambda s: F.trim(F.substr("text", (s["head_end"] + 1).cast("int"), F.least(s["body_end"] - s["head_end"], F.lit(LONG_BODY)).cast("int")))
     cut = by_doc.join(docs, "doc_id").select("doc_id", F.inline(F.transform("segs", lambda s: F.struct(s["seg"].alias("start"), s["body_end"].alias("body_end"), (s["body_end"] - s["head_end"]).alias("body_chars"), text_of(s).alias("body")))))
-    numbers = F.regexp_count("body", F.lit(r"\d+"))
-    stub = F.col("body").rlike(POINTER) & ((F.col("body_chars") <= 900) | ((F.col("body_chars") <= 3000) & (numbers < 12)))
+    stub = (F.col("body_chars") <= LONG_BODY) & stub_target(F.col("body")).isNotNull()
     reserved = (F.col("code") == "6") & (F.col("body_chars") < 200) & F.lower("body").contains("reserved")
     status = (
         F.when(F.col("start").isNull(), F.when(F.col("code") == "6", "reserved").otherwise("missing")).when(F.col("combined"), "partial").when(stub, "incorporated_by_reference")
