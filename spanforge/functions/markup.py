@@ -19,11 +19,16 @@ def _similarity(a: pd.Series, b: pd.Series) -> pd.Series:
 #: Tags that end a line, cells, and characters with a plain form.
 BLOCKS = frozenset("p div br tr table ul ol li h1 h2 h3 h4 h5 h6 section article header footer nav hr title body".split())
 CELLS = frozenset(("td", "th"))
+STRONG, HEADINGS = frozenset(("b", "strong")), frozenset("h1 h2 h3 h4 h5 h6".split())
 PLAIN = str.maketrans({"\u00a0": " ", "\u2013": "-", "\u2014": "-", "\u2018": "'", "\u2019": "'", "\u201c": '"', "\u201d": '"'})
 _TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<(script|style)\b.*?(?:</\1\s*>|\Z)|<(/?)([A-Za-z][A-Za-z0-9]*)[^>]*>|<![^>]*>|(&#?\w+;)|[^<&]+|.", re.S | re.I)
 #: The same where no ">" follows, so that a search for one never runs to the end of the page in vain.
 _LATE_TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<(script|style)\b.*?(?:</\1\s*>|\Z)|(?!)(/?)([A-Za-z]*)|(&#?\w+;)|(?:[^<&]|<(?!!--|(?:script|style)\b))+|.", re.S | re.I)
 _WORD = re.compile(r"\S+")
+#: White space that does not stay as it is.
+_UNEVEN = re.compile(r"[^\S ]|  ")
+_HREF = re.compile(r"\shref\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+))", re.I)
+BOLD, HEADING, INNER_LINK = 1, 2, 4
 
 
 def _tokens(raw: str) -> Iterator[re.Match]:
@@ -34,12 +39,15 @@ def _tokens(raw: str) -> Iterator[re.Match]:
         at = m.end()
 
 
-def plain_text(raw: str) -> tuple[str, list[dict]]:
-    """The visible text of a page and the runs (text_start, raw_start, length) that came from it character by character.
+def read_page(raw: str) -> tuple[str, list[int], list[int], list[int], list[tuple[int, int, int]]]:
+    """(text, text starts, raw starts, lengths, marks): the visible text of a page, its runs that came from the source character by character, and what it is set in.
 
-    White space becomes one space, block tags end a line, a cell ends with a space; scripts, styles and comments go; an entity is a run of length 1.
+    White space becomes one space, block tags end a line, a cell ends with a space; scripts, styles and comments go; an entity is a run of length 1. Marks are
+    (start, end, flags) of the text in bold, in a heading or in a link to a place of the same page.
     """
-    out, runs, size, gap = [], [], 0, ""
+    out, starts, sources, lengths, marks, size, gap = [], [], [], [], [], 0, ""
+    bold = heading = inner = 0
+    links: list[bool] = []
 
     def emit(s: str, at: int) -> None:
         nonlocal size, gap
@@ -48,39 +56,76 @@ def plain_text(raw: str) -> tuple[str, list[dict]]:
             size += 1
         gap = ""
         out.append(s)
-        last = runs[-1] if runs else None
-        if last and last["text_start"] + last["length"] == size and last["raw_start"] + last["length"] == at:
-            last["length"] += len(s)
+        if starts and starts[-1] + lengths[-1] == size and sources[-1] + lengths[-1] == at:
+            lengths[-1] += len(s)
         else:
-            runs.append({"text_start": size, "raw_start": at, "length": len(s)})
+            starts.append(size)
+            sources.append(at)
+            lengths.append(len(s))
+        flags = BOLD * (bold > 0) | HEADING * (heading > 0) | INNER_LINK * (inner > 0)
+        if flags:
+            if marks and marks[-1][2] == flags and size - marks[-1][1] <= 1:
+                marks[-1] = (marks[-1][0], size + len(s), flags)
+            else:
+                marks.append((size, size + len(s), flags))
         size += len(s)
 
     for m in _tokens(raw):
         tag, token = (m.group(3) or "").lower(), m.group()
-        if tag in BLOCKS:
-            gap = "\n"
-        elif tag in CELLS:
-            gap = gap or (" " if m.group(2) else "")
-        elif not tag and not token.startswith(("<!", "<script", "<style", "<SCRIPT", "<STYLE")) and not m.group(1):
+        if tag:
+            if tag in BLOCKS:
+                gap = "\n"
+            elif tag in CELLS:
+                gap = gap or (" " if m.group(2) else "")
+            if tag in STRONG or tag in HEADINGS or tag == "a":
+                opens, closes = not m.group(2), bool(m.group(2)) or token.endswith("/>")
+                if tag in STRONG:
+                    bold = max(0, bold + opens - closes)
+                elif tag in HEADINGS:
+                    heading = max(0, heading + opens - closes)
+                else:
+                    if opens:
+                        href = _HREF.search(token)
+                        links.append(bool(href) and (href[1] or href[2] or href[3] or "").startswith("#"))
+                        inner += links[-1]
+                    if closes and links:
+                        inner -= links.pop()
+        elif not token.startswith(("<!", "<script", "<style", "<SCRIPT", "<STYLE")) and not m.group(1):
             text = (html.unescape(token) if m.group(4) else token).translate(PLAIN)
             if m.group(4):
                 text = text[:1]
-            words = list(_WORD.finditer(text))
-            at = 0
-            for w in words:
-                if w.start() > at:
-                    gap = gap or " "
-                emit(w.group(), m.start() + w.start())
-                at = w.end()
-            if at < len(text):
+            bare = text.strip()
+            if not bare:
                 gap = gap or " "
-    return "".join(out), runs
+            elif not _UNEVEN.search(bare):
+                before = text.index(bare[0])
+                gap = gap or " " * (before > 0)
+                emit(bare, m.start() + before)
+                gap = " " * (before + len(bare) < len(text))
+            else:
+                at = 0
+                for w in _WORD.finditer(text):
+                    if w.start() > at:
+                        gap = gap or " "
+                    emit(w.group(), m.start() + w.start())
+                    at = w.end()
+                if at < len(text):
+                    gap = gap or " "
+    return "".join(out), starts, sources, lengths, marks
+
+
+def plain_text(raw: str) -> tuple[str, list[dict]]:
+    """The visible text of a page and its runs (text_start, raw_start, length)."""
+    text, starts, sources, lengths, _ = read_page(raw)
+    return text, [{"text_start": a, "raw_start": b, "length": n} for a, b, n in zip(starts, sources, lengths, strict=True)]
 
 
 def _normalized(pages: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
     for raw in pages:
-        done = [plain_text(r or "") for r in raw]
-        yield pd.DataFrame({"text": [t for t, _ in done], "runs": [r for _, r in done]})
+        done = [read_page(r or "") for r in raw]
+        columns = list(zip(*done, strict=True)) or [()] * 5
+        made = dict(zip(("text", "text_start", "raw_start", "length"), map(list, columns), strict=False))
+        yield pd.DataFrame(made | {"marks": [[{"start": a, "end": b, "flags": f} for a, b, f in page] for page in columns[4]]})
 
 
 def similarity(a: Column | str, b: Column | str) -> Column:
@@ -89,5 +134,6 @@ def similarity(a: Column | str, b: Column | str) -> Column:
 
 
 def normalized(page: Column | str) -> Column:
-    """``plain_text`` of a column: its text and runs. A null page is empty."""
-    return F.pandas_udf(_normalized, "struct<text: string, runs: array<struct<text_start: int, raw_start: int, length: int>>>")(page)
+    """``read_page`` of a column, its runs as three arrays. A null page is empty."""
+    made = "text: string, text_start: array<int>, raw_start: array<int>, length: array<int>, marks: array<struct<start: int, end: int, flags: int>>"
+    return F.pandas_udf(_normalized, f"struct<{made}>")(page)

@@ -108,8 +108,10 @@ HEAD_MARGIN = 300
 
 
 def plausible(found: DataFrame) -> DataFrame:
-    """Headings that read as a body's: nothing about them is like a table of contents, and their title is like the item's or not there."""
-    return found.where(~F.col("listed") & (F.col("signs") == 0) & ((F.col("sim") >= 0.4) | (F.col("title") == "")))
+    """Headings that read as a body's: plain lines that are set in bold, as a heading or apart, without a page number or a link, with signs of a table of contents worth
+    less than 2, and a title like the item's or none."""
+    shaped = F.col("strict") & (F.col("set") | F.col("apart")) & ~F.col("numbered") & ~F.col("linked")
+    return found.where((F.col("signs") < 2) & shaped & ((F.col("sim") >= 0.4) | (F.col("title") == "")))
 
 
 def later_headings(spans: DataFrame, margin: int = HEAD_MARGIN) -> DataFrame:
@@ -131,11 +133,24 @@ def p2_x15_later_headings(spark: SparkSession, sf_dir: str) -> DataFrame:
     return later_headings(table(spark, sf_dir, "documents").select("doc_id", F.lit("1").alias("code"), body.alias("text")))
 
 
-def text_offset(runs: Column, raw: Column) -> Column:
-    """Where a place in the source falls in the text: at itself where that was kept, else at the next kept character, else at the end."""
-    after = F.get(F.filter(runs, lambda r: r["raw_start"] + r["length"] > raw), F.lit(0))
-    last = F.get(runs, F.size(runs) - 1)
-    return F.coalesce(after["text_start"] + F.greatest(F.lit(0), raw - after["raw_start"]), last["text_start"] + last["length"], F.lit(0)).cast("long")
+def text_offset(starts: Column, sources: Column, lengths: Column, raw: Column) -> Column:
+    """Where a place in the source falls in the text: at itself where that was kept, else at the next kept character, else at the end.
+
+    Runs are in order, so the first that ends behind the place is found by halving: 31 steps at most, whatever their number.
+    """
+    n = F.size(sources)
+    low = F.struct(F.lit(0).alias("lo"), n.alias("hi"))
+
+    def halve(s: Column, _: Column) -> Column:
+        mid = ((s["lo"] + s["hi"]) / 2).cast("int")
+        behind = F.get(sources, mid) + F.get(lengths, mid) > raw
+        narrower = F.struct(F.when(behind, s["lo"]).otherwise(mid + 1).alias("lo"), F.when(behind, mid).otherwise(s["hi"]).alias("hi"))
+        return F.when(s["lo"] < s["hi"], narrower).otherwise(s)
+
+    steps = F.sequence(F.lit(1), F.greatest(F.lit(1), F.ceil(F.log2(n + 1.0)).cast("int") + 1))
+    at = F.aggregate(steps, low, halve, lambda s: s["lo"])
+    inside = F.get(starts, at) + F.greatest(F.lit(0), raw - F.get(sources, at))
+    return F.coalesce(inside, F.get(starts, n - 1) + F.get(lengths, n - 1), F.lit(0)).cast("long")
 
 
 _PATH = "struct<next:string,path:array<struct<name:string,id:string,next:string,start:bigint,end:bigint,hidden:boolean>>>"
@@ -148,7 +163,7 @@ def chains(found: Column) -> Column:
 
     def follow(block: Column) -> Column:
         def step(state: Column, _: Column) -> Column:
-            to = F.try_element_at(by_id, state["next"])
+            to = F.when(state["next"] != "", F.try_element_at(by_id, state["next"]))
             seen = F.exists(state["path"], lambda p: (p["name"] == "") & (p["id"] == state["next"]))
             onward = F.struct(to["next"].alias("next"), F.concat(state["path"], F.array(to)).alias("path")).cast(_PATH)
             return F.when(to.isNotNull() & ~seen, onward).otherwise(F.struct(F.lit("").alias("next"), state["path"].alias("path")).cast(_PATH))
@@ -161,11 +176,12 @@ def chains(found: Column) -> Column:
 
 def official_spans(pages: DataFrame) -> DataFrame:
     """(page_id, blocks, fragments, hidden, raw_spans, text_spans): the tagged passages that a page shows, merged, in the source and in its text."""
-    read = pages.select("page_id", fragments("html").alias("found"), normalized("html")["runs"].alias("runs"))
-    linked = read.select("page_id", "runs", chains(F.col("found")).alias("chains")).withColumn("parts", F.flatten("chains"))
+    read = pages.select("page_id", fragments("html").alias("found"), normalized("html").alias("n"))
+    linked = read.select("page_id", "n", chains(F.col("found")).alias("chains")).withColumn("parts", F.flatten("chains"))
     shown = merged_spans(F.filter("parts", lambda p: ~p["hidden"] & (p["end"] > p["start"])))
     spans = linked.withColumn("raw_spans", shown)
-    placed = F.transform("raw_spans", lambda s: F.struct(text_offset(F.col("runs"), s["start"]).alias("start"), text_offset(F.col("runs"), s["end"]).alias("end")))
+    place = lambda raw: text_offset(F.col("n.text_start"), F.col("n.raw_start"), F.col("n.length"), raw)
+    placed = F.transform("raw_spans", lambda s: F.struct(place(s["start"]).alias("start"), place(s["end"]).alias("end")))
     return spans.select(
         "page_id", F.size("chains").cast("long").alias("blocks"), F.size("parts").cast("long").alias("fragments"), F.size(F.filter("parts", lambda p: p["hidden"])).cast("long").alias("hidden"), "raw_spans", placed.alias("text_spans")
     )

@@ -28,9 +28,16 @@ ITEMS = [
     ("14", "Principal Accountant Fees and Services"), ("15", "Exhibits, Financial Statement Schedules"), ("16", "Form 10-K Summary"),
 ]
 
-HEADING = r"(?i)^\s*items?\s+(\d{1,2}[abc]?(?:\s*(?:,|and|&)\s*\d{1,2}[abc]?)*)\s*[.:\-]*\s*(.*)$"
+#: Heading lines (plain, with a part before or no blank, and of two items), a page number at a line's end, a contents marker, the line before signatures.
+STRICT = r"(?i)^\s*item\s+(\d{1,2})\s*([a-c])?\s*[.:\-]?\s*(.*)$"
+LOOSE = r"(?i)^\s*(?:part\s+[ivx]+[.,]?\s*[-:]?\s*)?item\s*(\d{1,2})\s*([a-c])?\b[\s.:\-]*(.*)$"
+COMBINED = r"(?i)^\s*items\s+(\d{1,2})\s*([a-c])?\s+and\s+(\d{1,2})\s*([a-c])?\b[\s.:\-]*(.*)$"
+PAGE_AT_END = r"(?:\.{3,}|·{3,}|\s)\s*\d{1,4}\s*$"
+MARKER = r"(?i)table\s+of\s+contents|\bindex\b"
+SIGNED = r"(?i)^\s*signatures?\s*$|^\s*s\s+i\s+g\s+n\s+a\s+t\s+u\s+r\s+e\s+s?\s*$|^\s*pursuant\s+to\s+the\s+requirements\s+of\s+section\s+13\s+or\s+15\s*\(\s*d\s*\)"
 FURNITURE = r"(?i)^\s*(?:page\s+)?\d{1,3}\s*$|^\s*table of contents\s*$|^\s*part\s+[iv]+\.?\s*$"
 NEAR_MARKER, BAND, SHORT_GAP, AMBIGUOUS = 3000, 1500, 300, 0.85
+LONGEST_LINE, LONGEST_STRICT, EMPHASIS, LINKED = 200, 120, 0.7, 0.5
 
 
 def items(spark: SparkSession) -> DataFrame:
@@ -38,38 +45,68 @@ def items(spark: SparkSession) -> DataFrame:
     return spark.createDataFrame([(c, i, t) for i, (c, t) in enumerate(ITEMS)], "code string, ord int, canonical string")
 
 
+def _flagged(mask: int) -> Column:
+    """The share of a heading line's characters, blanks aside, that ``marks`` say are set so."""
+    line = F.regexp_replace("line", r"\s", "")
+    on = F.filter("marks", lambda m: (m["flags"].bitwiseAND(F.lit(mask)) != 0) & (m["end"] > F.col("start")) & (m["start"] < F.col("end")))
+    part = lambda m: F.substr("line", (F.greatest(m["start"].cast("long"), F.col("start")) - F.col("start") + 1).cast("int"), (F.least(m["end"].cast("long"), F.col("end")) - F.greatest(m["start"].cast("long"), F.col("start"))).cast("int"))
+    chars = F.aggregate(on, F.lit(0), lambda n, m: n + F.length(F.regexp_replace(part(m), r"\s", "")))
+    return F.coalesce(F.try_divide(chars, F.length(line)), F.lit(0.0))
+
+
 def candidates(docs: DataFrame) -> DataFrame:
     """Headings of (doc_id, text): one row for each item that a heading line names, with its score and whether it only lists the item.
 
-    A heading counts as listed (as in a table of contents) with signs worth 2 or more - a page number at its end 1, a contents marker within 3000
-    characters before 1, at least four other headings within 1500 characters of which two follow 1, the next heading within 300 characters 0.75 - and a
-    later heading of the same item.
+    A heading counts as listed (as in a table of contents) with signs worth 2 or more - set as a link inside the page 2, a page number at its end 1, a contents marker
+    within 3000 characters before 1, at least four other headings within 1500 characters of which two follow 1, the next heading within 300 characters 0.75 - and
+    a later heading of the same item. The score is 2 for a plain heading line of at most 120 characters, 1 for one set in bold or as a heading, 0.5 for one next to
+    a blank line or in capitals, twice its title's similarity, and 0.25 for capitals. How lines are set is read from ``marks`` (``read_page``) where docs have that column.
     """
     spark = docs.sparkSession
-    lines = lines_of(docs).where(F.length("line") <= 200)
-    marker, head = F.lower(F.trim("line")) == "table of contents", F.regexp_extract("line", HEADING, 1)
-    marked = lines.withColumn("head", head).where(marker | (F.col("head") != ""))
-    seen = F.max(F.when(marker, F.col("start"))).over(Window.partitionBy("doc_id").orderBy("line_idx"))
-    rows = marked.withColumn("marker_at", seen).where("head <> ''")
+    line, number = F.col("line"), lambda p, a: F.upper(F.concat(F.regexp_extract("line", p, a), F.regexp_extract("line", p, a + 1)))
+    two, one = line.rlike(COMBINED), line.rlike(LOOSE)
+    codes = F.when(F.length(line) > LONGEST_LINE, F.array()).when(two, F.array(number(COMBINED, 1), number(COMBINED, 3))).when(one, F.array(number(LOOSE, 1))).otherwise(F.array())
+    codes = codes.cast("array<string>")
+    known = F.array(*(F.lit(c) for c, _ in ITEMS))
+    valid = F.when(F.forall(codes, lambda c: F.array_contains(known, c)), codes).otherwise(F.array().cast("array<string>"))
+    blank = F.trim(line) == ""
+    around = Window.partitionBy("doc_id").orderBy("line_idx")
+    # a line's place among its neighbours needs all lines, but of those that are no heading only whether they are blank or hold a marker
+    marker_at = F.when(line.rlike(MARKER), F.col("start") + F.length(F.regexp_extract("line", rf"(?s)^(.*)(?:{MARKER.removeprefix('(?i)')})", 1)))
+    light = lines_of(docs).select(
+        "doc_id", "line_idx", "start", "end", valid.alias("codes"), blank.alias("blank"), F.when(line.rlike(MARKER), F.coalesce(marker_at, F.col("start"))).alias("marker"), F.when(F.size(valid) > 0, line).alias("line")
+    )
+    placed = light.withColumns(
+        {"alone": F.coalesce(F.lag("blank").over(around), F.lit(True)) | F.coalesce(F.lead("blank").over(around), F.lit(True)), "marker_at": F.max("marker").over(around)}
+    )
+    rows = placed.where(F.size("codes") > 0)
+    if "marks" in docs.columns:
+        rows = rows.join(docs.select("doc_id", "marks"), "doc_id")
+        rows = rows.withColumns({"emphasis": _flagged(3), "linked": _flagged(4)}).drop("marks")
+    else:
+        rows = rows.withColumns({"emphasis": F.lit(0.0), "linked": F.lit(0.0)})
     by = Window.partitionBy("doc_id").orderBy("start")
-    near, after = F.count(F.lit(1)).over(by.rangeBetween(-BAND, BAND)) - 1, F.count(F.lit(1)).over(by.rangeBetween(1, BAND))
+    heads = F.size("codes")
+    near, after = F.sum(heads).over(by.rangeBetween(-BAND, BAND)) - heads, F.coalesce(F.sum(heads).over(by.rangeBetween(1, BAND)), F.lit(0))
     gap = F.lead("start").over(by) - F.col("end")
-    title = F.trim(F.regexp_extract("line", HEADING, 2))
+    numbered = F.col("line").rlike(PAGE_AT_END)
     signs = (
-        F.when(title.rlike(r"[. ]\d{1,3}$"), 1.0).otherwise(0.0) + F.when(F.col("start") - F.col("marker_at") <= NEAR_MARKER, 1.0).otherwise(0.0)
+        F.when(F.col("linked") >= LINKED, 2.0).otherwise(0.0) + F.when(numbered, 1.0).otherwise(0.0) + F.when(F.col("start") - F.col("marker_at") <= NEAR_MARKER, 1.0).otherwise(0.0)
         + F.when((near >= 4) & (after >= 2), 1.0).otherwise(0.0) + F.when(gap < SHORT_GAP, 0.75).otherwise(0.0)
     )
-    rows = rows.select("doc_id", "line_idx", "start", "end", "head", title.alias("title"), signs.alias("signs"))
-    codes = F.array_distinct(F.transform(F.regexp_extract_all("head", F.lit(r"(\d{1,2}[A-Ca-c]?)"), 1), lambda c: F.upper(c)))
-    each = rows.withColumn("codes", codes).select("*", (F.size("codes") > 1).alias("combined"), F.explode("codes").alias("code")).join(F.broadcast(items(spark)), "code")
-    plain = F.regexp_replace("title", r"[. ]*\d{1,3}$", "")
-    letters = F.length(F.regexp_replace("title", "[^A-Za-z]", ""))
-    upper = (letters > 0) & (F.length(F.regexp_replace("title", "[^A-Z]", "")) > 0.8 * letters)
-    scored = each.withColumn("sim", similarity(plain, F.col("canonical"))).withColumn(
-        "score", 2.0 * (F.col("end") - F.col("start") <= 120).cast("int") + 2.0 * F.col("sim") + 0.25 * upper.cast("int")
-    )
+    title = F.trim(F.when(F.size("codes") > 1, F.regexp_extract("line", COMBINED, 5)).otherwise(F.regexp_extract("line", LOOSE, 3)))
+    letters = F.length(F.regexp_replace("line", "[^A-Za-z]", ""))
+    upper = (letters > 0) & (F.length(F.regexp_replace("line", "[^A-Z]", "")) > 0.8 * letters)
+    short = F.length(F.trim("line")) <= LONGEST_STRICT
+    rows = rows.select(
+        "doc_id", "line_idx", "start", "end", title.alias("title"), signs.alias("signs"), numbered.alias("numbered"), (F.col("linked") >= LINKED).alias("linked"), upper.alias("upper"),
+        (F.col("line").rlike(STRICT) & short).alias("strict"), (F.col("emphasis") >= EMPHASIS).alias("set"), (short & (F.col("alone") | upper)).alias("apart"), (F.size("codes") > 1).alias("combined"), "codes",
+    )
+    rows = rows.select("*", F.explode("codes").alias("code")).drop("codes")  # after the windows, which are over lines
+    scored = rows.join(F.broadcast(items(spark)), "code").withColumn("sim", F.when(F.col("title") == "", 0.0).otherwise(similarity("title", "canonical")))
+    worth = 2.0 * F.col("strict").cast("int") + F.col("set").cast("int") + 0.5 * F.col("apart").cast("int") + 2.0 * F.col("sim") + 0.25 * F.col("upper").cast("int")
     later = F.max("start").over(Window.partitionBy("doc_id", "code")) > F.col("start")
-    return scored.withColumn("listed", (F.col("signs") >= 2) & later)
+    return scored.withColumn("score", worth).withColumn("listed", (F.col("signs") >= 2) & later)
 
 
 _PICK = "struct<ord:int,cost:double,start:bigint,code:string,end:bigint,combined:boolean,ratio:double,line_idx:bigint>"
@@ -126,21 +163,22 @@ def with_shared_headings(heads: DataFrame, found: DataFrame) -> DataFrame:
 def sections(docs: DataFrame) -> DataFrame:
     """All 23 items of every document: (doc_id, code, status, start_offset, end_offset, body_chars, toc_listed).
 
-    A section ends before the next chosen heading, or at a line that says SIGNATURES, or with the text; page furniture and blank lines at its end are cut off.
+    A section ends before the next chosen heading, or at a line that opens the signatures, or with the text; page furniture and blank lines at its end are cut off.
     Status, the first that holds: no heading - reserved for item 6, else missing; a heading shared by items - partial; a short pointer elsewhere -
     incorporated_by_reference; a short item 6 that says so - reserved; a runner-up of 0.85 of the score or more - ambiguous; no body - partial; else pass.
     A null text has no headings.
     """
     spark = docs.sparkSession
-    docs = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
+    docs = docs.withColumn("text", F.coalesce("text", F.lit("")))
     found = candidates(docs)
+    docs = docs.select("doc_id", "text")
     heads = with_shared_headings(chosen(found), found)
     starts = heads.groupBy("doc_id", "line_idx").agg(F.min("start").alias("seg"), F.max("end").alias("head_end"))
     by = Window.partitionBy("doc_id").orderBy("line_idx")
     lines = lines_of(docs).join(starts, ["doc_id", "line_idx"], "left")
     placed = lines.select(
         "doc_id", "start", "end", F.last("seg", True).over(by).alias("seg"), F.last("head_end", True).over(by).alias("head_end"),
-        F.max(F.upper(F.trim("line")) == "SIGNATURES").over(by).alias("signed"), (F.trim("line") == "").alias("blank"), F.col("line").rlike(FURNITURE).alias("furniture"),
+        F.max(F.col("line").rlike(SIGNED)).over(by).alias("signed"), (F.trim("line") == "").alias("blank"), F.col("line").rlike(FURNITURE).alias("furniture"),
     ).where("seg is not null and not signed")
     extents = placed.groupBy("doc_id", "seg").agg(F.max(F.when(~F.col("blank") & ~F.col("furniture"), F.col("end"))).alias("body_end"), F.max("head_end").alias("head_end"))
     by_doc = extents.groupBy("doc_id").agg(F.collect_list(F.struct("seg", "head_end", "body_end")).alias("segs"))
@@ -191,7 +229,7 @@ def d13_d14_guards(spark: SparkSession, sf_dir: str) -> DataFrame:
 def f1s_normalized_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Pages as text with the way back to the source. A null page is empty. Tests hold every run against the source."""
     done = table(spark, sf_dir, "pages").select("page_id", normalized("html").alias("n"))
-    return done.select("page_id", "n.text", F.size("n.runs").alias("n_runs"), F.aggregate("n.runs", F.lit(0), lambda s, r: s + r["length"]).alias("mapped_chars"))
+    return done.select("page_id", "n.text", F.size("n.length").alias("n_runs"), F.aggregate("n.length", F.lit(0), lambda s, n: s + n).alias("mapped_chars"))
 
 
 @query("f4s_f7s_linked_lines")

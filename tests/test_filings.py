@@ -46,11 +46,24 @@ def test_declarations(spark):
 
 
 def test_later_headings(spark):
-    body = "Item 1. Business\n" + "We make things. " * 20
-    rows = [(1, "1", body + "\nItem 2. Properties\n" + "One plant. " * 40 + "\nItem 3. Legal Proceedings\nNone.\n"), (1, "3", body + "\nItem 2. Properties\nx"), (2, "1", body + "\nas in Item 2. Properties\n"),
-            (3, "1", "Item 1. Business\nItem 2. Properties\n" + "One plant. " * 90), (4, "1", None), (5, "1", body + "\nItem 2. Zebras\n" + "y " * 300), (6, "1", body + "\nItem 2.\n" + "y " * 300)]
-    got = {(r.doc_id, r.code): (r.later, r.start) for r in G.later_headings(spark.createDataFrame(rows, "doc_id long, code string, text string")).collect()}
-    assert got == {(1, "1"): ("2", len(body) + 1), (6, "1"): ("2", len(body) + 1)}
+    """A heading needs emphasis or room of its own; one sign of a table of contents alone does not rule it out, two do."""
+    body = "Item 1. Business\n" + "We make things. " * 20 + "\n"
+    plant = "One plant. " * 40
+    at = (len(body) + 1, "2")
+    cases = [
+        ("1", body + "\nItem 2. Properties\n" + plant + "\n\nItem 3. Legal Proceedings\nNone.\n", at), ("3", body + "\nItem 2. Properties\nx", None), ("1", body + "\nas in Item 2. Properties\n", None),
+        ("1", body + "Item 2. Properties\nOne plant.", None), ("1", body + "ITEM 2. PROPERTIES\nOne plant.", (len(body), "2")), ("1", body + "Item 2. Properties\n\nOne plant.", (len(body), "2")),
+        ("1", "Item 1. Business\nItem 2. Properties\n" + "One plant. " * 90, None), ("1", None, None), ("1", body + "\nItem 2. Zebras\n" + plant, None), ("1", body + "\nItem 2.\n" + plant, at),
+        ("1", body + "\nItem 2. Properties\nOne.\n\nItem 3. Legal Proceedings\n" + plant, at),  # a short gap
+        ("1", "Table of Contents\n" + body + "\nItem 2. Properties\n" + plant, (len(body) + 19, "2")),  # a marker before
+        ("1", "Table of Contents\n" + body + "\nItem 2. Properties 12\n" + plant, None), ("1", body + "\nItem 2. Properties 12\n" + plant, None),
+        ("1", "Table of Contents\n" + body + "\n\n".join(["", "Item 2. Properties", "Item 3. Legal Proceedings", "Item 4. Mine Safety Disclosures", "Item 6. Reserved", "Item 9B. Other Information", plant]), (0, "")),  # the first with fewer than two headings after it
+    ]
+    rows = [(k, code, text) for k, (code, text, _) in enumerate(cases)]
+    got = {r.doc_id: (r.start, r.later) for r in G.later_headings(spark.createDataFrame(rows, "doc_id long, code string, text string")).collect()}
+    last = cases[-1][1].index("Item 6")
+    want = {k: w for k, (*_, w) in enumerate(cases) if w} | {len(cases) - 1: (last, "6")}
+    assert got == want
 
 
 class Plain(HTMLParser):
