@@ -11,7 +11,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 #: The elements that carry tags, the taxonomy's address and the ending of a text block's name.
-_TAG = re.compile(r"<!--.*?(?:-->|\Z)|<(/?)(ix:hidden|ix:nonnumeric|ix:continuation)(?=[\s/>])([^>]*)>", re.I | re.S)
+_TAG = re.compile(r"<!--.*?(?:-->|\Z)|<(?P<raw>script|style)(?=[\s>])[^>]*>.*?(?:</(?P=raw)(?=[\s/>])|\Z)|<(?P<end>/?)(?P<tag>ix:hidden|ix:nonnumeric|ix:continuation)(?=[\s/>])(?P<rest>[^>]*)>", re.I | re.S)
 _TAXONOMY = re.compile(r"xmlns:([\w.-]+)\s*=\s*[\"'][^\"'>]*xbrl\.sec\.gov/cyd[^\"'>]*[\"']")
 _BLOCK = "TextBlock"
 _ATTRIBUTE = re.compile(r"([A-Za-z][\w:.-]*)\s*=\s*(?:\"([^\"]*)\"|'([^']*)')")
@@ -22,22 +22,22 @@ FRAGMENTS = "array<struct<name: string, id: string, next: string, start: bigint,
 def tagged_fragments(raw: str) -> list[dict]:
     """Text blocks (with a name) and continuations (without, the first of each id) in the order in which they close.
 
-    ``start`` and ``end`` bound the content in the source. An element that never closes is left out, and so is a tag without a ">".
+    ``start`` and ``end`` bound the content in the source. An element that never closes is left out, and so is a tag without a ">". Scripts, styles and comments hold no tags.
     """
     prefixes = {p.lower() for p in _TAXONOMY.findall(raw)} or {"cyd"}
     waiting: dict[str, list[dict | None]] = {"ix:nonnumeric": [], "ix:continuation": []}
     out, ids, hidden = [], set(), 0
     for m in _TAG.finditer(raw, 0, raw.rfind(">") + 1):
-        tag = (m.group(2) or "").lower()
+        tag = (m["tag"] or "").lower()
         if tag == "ix:hidden":
-            hidden = max(0, hidden - 1) if m.group(1) else hidden + (not m.group(3).endswith("/"))
-        elif tag and not m.group(1):
-            said = {k.lower(): html.unescape(a or b) for k, a, b in _ATTRIBUTE.findall(m.group(3))}
+            hidden = max(0, hidden - 1) if m["end"] else hidden + (not m["rest"].endswith("/"))
+        elif tag and not m["end"]:
+            said = {k.lower(): html.unescape(a or b) for k, a, b in _ATTRIBUTE.findall(m["rest"])}
             prefix, _, local = said.get("name", "").partition(":")
             block = tag == "ix:nonnumeric" and prefix.lower() in prefixes and local.endswith(_BLOCK)
             wanted = block or (tag == "ix:continuation" and said.get("id"))
             fragment = {"name": said["name"] if block else "", "id": said.get("id", ""), "next": said.get("continuedat", ""), "start": m.end(), "hidden": hidden > 0}
-            if not m.group(3).endswith("/"):
+            if not m["rest"].endswith("/"):
                 waiting[tag].append(fragment if wanted else None)
             elif wanted:
                 out.append(fragment | {"end": m.end()})

@@ -59,14 +59,15 @@ def a8_two_grains(spark: SparkSession, sf_dir: str) -> DataFrame:
 def a9_jn5_line_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Lines of ten letters and digits or more that an item's text contains, against lines wanted, by group: right, wrong and missed ones, and F1.
 
-    A line can only be where its first ten characters are, so places of ten characters in the items' texts are joined by equality and the rest is compared there.
+    A line can only be where its first ten characters are, so places of ten characters in the items' texts are joined by equality, and each match is compared once, in place.
     """
     norm = lambda c: F.regexp_replace(F.lower(c), "[^a-z0-9]+", "")
     docs = table(spark, sf_dir, "documents")
     lines = lines_of(docs).select("doc_id", "line_idx", norm("line").alias("norm"), (F.length("line") >= 60).alias("gold")).where("length(norm) >= 10").withColumn("key", F.left("norm", F.lit(10)))
-    bodies = table(spark, sf_dir, "benchmark").select(norm("text").alias("body")).where("length(body) >= 10").distinct()
-    places = bodies.select("body", F.explode(F.sequence(F.lit(1), F.length("body") - 9)).alias("at")).select(F.expr("substring(body, at, 10)").alias("key"), F.expr("substring(body, at)").alias("rest")).distinct()
-    found = lines.select("norm", "key").distinct().join(places, "key").where(F.startswith("rest", "norm")).select("norm", F.lit(True).alias("hit")).distinct()
+    bodies = table(spark, sf_dir, "benchmark").select(norm("text").alias("body")).where("length(body) >= 10").distinct().withColumn("body_id", F.sha2("body", 256))
+    places = bodies.select("body_id", "body", F.explode(F.sequence(F.lit(1), F.length("body") - 9)).alias("at")).select(F.expr("substring(body, at, 10)").alias("key"), "body_id", "at")
+    near = lines.select("norm", "key").distinct().join(places, "key").join(bodies, "body_id")
+    found = near.where(F.expr("substring(body, at, length(norm)) = norm")).select("norm", F.lit(True).alias("hit")).distinct()
     hits = lines.join(found, "norm", "left").withColumn("found", F.coalesce("hit", F.lit(False)))
     by_doc = hits.groupBy("doc_id").agg(count("gold and found").alias("tp"), count("not gold and found").alias("fp"), count("gold and not found").alias("fn"))
     by = by_doc.join(docs.select("doc_id", "lang"), "doc_id").groupBy("lang").agg(*(F.sum(c).alias(c) for c in ("tp", "fp", "fn")))

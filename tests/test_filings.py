@@ -100,7 +100,7 @@ def test_tagged_fragments():
 
     rng = random.Random(3)
     pieces = ['<ix:nonNumeric name="cyd:ATextBlock" id="a" continuedAt="c1">', "<ix:nonNumeric name='cyd:Flag'>", "</ix:nonNumeric>", '<ix:continuation id="c1" continuedAt="c2">', '<ix:continuation id="c2">', "<ix:continuation>",
-              "</ix:continuation>", "<ix:hidden>", "</ix:hidden>", "<!-- <ix:hidden> -->", "<p>text</p>", "words "]
+              "</ix:continuation>", "<ix:hidden>", "</ix:hidden>", "<!-- <ix:hidden> -->", "<script>'<ix:hidden>'</script>", '<style a="b"><ix:continuation id="c3"></ix:continuation></style>', "<p>text</p>", "words "]
     for _ in range(400):
         raw = "".join(rng.choices(pieces, k=rng.randrange(14)))
         plain = Plain()
