@@ -27,6 +27,7 @@ _LATE_TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<(script|style)\b.*?(?:</\1\s*>|\Z)
 _WORD = re.compile(r"\S+")
 #: White space that does not stay as it is.
 _UNEVEN = re.compile(r"[^\S ]|  ")
+_BLOCK_TAG = re.compile(r"<\s*(?:p|div|br|tr|table|li|h[1-6])\b", re.I)
 _HREF = re.compile(r"\shref\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+))", re.I)
 BOLD, HEADING, INNER_LINK = 1, 2, 4
 
@@ -39,12 +40,19 @@ def _tokens(raw: str) -> Iterator[re.Match]:
         at = m.end()
 
 
+def is_plain(raw: str) -> bool:
+    """Whether a page has at least 50 lines and fewer than one block tag in ten of them."""
+    newlines = raw.count("\n")
+    return newlines >= 50 and sum(1 for _ in _BLOCK_TAG.finditer(raw)) < 0.1 * newlines
+
+
 def read_page(raw: str) -> tuple[str, list[int], list[int], list[int], list[tuple[int, int, int]]]:
     """(text, text starts, raw starts, lengths, marks): the visible text of a page, its runs that came from the source character by character, and what it is set in.
 
     White space becomes one space, block tags end a line, a cell ends with a space; scripts, styles and comments go; an entity is a run of length 1. Marks are
-    (start, end, flags) of the text in bold, in a heading or in a link to a place of the same page.
+    (start, end, flags) of the text in bold, in a heading or in a link to a place of the same page. In a page that is lines of plain text (``is_plain``) line breaks stay.
     """
+    lined = is_plain(raw)
     out, starts, sources, lengths, marks, size, gap = [], [], [], [], [], 0, ""
     bold = heading = inner = 0
     links: list[bool] = []
@@ -70,6 +78,26 @@ def read_page(raw: str) -> tuple[str, list[int], list[int], list[int], list[tupl
                 marks.append((size, size + len(s), flags))
         size += len(s)
 
+    def say(text: str, at: int) -> None:
+        nonlocal gap
+        bare = text.strip()
+        if not bare:
+            gap = gap or " " * bool(text)
+        elif not _UNEVEN.search(bare):
+            before = text.index(bare[0])
+            gap = gap or " " * (before > 0)
+            emit(bare, at + before)
+            gap = " " * (before + len(bare) < len(text))
+        else:
+            done = 0
+            for w in _WORD.finditer(text):
+                if w.start() > done:
+                    gap = gap or " "
+                emit(w.group(), at + w.start())
+                done = w.end()
+            if done < len(text):
+                gap = gap or " "
+
     for m in _tokens(raw):
         tag, token = (m.group(3) or "").lower(), m.group()
         if tag:
@@ -94,23 +122,14 @@ def read_page(raw: str) -> tuple[str, list[int], list[int], list[int], list[tupl
             text = (html.unescape(token) if m.group(4) else token).translate(PLAIN)
             if m.group(4):
                 text = text[:1]
-            bare = text.strip()
-            if not bare:
-                gap = gap or " "
-            elif not _UNEVEN.search(bare):
-                before = text.index(bare[0])
-                gap = gap or " " * (before > 0)
-                emit(bare, m.start() + before)
-                gap = " " * (before + len(bare) < len(text))
+            if lined and "\n" in text:
+                at = m.start()
+                for k, line in enumerate(text.split("\n")):
+                    gap = "\n" if k else gap
+                    say(line, at)
+                    at += len(line) + 1
             else:
-                at = 0
-                for w in _WORD.finditer(text):
-                    if w.start() > at:
-                        gap = gap or " "
-                    emit(w.group(), m.start() + w.start())
-                    at = w.end()
-                if at < len(text):
-                    gap = gap or " "
+                say(text, m.start())
     return "".join(out), starts, sources, lengths, marks
 
 
@@ -128,6 +147,18 @@ def _normalized(pages: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
         yield pd.DataFrame(made | {"marks": [[{"start": a, "end": b, "flags": f} for a, b, f in page] for page in columns[4]]})
 
 
+def _guarded(pages: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
+    for raw in pages:
+        rows = []
+        for r in raw:
+            try:
+                text, _, _, _, marks = read_page(r or "")
+                rows.append((text, [{"start": a, "end": b, "flags": f} for a, b, f in marks], None))
+            except Exception as error:  # one page's fault is that page's row, not the job's end
+                rows.append(("", [], f"{type(error).__name__}: {error}"))
+        yield pd.DataFrame(rows, columns=["text", "marks", "fault"])
+
+
 def similarity(a: Column | str, b: Column | str) -> Column:
     """Matching-blocks ratio without regard to case; 0 where a side is null."""
     return F.pandas_udf(_similarity, "double")(a, b)
@@ -137,3 +168,8 @@ def normalized(page: Column | str) -> Column:
     """``read_page`` of a column, its runs as three arrays. A null page is empty."""
     made = "text: string, text_start: array<int>, raw_start: array<int>, length: array<int>, marks: array<struct<start: int, end: int, flags: int>>"
     return F.pandas_udf(_normalized, f"struct<{made}>")(page)
+
+
+def guarded(page: Column | str) -> Column:
+    """Text and marks of a column; where a page cannot be read both are empty and ``fault`` says why."""
+    return F.pandas_udf(_guarded, "struct<text: string, marks: array<struct<start: int, end: int, flags: int>>, fault: string>")(page)

@@ -91,9 +91,11 @@ def with_declarations(found: DataFrame, docs: DataFrame) -> DataFrame:
     named = declarations(docs).withColumnRenamed("start", "_start").withColumnRenamed("end", "_end")
     taken = (F.col("status") == "missing") & F.col("_start").isNotNull()
     pick = lambda new, old: F.when(taken, new).otherwise(F.col(old)).alias(old)
+    more = {"provenance": F.lit("cross_reference_pointer"), "needs_review": F.lit(True)}
     return found.join(named, ["doc_id", "code"], "left").select(
-        "doc_id", "code", pick(F.lit("incorporated_by_reference"), "status"), pick(F.col("_start"), "start_offset"), pick(F.col("_end"), "end_offset"), "body_chars", "toc_listed"
-    )
+        "doc_id", "code", pick(F.lit("incorporated_by_reference"), "status"), pick(F.col("_start"), "start_offset"), pick(F.col("_end"), "end_offset"), "body_chars", "toc_listed",
+        *(pick(new, c) for c, new in more.items() if c in found.columns),
+    )
 
 
 @query("d9_part_declarations")
