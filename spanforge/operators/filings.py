@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from spanforge.functions.markup import normalized
 from spanforge.functions.tags import fragments
 from spanforge.operators.references import merged_spans
-from spanforge.operators.sections import _filed, candidates, items, sections
+from spanforge.operators.sections import HEAD_MARGIN, _filed, candidates, items, plausible, sections
 from spanforge.operators.stubs import _LETTERS, ELSEWHERE, FEW_NUMBERS, LONG_BODY, NUMBER, POINTS, POINTS_OUTSIDE, SHORT_BODY, TARGETS, stub_target
 from spanforge.plans.registry import query
 from spanforge.sources.tables import table
@@ -106,16 +106,6 @@ def d9_part_declarations(spark: SparkSession, sf_dir: str) -> DataFrame:
     return with_declarations(sections(filed), filed)
 
 
-HEAD_MARGIN = 300
-
-
-def plausible(found: DataFrame) -> DataFrame:
-    """Headings that read as a body's: plain lines that are set in bold, as a heading or apart, without a page number or a link, with signs of a table of contents worth
-    less than 2, and a title like the item's or none."""
-    shaped = F.col("strict") & (F.col("set") | F.col("apart")) & ~F.col("numbered") & ~F.col("linked")
-    return found.where((F.col("signs") < 2) & shaped & ((F.col("sim") >= 0.4) | (F.col("title") == "")))
-
-
 def later_headings(spans: DataFrame, margin: int = HEAD_MARGIN) -> DataFrame:
     """(doc_id, code, later, start): the first plausible heading of a later item inside each span (doc_id, code, text); spans without one are left out."""
     key = F.to_json(F.struct("doc_id", "code"))

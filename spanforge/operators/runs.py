@@ -6,9 +6,9 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from spanforge.functions.markup import guarded
-from spanforge.operators.filings import HEAD_MARGIN, plausible, with_declarations
+from spanforge.operators.filings import with_declarations
 from spanforge.operators.indexes import _indexed, index_segments, indexes
-from spanforge.operators.sections import ITEMS, _filed, candidates, items, sections
+from spanforge.operators.sections import HEAD_MARGIN, ITEMS, _filed, candidates, items, plausible, sections
 from spanforge.operators.wrappers import _wrapped, with_bodies
 from spanforge.plans.checkpoints import settled
 from spanforge.plans.registry import query

@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 from spanforge.functions.markup import normalized, similarity
 from spanforge.operators.lines import lines_of
 from spanforge.operators.stubs import LONG_BODY, stub_target
+from spanforge.plans.checkpoints import settled
 from spanforge.plans.registry import query
 from spanforge.sources.tables import table
 
@@ -38,6 +39,12 @@ SIGNED = r"(?i)^\s*signatures?\s*$|^\s*s\s+i\s+g\s+n\s+a\s+t\s+u\s+r\s+e\s+s?\s*
 FURNITURE = r"(?i)^\s*(?:page\s+)?\d{1,3}\s*$|^\s*table of contents\s*$|^\s*part\s+[iv]+\.?\s*$"
 NEAR_MARKER, BAND, SHORT_GAP, AMBIGUOUS = 3000, 1500, 300, 0.85
 LONGEST_LINE, LONGEST_STRICT, EMPHASIS, LINKED = 200, 120, 0.7, 0.5
+#: Titles that items had before, a line that may be a heading without the word "item", and how like a title the rest of it must be.
+EARLIER_TITLES = [
+    ("4", "Submission of Matters to a Vote of Security Holders"), ("6", "Selected Financial Data"), ("10", "Directors and Executive Officers of the Registrant"), ("14", "Principal Accounting Fees and Services"),
+]
+LOOSE_HEADING = r"(?i)^\s*(?:item[\s.]+)?(\d{1,2})\s*([a-c])?(?:\(t\))?\s*[.:\-–—]?\s*(.*)$"
+HEAD_MARGIN, TITLE_SIMILARITY, PLAUSIBLE_SIMILARITY = 300, 0.6, 0.4
 
 
 def items(spark: SparkSession) -> DataFrame:
@@ -109,6 +116,36 @@ def candidates(docs: DataFrame) -> DataFrame:
     return scored.withColumn("score", worth).withColumn("listed", (F.col("signs") >= 2) & later)
 
 
+def plausible(found: DataFrame) -> DataFrame:
+    """Headings that read as a body's: plain lines that are set in bold, as a heading or apart, without a page number or a link, with signs of a table of contents worth
+    less than 2, and a title like the item's or none."""
+    shaped = F.col("strict") & (F.col("set") | F.col("apart")) & ~F.col("numbered") & ~F.col("linked")
+    return found.where((F.col("signs") < 2) & shaped & ((F.col("sim") >= PLAUSIBLE_SIMILARITY) | (F.col("title") == "")))
+
+
+def titled_lines(docs: DataFrame, found: DataFrame) -> DataFrame:
+    """(doc_id, line_idx, start, code, ord) of lines that are an item's number and its title, with or without the word "item", and are no heading of ``found``.
+
+    The title is the present or an earlier one: it starts with the first two words of it and is alike by 0.6. Lines with a page number at their end, over 120 characters, or set as links don't count.
+    """
+    spark = docs.sparkSession
+    titles = items(spark).select("code", "ord", F.explode(F.array("canonical")).alias("known"))
+    earlier = spark.createDataFrame(EARLIER_TITLES, "code string, known string").join(items(spark).select("code", "ord"), "code").select("code", "ord", "known")
+    variants = titles.unionByName(earlier)
+    words = F.slice(F.regexp_extract_all("known", F.lit("([A-Za-z]+)"), 1), 1, 2)
+    variants = variants.select("code", "ord", "known", F.concat(F.lit("(?i)^"), F.array_join(words, r"[\W_]+"), F.lit(r"\b")).alias("opening"))
+    bare = F.trim("line")
+    part = lambda g: F.regexp_extract(bare, LOOSE_HEADING, g)
+    lines = lines_of(docs).where((F.length(bare) <= LONGEST_STRICT) & bare.rlike(LOOSE_HEADING) & ~bare.rlike(PAGE_AT_END))
+    rest = F.regexp_replace(F.regexp_replace(part(3), r"^\s+|\s+$", ""), r"[.:]+$", "")
+    named = lines.select("doc_id", "line_idx", "start", "end", "line", F.concat(part(1), F.upper(part(2))).alias("code"), F.trim(rest).alias("rest"))
+    open_ = named.join(F.broadcast(variants), "code").where(F.regexp_like("rest", F.col("opening")))
+    alike = open_.where(similarity("known", "rest") >= TITLE_SIMILARITY)
+    if "marks" in docs.columns:
+        alike = alike.join(docs.select("doc_id", "marks"), "doc_id").where(_flagged(4) < LINKED)
+    return alike.select("doc_id", "line_idx", "start", "code", "ord").distinct().join(found.select("doc_id", "line_idx"), ["doc_id", "line_idx"], "left_anti")
+
+
 _PICK = "struct<ord:int,cost:double,start:bigint,code:string,end:bigint,combined:boolean,ratio:double,line_idx:bigint>"
 
 
@@ -163,34 +200,41 @@ def with_shared_headings(heads: DataFrame, found: DataFrame) -> DataFrame:
 def sections(docs: DataFrame) -> DataFrame:
     """All 23 items of every document: (doc_id, code, status, start_offset, end_offset, body_chars, toc_listed).
 
-    A section ends before the next chosen heading, or at a line that opens the signatures, or with the text; page furniture and blank lines at its end are cut off.
+    A section ends before the next chosen heading, before an earlier line in it, 300 characters or more after its start, that is a plausible heading or a titled line of a later
+    item, or at a line that opens the signatures, or with the text; page furniture and blank lines at its end are cut off.
     Status, the first that holds: no heading - reserved for item 6, else missing; a heading shared by items - partial; a short pointer elsewhere -
     incorporated_by_reference; a short item 6 that says so - reserved; a runner-up of 0.85 of the score or more - ambiguous; no body - partial; else pass.
     A null text has no headings.
     """
     spark = docs.sparkSession
     docs = docs.withColumn("text", F.coalesce("text", F.lit("")))
-    found = candidates(docs)
+    found = settled(candidates(docs))
+    titled = titled_lines(docs, found)
     docs = docs.select("doc_id", "text")
-    heads = with_shared_headings(chosen(found), found)
+    heads = settled(with_shared_headings(chosen(found), found))
     starts = heads.groupBy("doc_id", "line_idx").agg(F.min("start").alias("seg"), F.max("end").alias("head_end"))
     by = Window.partitionBy("doc_id").orderBy("line_idx")
     lines = lines_of(docs).join(starts, ["doc_id", "line_idx"], "left")
     placed = lines.select(
-        "doc_id", "start", "end", F.last("seg", True).over(by).alias("seg"), F.last("head_end", True).over(by).alias("head_end"),
+        "doc_id", "line_idx", "start", "end", F.last("seg", True).over(by).alias("seg"), F.last("head_end", True).over(by).alias("head_end"),
         F.max(F.col("line").rlike(SIGNED)).over(by).alias("signed"), (F.trim("line") == "").alias("blank"), F.col("line").rlike(FURNITURE).alias("furniture"),
     ).where("seg is not null and not signed")
-    extents = placed.groupBy("doc_id", "seg").agg(F.max(F.when(~F.col("blank") & ~F.col("furniture"), F.col("end"))).alias("body_end"), F.max("head_end").alias("head_end"))
-    by_doc = extents.groupBy("doc_id").agg(F.collect_list(F.struct("seg", "head_end", "body_end")).alias("segs"))
+    placed = placed.join(heads.select("doc_id", F.col("start").alias("seg"), "code", "ord"), ["doc_id", "seg"])
+    later = plausible(found).select("doc_id", "line_idx", F.col("ord").alias("later")).unionByName(titled.select("doc_id", "line_idx", F.col("ord").alias("later")))
+    met = placed.join(later, ["doc_id", "line_idx"]).where((F.col("later") > F.col("ord")) & (F.col("start") >= F.greatest(F.col("seg") + HEAD_MARGIN, F.col("head_end") + 1)))
+    cuts = met.groupBy("doc_id", "code").agg(F.min("start").alias("cut"))
+    whole = placed.join(cuts, ["doc_id", "code"], "left").where("cut is null or start < cut")
+    extents = whole.groupBy("doc_id", "code", "seg").agg(F.max(F.when(~F.col("blank") & ~F.col("furniture"), F.col("end"))).alias("body_end"), F.max("head_end").alias("head_end"))
+    by_doc = extents.groupBy("doc_id").agg(F.collect_list(F.struct("code", "seg", "head_end", "body_end")).alias("segs"))
     text_of = lambda s: F.trim(F.substr("text", (s["head_end"] + 1).cast("int"), F.least(s["body_end"] - s["head_end"], F.lit(LONG_BODY)).cast("int")))
-    cut = by_doc.join(docs, "doc_id").select("doc_id", F.inline(F.transform("segs", lambda s: F.struct(s["seg"].alias("start"), s["body_end"].alias("body_end"), (s["body_end"] - s["head_end"]).alias("body_chars"), text_of(s).alias("body")))))
+    cut = by_doc.join(docs, "doc_id").select("doc_id", F.inline(F.transform("segs", lambda s: F.struct(s["code"].alias("code"), s["seg"].alias("start"), s["body_end"].alias("body_end"), (s["body_end"] - s["head_end"]).alias("body_chars"), text_of(s).alias("body")))))
     stub = (F.col("body_chars") <= LONG_BODY) & stub_target(F.col("body")).isNotNull()
     reserved = (F.col("code") == "6") & (F.col("body_chars") < 200) & F.lower("body").contains("reserved")
     status = (
         F.when(F.col("start").isNull(), F.when(F.col("code") == "6", "reserved").otherwise("missing")).when(F.col("combined"), "partial").when(stub, "incorporated_by_reference")
         .when(reserved, "reserved").when(F.col("ratio") >= AMBIGUOUS, "ambiguous").when(F.col("body_chars") <= 1, "partial").otherwise("pass")
     )
-    named = heads.select("doc_id", "code", "start", "combined", "ratio").join(cut, ["doc_id", "start"])
+    named = heads.select("doc_id", "code", "combined", "ratio").join(cut, ["doc_id", "code"])
     listed = found.where("listed").select("doc_id", "code").distinct().withColumn("toc_listed", F.lit(True))
     all_items = docs.select("doc_id", F.explode(F.array(*(F.lit(c) for c, _ in ITEMS))).alias("code"))
     joined = all_items.join(named, ["doc_id", "code"], "left").join(listed, ["doc_id", "code"], "left")
@@ -216,6 +260,14 @@ def d1_d3_w1_w19_sections(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sections(_filed(spark, sf_dir))
 
 
+@query("w12_f12s_end_rescan")
+def w12_f12s_end_rescan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Sections of documents in which the next item is headed by its number and an earlier title only, without the word "item"; tests hold every end against its place."""
+    text = F.coalesce("text", F.lit(""))
+    filed = F.concat(F.lit("Item 3. Legal Proceedings\n"), text, F.lit("\n4. Submission of Matters to a Vote of Security Holders\n"), text, F.lit("\nItem 5. Market for Registrant\nSIGNATURES\n"))
+    return sections(table(spark, sf_dir, "documents").select("doc_id", filed.alias("text"))).where("start_offset is not null")
+
+
 @query("d13_d14_guards")
 def d13_d14_guards(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Sections that pass but whose size lies far off their item's median (under a fifth or over eight times it); items with under five samples have no band."""

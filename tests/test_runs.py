@@ -57,7 +57,8 @@ def test_known_filings(spark):
     assert status[1]["1"] == status[1]["2"] == "pass" and not got[1]["1"].needs_review and status[1]["3"] == "missing" and got[1]["3"].reasons == ["nothing found"]
     text = markup.read_page(standard)[0]
     assert text[got[1]["1"].start : got[1]["1"].end].startswith("Item 1. Business\nWe make") and text[got[1]["2"].start : got[1]["2"].end].endswith("at length.")
-    assert got[2]["1"].status == "pass" and got[2]["1"].reasons == ["later heading inside"] and got[2]["1"].needs_review and not got[2]["3"].needs_review
+    bled = markup.read_page(bleeding)[0]
+    assert got[2]["1"].status == "pass" and bled[got[2]["1"].start : got[2]["1"].end].endswith("at length.") and bled[got[2]["1"].end :].startswith("\nItem 2.\n") and got[2]["1"].reasons == []
     assert got[3]["1"].reasons == got[3]["2"].reasons == ["shared span"] and (got[3]["1"].start, got[3]["1"].end) == (got[3]["2"].start, got[3]["2"].end)
     assert status[4]["1"] == status[4]["2"] == "pass" and got[4]["2"].filing_class == R.STANDARD
     assert {status[5][c] for c in "10 11 12 13 14".split()} == {"incorporated_by_reference"} and got[5]["12"].provenance == "cross_reference_pointer" and got[5]["12"].reasons == []
@@ -66,6 +67,15 @@ def test_known_filings(spark):
     assert {r.filing_class for r in got[11].values()} == {R.OTHER} and status[11]["6"] == "reserved" and status[11]["1"] == "missing"
 
 
+def test_overshoot(spark):
+    """A passed item of which a plausible heading of a later one stands 300 characters or more behind its start."""
+    text = "Item 1. Business\n" + "We make things. " * 30 + "\n\nItem 3. Legal Proceedings\nNone.\n"
+    heads = candidates(spark.createDataFrame([(d, text) for d in range(5)], "doc_id long, text string"))
+    rows = [(0, "1", "pass", "offset_exact_span", 0, len(text)), (1, "3", "pass", "offset_exact_span", 0, len(text)), (2, "1", "partial", "offset_exact_span", 0, len(text)), (3, "1", "pass", "offset_exact_span", 0, 490), (4, "1", "pass", "offset_exact_span", 300, len(text))]
+    spans = spark.createDataFrame(rows, "doc_id long, code string, status string, provenance string, start long, end long")
+    assert sorted(map(tuple, R._overshot(spans, heads).collect())) == [(0, "1")]
+
+
 def test_a_fault_is_a_row(monkeypatch):
     real = markup.read_page
 

@@ -66,6 +66,40 @@ def test_listed_headings(spark):
     assert sum(r.code == "1A" for r in rows) == 1  # nothing later stands for it, so it stays
 
 
+def test_ends_are_scanned_again(spark):
+    """A line that is a later item's number and title ends a section, with or without the word "item", by its present title or an earlier one."""
+    head, say = "Item 1. Business\n", "We make things and sell them. " * 12 + "\n"
+    lines = {
+        "3. LEGAL PROCEEDINGS": True, "9B Other Information": True, "4. Submission of Matters to a Vote of Security Holders.": True, "Item 6 - Selected Financial Data": True, "10 (x) Directors": False, "1. Business": False,
+        "3. Legal Proceedings are described in Note 12.": False, "3. Legal Proceedings 14": False, "12,345 units": False, "10 May 2013": False, "2 Properties and other things that we own": False, "2. PROPERTIES:": True, "14. Principal Accountant Fees and Services": True,
+    }
+    texts = [head + say + line + "\n" + say for line in lines] + [head + "2. Properties\n" + say * 2]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got = {r.doc_id: texts[r.doc_id][: r.end_offset] for r in sections(docs).where("code = '1'").collect()}
+    for k, (line, cuts) in enumerate(lines.items()):
+        assert got[k] == (head + say if cuts else texts[k])[:-1], line
+    assert got[len(lines)] == texts[-1][:-1]  # too near the section's own heading
+
+
+def test_ends_of_all_documents(spark):
+    from spanforge.operators.sections import w12_f12s_end_rescan
+
+    sf = "/root/testdata/sf0.001"
+    texts = {r.doc_id: r.text or "" for r in spark.read.parquet(f"{sf}/documents.parquet").collect()}
+    got = {(r.doc_id, r.code): (r.start_offset, r.end_offset) for r in w12_f12s_end_rescan(spark, sf).collect()}
+    head, titled = "Item 3. Legal Proceedings\n", "4. Submission of Matters to a Vote of Security Holders\n"
+    cut = 0
+    for i, text in texts.items():
+        filed = head + text + "\n" + titled + text + "\n"
+        scanned = len(head + text) + 1 >= 300
+        kept = (head + text if scanned else filed).split("\n")
+        while not kept[-1].strip(" ") or kept[-1].strip().isdigit():
+            kept.pop()
+        assert got[i, "3"] == (0, len("\n".join(kept))), i
+        cut += scanned
+    assert len(got) == 2 * len(texts) and cut > 150
+
+
 PAGE = "<html><head><style>p{}</style><script>if(a<b){}</script></head><body><!-- x --><h1>A &amp; B</h1><p>one&nbsp;two  <b>thr</b>ee<br>four</p><table><tr><td>1</td><td>2</td></tr></table></body></html>"
 
 
