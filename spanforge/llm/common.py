@@ -140,7 +140,8 @@ def tokenizer_path(name: str) -> str:
 def with_texts(docs: DataFrame, work, text_col: str = "text", chars_col: str = "n_chars") -> DataFrame:
     """All columns of documents with new texts, and their length in characters where there is a column for it.
 
-    ``work()`` is called once a task and gives a function from a slice's texts to as many new ones; a document goes where that is None.
+    ``work()`` is called once a task and gives a function from a slice's texts to as many new ones; a document goes where that is None. To it a null text is empty, and
+    a document with a null text that stays keeps its text and its length as they were.
     """
     import pyarrow as pa
     import pyarrow.compute as pc
@@ -150,11 +151,13 @@ def with_texts(docs: DataFrame, work, text_col: str = "text", chars_col: str = "
     def run(batches):
         rewrite = work()
         for batch in slices(batches):
-            texts = rewrite([t or "" for t in batch.column(text_col).to_pylist()])
-            new = pa.array(texts, batch.schema.field(text_col).type)
+            old = batch.column(text_col)
+            made = pa.array(rewrite([t or "" for t in old.to_pylist()]), old.type)
+            new = pc.if_else(old.is_valid(), made, old)
             columns = {c: batch.column(c) for c in batch.schema.names} | {text_col: new}
             if chars_col in columns:
-                columns[chars_col] = pc.utf8_length(new).cast(batch.schema.field(chars_col).type)
-            yield pa.RecordBatch.from_arrays(list(columns.values()), schema=batch.schema).filter(new.is_valid())
+                length = pc.utf8_length(new).cast(batch.schema.field(chars_col).type)
+                columns[chars_col] = pc.if_else(old.is_valid(), length, batch.column(chars_col))
+            yield pa.RecordBatch.from_arrays(list(columns.values()), schema=batch.schema).filter(made.is_valid())
 
     return docs.mapInArrow(run, docs.schema)
