@@ -2,6 +2,9 @@
 
 Each stage works on all that the one before kept, which is written as Parquet and read again in between. All but the last return
 the columns of ``documents``; the last returns the pieces of packed sequences.
+
+Edge cases, in every stage: a null text counts as empty and stays null in the documents that are kept; rows of one id and text are rows of their own, of which near
+duplicates keep one and the others all; null ids stay; other columns, whatever their names, are passed on; an empty table gives an empty table.
 """
 
 from __future__ import annotations
