@@ -100,6 +100,23 @@ def test_ends_of_all_documents(spark):
     assert len(got) == 2 * len(texts) and cut > 150
 
 
+def test_size_guards(spark):
+    """Passed sections against a fifth of and eight times their item's median; an item with fewer than five samples has no band."""
+    import statistics
+
+    from spanforge.operators.sections import _filed, d13_d14_guards
+
+    sf = "/root/testdata/sf0.001"
+    passed = [(r.doc_id, r.code, r.body_chars) for r in sections(_filed(spark, sf)).where("status = 'pass'").collect()]
+    want = set()
+    for doc, code, chars in passed:
+        sample = [n for _, c, n in passed if c == code]
+        middle = int(statistics.median(sample))
+        want.add((doc, code, chars, len(sample) >= 5 and not max(1, middle // 5) <= chars <= 8 * middle))
+    got = {tuple(r) for r in d13_d14_guards(spark, sf).collect()}
+    assert got == want and {w[3] for w in want} == {True, False}
+
+
 PAGE = "<html><head><style>p{}</style><script>if(a<b){}</script></head><body><!-- x --><h1>A &amp; B</h1><p>one&nbsp;two  <b>thr</b>ee<br>four</p><table><tr><td>1</td><td>2</td></tr></table></body></html>"
 
 
