@@ -2,11 +2,52 @@
 
 from __future__ import annotations
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from spanforge.llm.common import checkpointed
 
+#: Edges that a task contracts at once, which bounds its memory.
+EDGES_AT_ONCE = 1 << 20
+
+
+def local_stars(u: np.ndarray, v: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(node, least node of its component) of these edges, without the least nodes themselves."""
+    nodes, ends = np.unique(np.concatenate([u, v]), return_inverse=True)
+    a, b = ends[: u.size], ends[u.size :]
+    least = np.arange(nodes.size)
+    while (apart := np.flatnonzero(least[a] != least[b])).size:
+        a, b = a[apart], b[apart]
+        np.minimum.at(least, np.maximum(least[a], least[b]), np.minimum(least[a], least[b]))
+        while not np.array_equal(least, higher := least[least]):
+            least = higher
+    moved = np.flatnonzero(least != np.arange(nodes.size))
+    return nodes[moved], nodes[least[moved]]
+
+
+def contracted(edges: DataFrame) -> DataFrame:
+    """The same components from the edges (u, v) of each task, with its chains pulled to stars round their least nodes."""
+
+    def work(batches):
+        held, n = [], 0
+
+        def stars():
+            u, v = local_stars(*(np.concatenate([b.column(c).to_numpy() for b in held]) for c in ("u", "v")))
+            return pa.RecordBatch.from_arrays([pa.array(u, pa.int64()), pa.array(v, pa.int64())], names=["u", "v"])
+
+        for batch in batches:
+            held.append(batch)
+            n += batch.num_rows
+            if n >= EDGES_AT_ONCE:
+                yield stars()
+                held, n = [], 0
+        if held:
+            yield stars()
+
+    return edges.mapInArrow(work, "u long, v long")
+
 
 def _to_least(pairs: DataFrame) -> DataFrame:
     """Each (u, v) with the least of u and all v of that u."""
@@ -14,26 +55,28 @@ def _to_least(pairs: DataFrame) -> DataFrame:
     return pairs.join(least, "u")
 
 
+def _all_stars(e: DataFrame) -> bool:
+    """Whether every node has one edge down at most, and none that has it has one from above."""
+    ends = e.select(F.col("u").alias("node"), F.lit(1).alias("down"), F.lit(0).alias("up")).union(e.select("v", F.lit(0), F.lit(1)))
+    sums = ends.groupBy("node").agg(F.sum("down").alias("down"), F.sum("up").alias("up"))
+    return sums.agg(F.count_if(F.expr("down > 1 or (down = 1 and up > 0)"))).first()[0] == 0
+
+
 def connected_components(edges: DataFrame) -> DataFrame:
     """(node, component) of every node of edges (a, b); a component is its smallest node. Edges from a node to itself name it only.
 
     A large star links a node's larger neighbours to its least one, a small star the smaller ones; each round keeps the
-    components and brings every node nearer to the least, until all edges are stars.
+    components and brings every node nearer to the least, until all edges are stars. Before each round tasks contract the edges they hold, without a shuffle, so
+    rounds follow from how chains cross tasks and not from how long they are. The edges are computed once.
     """
-    nodes = edges.select(F.col("a").alias("node")).union(edges.select("b")).distinct()
-    e = checkpointed(
-        edges.where("a <> b").select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct()
-    )
-    state = None
-    while True:
+    edges = checkpointed(edges.select(F.greatest("a", "b").cast("long").alias("u"), F.least("a", "b").cast("long").alias("v")).distinct())
+    e = checkpointed(contracted(edges.where("u <> v")))
+    while not _all_stars(e):
         both = e.union(e.select(F.col("v").alias("u"), F.col("u").alias("v")))
         large = _to_least(both).where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
         stars = _to_least(large)
         small = stars.where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v")).union(stars.select("u", F.col("m").alias("v")))
-        e = checkpointed(small.where("u <> v").distinct())
-        now = e.agg(F.count(F.lit(1)), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
-        if now == state:
-            break
-        state = now
-    roots = e.groupBy("u").agg(F.min("v").alias("component")).withColumnRenamed("u", "node")
+        e = checkpointed(contracted(small.where("u <> v").distinct()))
+    roots = e.select(F.col("u").alias("node"), F.col("v").alias("component"))
+    nodes = edges.select(F.col("u").alias("node")).union(edges.select("v")).distinct()
     return nodes.join(roots, "node", "left").select("node", F.coalesce("component", "node").alias("component"))
