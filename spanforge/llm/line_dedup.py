@@ -1,10 +1,10 @@
 """Operator 8: substring dedup by hashing lines and moving paragraphs.
 
-There are two kinds of units. A line of LEAST_WORDS words or more is normalised (case, white space) and known by the digest of that. A moving
+There are two kinds of units. A line with a word in it is normalised (case, white space) and known by the digest of that. A moving
 paragraph is any LEAST_RUN words in a row (case and what stands between words don't count), so passages are met that begin and
 end within lines or run over short ones (``passages``). Of all units with one digest the earliest stays and the others go: of
-lines by (doc_id, position), of paragraphs those of the smallest doc_id. Lines under LEAST_WORDS words repeat by chance, so they go within a
-repeated paragraph only. Units are judged on the given text; offsets are those of the original text, in code points.
+lines by (doc_id, position), of paragraphs those of the smallest doc_id. Lines under ``least_words`` words, if that is set above 1, and lines without
+a word go within a repeated paragraph only. Units are judged on the given text; offsets are those of the original text, in code points.
 
 Only digests and places are shuffled to find the earliest units, and each task adds up its own minimum first, so a unit that a third of all
 documents hold costs one row a task. The way back to the occurrences is a join in which the hot digests, of which there can be
@@ -28,7 +28,7 @@ from pyspark.sql import functions as F
 from spanforge.llm.common import fresh, id_and_text, join_hot, marked_by, slices, table, written
 from spanforge.llm.passages import LEAST_RUN, WORD, Codes, Windows, merged, ranges_of_words, without
 
-LEAST_WORDS = 8
+LEAST_WORDS = 1
 
 _BLANKS = re.compile(r"\s+", re.ASCII)
 _LINE, _KEY, _WINDOWS, _COPY = range(4)
@@ -41,7 +41,7 @@ def normalised(unit: str) -> str:
 UNITS = "kind int, a long, b long, doc_id long, tag long, at int, size int"
 
 
-def units(rows: DataFrame) -> DataFrame:
+def units(rows: DataFrame, least_words: int) -> DataFrame:
     """Lines as (digest in a and b, at: number of the line, size: length with the line end) and keys of windows as (key in a)."""
 
     def cut(batches):
@@ -53,7 +53,7 @@ def units(rows: DataFrame) -> DataFrame:
                 for n, line in enumerate(text.split("\n")):
                     own = WORD.findall(line)
                     words += own
-                    if len(own) >= LEAST_WORDS:
+                    if len(own) >= least_words:
                         digest = hashlib.md5(normalised(line).encode("utf-8", "surrogatepass"), usedforsecurity=False).digest()
                         lines.append((digest, doc, tag, n, len(line)))
                 if (windows := Windows(words, codes)).size:
@@ -140,7 +140,7 @@ def repeated_windows(rows: DataFrame, keys: DataFrame, n_rows: int, stands: Data
 _PLACES = "array<struct<kind:int,at:int,size:int>>"
 
 
-def repeated_units(docs: DataFrame) -> DataFrame:
+def repeated_units(docs: DataFrame, least_words: int = LEAST_WORDS) -> DataFrame:
     """(doc_id, tag, places): what goes, by kind, for each text that loses something; rows are (doc_id, text).
 
     A place of kind _COPY says that a text is not the first of its copies, so it loses all windows.
@@ -148,7 +148,7 @@ def repeated_units(docs: DataFrame) -> DataFrame:
     rows = docs.where("doc_id is not null").select("doc_id", F.xxhash64("text").alias("tag"), "text")
     own = rows.select("doc_id", "tag", F.md5("text").alias("same"))
     stands = written(own.groupBy("same").agg(F.min(F.struct("doc_id", "tag")).alias("s")).select("s.doc_id", "s.tag"))
-    every = written(units(rows))
+    every = written(units(rows, least_words))
     n_rows = every.count()
     lines = repeated_lines(every.where(F.col("kind") == _LINE).dropDuplicates(["doc_id", "tag", "at"]), n_rows)
     windows = repeated_windows(rows, every.where(F.col("kind") == _KEY).select(F.col("a").alias("key"), "doc_id", "tag"), n_rows, stands)
@@ -180,20 +180,20 @@ def spans_of(text: str, places: list[dict]) -> list[tuple[int, int]]:
     return merged(spans)
 
 
-def _marked(docs: DataFrame, id_col: str, text_col: str) -> tuple[DataFrame, str]:
+def _marked(docs: DataFrame, id_col: str, text_col: str, least_words: int) -> tuple[DataFrame, str]:
     """The documents, all columns, and with them the places of repeated units, null where there are none, in a column of its own; and that column's name.
 
     Most documents lose nothing, and a filter lets these pass without a shuffle.
     """
     doc, tag, places, may = (fresh(docs, n) for n in ("_doc", "_tag", "_places", "_may"))
     given = docs.withColumns({doc: F.col(id_col).cast("long"), tag: F.xxhash64(F.coalesce(F.col(text_col).cast("string"), F.lit("")))})
-    gone = repeated_units(id_and_text(docs, id_col, text_col)).select(F.col("doc_id").alias(doc), F.col("tag").alias(tag), F.col("places").alias(places))
+    gone = repeated_units(id_and_text(docs, id_col, text_col), least_words).select(F.col("doc_id").alias(doc), F.col("tag").alias(tag), F.col("places").alias(places))
     given = marked_by(given, gone, [doc, tag], may)
     touched = given.where(F.col(may)).join(gone, [doc, tag], "left").select(*docs.columns, places)
     return touched.unionByName(given.where(~F.col(may)).select(*docs.columns, F.lit(None).cast(_PLACES).alias(places))), places
 
 
-def dedup_units(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def dedup_units(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", least_words: int = LEAST_WORDS) -> DataFrame:
     """(doc_id, text, kept, removed): the given text, what is left of it, and what went with original offsets."""
     plain = id_and_text(docs, id_col, text_col)
 
@@ -205,12 +205,12 @@ def dedup_units(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
             removed = pa.array([[{"start": a, "length": b - a} for a, b in s] for s in spans], pa.list_(pa.struct([("start", pa.int64()), ("length", pa.int64())])))
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("text"), pa.array(kept, pa.string()), removed], names=["doc_id", "text", "kept", "removed"])
 
-    return _marked(plain, "doc_id", "text")[0].mapInArrow(cut, "doc_id long, text string, kept string, removed array<struct<start:bigint,length:bigint>>")
+    return _marked(plain, "doc_id", "text", least_words)[0].mapInArrow(cut, "doc_id long, text string, kept string, removed array<struct<start:bigint,length:bigint>>")
 
 
-def without_repeated_units(docs: DataFrame) -> DataFrame:
+def without_repeated_units(docs: DataFrame, least_words: int = LEAST_WORDS) -> DataFrame:
     """The documents, all columns, without the units that earlier ones hold; the documents stay, and a null text stays null."""
-    marked, places = _marked(docs, "doc_id", "text")
+    marked, places = _marked(docs, "doc_id", "text", least_words)
 
     def cut(batches):
         for batch in slices(batches):
@@ -237,7 +237,7 @@ def op8_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 ORACLE = """
 with docs as (select cast(doc_id as bigint) as doc_id, coalesce(text, '') as text from documents),
 lines as (
-  select doc_id, pos, line, trim(regexp_replace(lower(line), '\\s+', ' ', 'g')) as plain, len(regexp_extract_all(line, '[\\p{L}\\p{N}_]+')) >= 8 as counts,
+  select doc_id, pos, line, trim(regexp_replace(lower(line), '\\s+', ' ', 'g')) as plain, len(regexp_extract_all(line, '[\\p{L}\\p{N}_]+')) >= 1 as counts,
          coalesce(sum(length(line) + 1) over (partition by doc_id order by pos rows between unbounded preceding and 1 preceding), 0) as start,
          count(*) over (partition by doc_id) = pos as ends
   from (select doc_id, unnest(string_split(text, chr(10))) as line, generate_subscripts(string_split(text, chr(10)), 1) as pos from docs)

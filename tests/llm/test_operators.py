@@ -95,6 +95,36 @@ def brute_components(texts):
     return {i: (len(s), find(i)) for i, s in sets.items()}
 
 
+@pytest.mark.parametrize("at_once", [3, 1 << 20])
+def test_components(spark, monkeypatch, at_once):
+    """Chains, a hub, loops, doubled and reversed edges, also where tasks contract few edges at once."""
+    from spanforge.llm import components
+
+    monkeypatch.setattr(components, "EDGES_AT_ONCE", at_once)
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", 2)
+    rng = random.Random(at_once)
+    chain = rng.sample(range(1000, 1200), 120)
+    edges = list(zip(chain, chain[1:], strict=False)) + [(5000, k) for k in range(5001, 5150)] + [(7, 7), (8, 9), (9, 8), (8, 9), (-3, 4), (1 << 62, -(1 << 62))]
+    edges += [(rng.randrange(9000, 9300), rng.randrange(9000, 9300)) for _ in range(140)]
+    rng.shuffle(edges)
+    root = {n: n for e in edges for n in e}
+
+    def find(k):
+        while root[k] != k:
+            k = root[k]
+        return k
+
+    for a, b in edges:
+        low, high = sorted((find(a), find(b)))
+        root[high] = low
+    try:
+        got = components.connected_components(spark.createDataFrame(edges, "a long, b long").repartition(5)).collect()
+        assert len(got) == len(root) and all(r.component == find(r.node) for r in got)
+        assert components.connected_components(spark.createDataFrame([], "a long, b long")).count() == 0
+    finally:
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", 1000)
+
+
 def test_jaccard(docs, empty, rows):
     from spanforge.llm.jaccard_join import near_duplicate_components
 
@@ -344,7 +374,7 @@ def test_resampling_matches_direct_filter():
         assert np.allclose(resample(x, up, down), want[: resample(x, up, down).size], atol=1e-4)
 
 
-def brute_units(rows):
+def brute_units(rows, least_words=1):
     """What op8 keeps of each (doc_id, text), by a plain reading of its rule."""
     from spanforge.llm.passages import WORD
 
@@ -360,7 +390,7 @@ def brute_units(rows):
     for i, t in known:
         gone, start = bytearray(len(t)), 0
         for n, line in enumerate(t.split("\n")):
-            if len(WORD.findall(line)) >= 8 and lines[plain(line)] != (i, n):
+            if len(WORD.findall(line)) >= least_words and lines[plain(line)] != (i, n):
                 gone[start : start + len(line) + 1] = b"\1" * len(gone[start : start + len(line) + 1])
             start += len(line) + 1
         at = [m.span() for m in WORD.finditer(t)]
@@ -386,6 +416,25 @@ def test_line_dedup(docs, empty, rows):
     assert dedup_units(empty).count() == 0
 
 
+@pytest.mark.parametrize("least_words", [1, 2, 8])
+def test_short_lines(spark, least_words):
+    """Lines of any length with a word in them are units; under a floor they go within paragraphs only."""
+    from spanforge.llm.line_dedup import dedup_units, without_repeated_units
+
+    of_eight = "one two three four five six seven eight"
+    rows = [
+        (1, "Hello\nhello \n\n--\nall  rights reserved\nthe end"), (2, "--\n\nALL rights\treserved\nown line\n--"), (3, "hello"), (4, "\n\n"), (5, of_eight + "\nHELLO\nown line of five"),
+        (6, of_eight.upper() + "\nx"), (6, of_eight + "\ny"), (7, None), (None, "hello"), (8, "é\nÉ\ne"), (9, "hello\r\nthe end"), (9, "hello\r\nthe end"),
+    ]
+    df = spark.createDataFrame([(i, t, len(t or "")) for i, t in rows], "doc_id long, text string, n_chars long").repartition(3)
+    want = brute_units(rows, least_words)
+    got = dedup_units(df, least_words=least_words).collect()
+    assert len(got) == len(rows) and all(r.kept == want.get((r.doc_id, r.text), r.text) for r in got)
+    assert sum(r.kept != r.text for r in got) == {1: 9, 2: 5, 8: 2}[least_words]
+    left = sorted((str(r.doc_id), r.text or "") for r in without_repeated_units(df, least_words).collect())
+    assert left == sorted((str(i), want.get((i, t), t or "")) for i, t in rows)
+
+
 def test_repeated_paragraphs(spark):
     from spanforge.llm.line_dedup import dedup_units, without_repeated_units
 
