@@ -183,7 +183,7 @@ def _laid_out(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame, D
     parts = F.array(*(F.substring(text, k * width + 1, width) for k in range(4)), F.substring(text, 4 * width + 1, F.length(text)))
     docs = table(spark, sf_dir, "documents").select(F.col("doc_id").cast("long").alias("rec_id"), (F.col("doc_id") + 1).cast("long").alias("cik"), (2015 + F.col("doc_id") % 5).cast("int").alias("year"), parts.alias("parts"), width.alias("width"))
     turn = F.col("rec_id") % 4
-    told = F.transform("parts", lambda p: F.when(turn == 1, F.upper(p)).when(turn == 2, F.reverse(p)).when(turn == 3, F.concat(p, F.lit(" Item 16 "), p)).otherwise(p))
+    told = F.transform("parts", lambda p: F.when(turn == 1, F.replace(p, F.lit(" "), F.lit(" - "))).when(turn == 2, F.reverse(p)).when(turn == 3, F.concat(p, F.lit(" Item 16 "), p)).otherwise(p))
     records = docs.select("rec_id", "cik", "year", F.map_from_arrays(F.array(*(F.lit(f"section_{c}") for c in _CODES)), told).alias("sections"))
     cut = picked(docs, filings).where("outcome = 'matched'").select("rec_id", F.col("one.accession").alias("accession"), "parts", "width", F.posexplode(F.array(*map(F.lit, _CODES))).alias("k", "code"))
     part = F.get("parts", F.col("k"))
@@ -208,7 +208,7 @@ _SQL = """with f as (select cast(o_custkey as bigint) as cik, cast(o_orderkey as
   known as (select *, case when outcome <> 'matched' then 'hard_case:join_' || outcome when rec_id % 11 = 0 then 'hard_case:our_side_unsupported' else 'voted' end as disposition from p),
   cut as (select *, [substr(text, 1, w), substr(text, w + 1, w), substr(text, 2 * w + 1, w), substr(text, 3 * w + 1, w), substr(text, 4 * w + 1)] as parts from known where disposition = 'voted'),
   e as (select rec_id, schema, y, w, parts, unnest([1, 2, 3, 4, 5]) as k, unnest(['1', '1A', '7', '14', '15']) as key from cut),
-  t as (select *, parts[k] as part, case rec_id % 4 when 1 then upper(parts[k]) when 2 then reverse(parts[k]) when 3 then parts[k] || ' Item 16 ' || parts[k] else parts[k] end as told,
+  t as (select *, parts[k] as part, case rec_id % 4 when 1 then replace(parts[k], ' ', ' - ') when 2 then reverse(parts[k]) when 3 then parts[k] || ' Item 16 ' || parts[k] else parts[k] end as told,
     case when schema = 'MODERN' then key when key = '14' then '15' when key not in ('15', '1A') then key end as code from e),
   u as (select rec_id, code, w, case when code = '15' then 5 else k end as own, case when key = '15' and y between 2016 and 2020 then regexp_extract(told, '(?is)^(.*?)(?:\\bitem\\s*16\\b|\\z)', 1) else told end as teacher, parts
     from t where code is not null and regexp_matches(told, '\\S')),
