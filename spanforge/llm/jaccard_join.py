@@ -6,9 +6,10 @@ class. For the others:
 1. Batches ask shards how often each shingle occurs; shards answer with bits (more than once, often).
 2. Linked sets share one of the first |A| - ceil(0.8 |A|) + 1 shingles in any fixed order. The order is by those bits and
    then by hash, so a set with a fifth of its shingles to itself needs no partner at all.
-3. Sets that share such a shingle hang together. A group of up to BLOCK sets that hang together is worked on as one; a larger one is
-   taken apart again into the sets of each shingle, so what meets follows from shared shingles and not from the size of a group that
-   long chains hold together. These groups are dealt to size-banded tiles. Sizes within a factor of 1.25 lie in the same or in
+3. Sets that share such a shingle hang together. A group of up to BLOCK sets that hang together is worked on as one. In a larger one each set first meets
+   some that share most shingles with it, which links most near copies; then only shingles whose sets are in several components are left, and
+   their sets meet by shingle or all at once, whichever moves fewer of them. So sets move neither once a shingle in a group of near copies nor by the square of a
+   group that long chains hold together. These groups are dealt to size-banded tiles. Sizes within a factor of 1.25 lie in the same or in
    neighbouring bands; bands of many sets are cut into blocks, so a tile is of bounded size however large a group is. In a tile hashed bitmaps bound the overlap of a pair from above by bit counts, and what passes is intersected
    exactly as sorted arrays. A tile gives a spanning forest of its links, not all of them.
 4. The forests' components are the result.
@@ -222,15 +223,30 @@ def into_tiles(groups: DataFrame, n_sets: int) -> DataFrame:
     return small.unionByName(large)
 
 
-def taken_apart(groups: DataFrame, shared: DataFrame) -> DataFrame:
-    """(doc_id, grp, n): groups of at most BLOCK sets as they are, and larger ones by shingle; rows are (doc_id, grp, n) and (doc_id, shingle).
+def by_anchor(held: DataFrame) -> DataFrame:
+    """(doc_id, grp, n): each set with others of the anchor it shares most shingles with, at most about BLOCK together; rows are (doc_id, a, shingle, n).
 
-    Linked sets share a shingle of ``shared``, so they still meet. A set of a larger group has a row for each of its shared shingles.
+    ``a`` is the least set that holds the shingle. Each set has one row, and near copies of one text are mostly linked where they meet here.
     """
-    counted = groups.join(groups.groupBy("grp").agg(F.count(F.lit(1)).alias("all")), "grp")
-    small = counted.where(F.col("all") <= BLOCK).select("doc_id", "grp", "n")
-    large = counted.where(F.col("all") > BLOCK).select("doc_id", "n").join(shared, "doc_id").select("doc_id", F.col("shingle").alias("grp"), "n")
-    return small.unionByName(large)
+    most = held.groupBy("doc_id", "n", "a").agg(F.count(F.lit(1)).alias("m")).groupBy("doc_id", "n").agg(F.max_by("a", F.struct("m", "a")).alias("anchor"))
+    sized = most.join(most.groupBy("anchor").agg(F.ceil(2 * F.count(F.lit(1)) / BLOCK).alias("parts")), "anchor")
+    return sized.select("doc_id", F.xxhash64("anchor", F.pmod(F.xxhash64(F.lit(31), "doc_id"), F.col("parts"))).alias("grp"), "n")
+
+
+def taken_apart(held: DataFrame) -> DataFrame:
+    """(doc_id, grp, n): what is left to compare of large groups; rows are (doc_id, grp, shingle, n, component).
+
+    A shingle whose sets are in one component is settled. Of a group's others either the sets meet by shingle, with a row for each shingle that a set
+    shares, or all at once with a row for each set, whichever needs fewer rows in tiles. Linked sets of two components share a shingle, so they meet.
+    """
+    open_ = held.groupBy("shingle").agg(F.min("component").alias("one"), F.max("component").alias("other"), F.count(F.lit(1)).alias("m")).where("one <> other").select("shingle", "m")
+    left = checkpointed(held.join(open_, "shingle"))
+    in_tiles = lambda m: m * F.ceil(m / BLOCK)
+    by_shingle = left.groupBy("grp").agg(F.sum(F.ceil(F.col("m") / BLOCK)).alias("apart"))
+    at_once = left.select("grp", "doc_id").distinct().groupBy("grp").agg(in_tiles(F.count(F.lit(1))).alias("whole"))
+    rows = left.join(by_shingle.join(at_once, "grp").select("grp", (F.col("whole") <= F.col("apart")).alias("_whole")), "grp")
+    whole = rows.where("_whole").select("doc_id", "grp", "n").distinct()
+    return whole.unionByName(rows.where("not _whole").select("doc_id", F.col("shingle").alias("grp"), "n"))
 
 
 def class_nodes(every: DataFrame) -> DataFrame:
@@ -270,10 +286,23 @@ def _components(plain: DataFrame) -> DataFrame:
     shared = checkpointed(posted.join(least, "shingle"))
     hanging = connected_components(shared.select("a", F.col("node").alias("b")).where("a <> b").distinct()).select("node", F.col("component").alias("grp"))
     groups = checkpointed(hanging.join(first.drop("prefix"), "node").withColumnRenamed("node", "doc_id"))
-    met = checkpointed(taken_apart(groups.select("doc_id", "grp", "n"), shared.select(F.col("node").alias("doc_id"), "shingle")))
-    tiles = into_tiles(met, met.count()).join(groups.select("doc_id", "rep", "digest"), "doc_id")
     sets = posting.select("rep", "digest", "shingles")
-    joined = classes.join(connected_components(tile_links(tiles.join(sets, ["rep", "digest"]).drop("rep", "digest"))), "node", "left").withColumn("component", F.coalesce("component", "node"))
+
+    def linked(met: DataFrame) -> DataFrame:
+        met = checkpointed(met)
+        tiles = into_tiles(met, met.count()).join(groups.select("doc_id", "rep", "digest"), "doc_id")
+        return tile_links(tiles.join(sets, ["rep", "digest"]).drop("rep", "digest"))
+
+    counted = groups.join(groups.groupBy("grp").agg(F.count(F.lit(1)).alias("all")), "grp")
+    found = linked(counted.where(F.col("all") <= BLOCK).select("doc_id", "grp", "n"))
+    large = checkpointed(counted.where(F.col("all") > BLOCK).select("doc_id", "grp", "n"))
+    if not large.isEmpty():
+        held = checkpointed(large.join(shared.select(F.col("node").alias("doc_id"), "a", "shingle"), "doc_id"))
+        near = checkpointed(linked(by_anchor(held)))
+        component = connected_components(near).withColumnRenamed("node", "doc_id")
+        rest = held.join(component, "doc_id", "left").withColumn("component", F.coalesce("component", "doc_id"))
+        found = found.unionByName(near).unionByName(linked(taken_apart(rest)))
+    joined = classes.join(connected_components(found), "node", "left").withColumn("component", F.coalesce("component", "node"))
     smallest = joined.groupBy("component").agg(F.min("rep").alias("least"))
     by_class = joined.join(smallest, "component").select("digest", F.col("component").alias("root"), F.col("least").alias("component"))
     return every.select("doc_id", "n", F.when(F.col("n") > 0, F.col("digest")).alias("digest")).join(by_class, "digest", "left").select(

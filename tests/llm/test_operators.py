@@ -150,6 +150,31 @@ def test_jaccard_of_long_chains(spark, monkeypatch, block):
     assert 5 < len({c for _, c in want.values()}) < 90
 
 
+def test_jaccard_moves_sets_of_many_near_copies_few_times(spark, monkeypatch):
+    """A group of near copies well above the block shares most shingles; its sets must not move once for each."""
+    from spanforge.llm import jaccard_join
+
+    rng, texts, moved = random.Random(13), [], []
+    for k in range(120):
+        words = [f"w{n}" for n in range(150)]
+        for _ in range(rng.choice([1, 2, 4, 5, 6])):
+            words[rng.randrange(150)] = f"own{k}x{rng.random()}"
+        texts.append((k, " ".join(words)))
+    whole = jaccard_join.tile_links
+
+    def links(tiled):
+        moved.append(tiled.count())
+        return whole(tiled)
+
+    monkeypatch.setattr(jaccard_join, "BLOCK", 8)
+    monkeypatch.setattr(jaccard_join, "tile_links", links)
+    got = {r.doc_id: (r.n_shingles, r.component_id) for r in jaccard_join.near_duplicate_components(spark.createDataFrame(texts, "doc_id long, text string")).collect()}
+    want = brute_components(texts)
+    assert got == want
+    assert 1 < len({c for _, c in want.values()}) < 120
+    assert sum(moved) < 120 * 40
+
+
 def test_bpe_is_the_library(docs, empty, rows):
     import numpy as np
     from tokenizers import Tokenizer
