@@ -12,13 +12,13 @@ length are taken in the order of document and start; extra columns are ignored;
 from __future__ import annotations
 
 import json
+import re
 import struct
 import unicodedata
 import zlib
 from functools import lru_cache
 
 import pyarrow as pa
-import regex
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -29,19 +29,44 @@ SEQUENCE_TOKENS = 2048
 SEPARATOR_ID = 1
 GROUP_DOCS = 4096
 WORD_ENTRIES = 150_000
+#: Pre-tokens that a worker remembers: some 200 bytes each.
+PIECE_ENTRIES = 400_000
 
 PIECES = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long"
 PACKED = f"{PIECES}, sequence_id long, offset long"
 
-#: Fixed value: the pre-token pattern that the vocabulary file states.
-_PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
+#: Characters of plain Latin script, and what stands between words of it.
+_PLAIN = "".join(map(chr, [*range(0x21, 0x7F), *range(0xA1, 0x130), *range(0x131, 0x250)]))
+_BLANKS = "\t\n\v\f\r "
+
+
+def _pattern() -> str:
+    """The pre-token pattern that the vocabulary file states, 's|'t|'re|'ve|'m|'ll|'d|[\\p{L}]+|[\\p{N}]|[^\\s\\p{L}\\p{N}]+, for lower-cased plain Latin script."""
+    kinds = {c: unicodedata.category(c)[0] for c in unicodedata.normalize("NFC", _PLAIN).lower()}
+    letters, digits = ("".join(re.escape(c) for c in sorted(kinds) if kinds[c] == kind) for kind in "LN")
+    return rf"'s|'t|'re|'ve|'m|'ll|'d|[{letters}]+|[{digits}]|[^\s{letters}{digits}]+"
+
+
+class PieceTokens(dict):
+    """Little-endian ids by pre-token; a word's end is byte 0xFF, which UTF-8 text never has."""
+
+    def __init__(self, merge):
+        super().__init__()
+        self.merge = merge
+
+    def __missing__(self, piece: str) -> bytes:
+        if len(self) >= PIECE_ENTRIES:
+            self.clear()
+        ids = self.merge(piece.encode() + b"\xff")
+        out = self[piece] = struct.pack(f"<{len(ids)}I", *ids)
+        return out
 
 
 class WordTokens(dict):
     """Little-endian ids by white-space-separated chunk; the pre-token pattern never joins two chunks.
 
-    Chunks of plain Latin script are cut by the vocabulary's pattern and merged by rank; a word's end is byte 0xFF, which UTF-8 text
-    never has. All others, and texts with separators that only Python takes for white space, go to the tokenizers library.
+    Plain Latin script is cut by the vocabulary's pattern and merged by rank, a whole text at once where nothing else is in it. All other
+    chunks, and texts with separators that only Python takes for white space, go to the tokenizers library.
     """
 
     def __init__(self, path: str):
@@ -62,35 +87,45 @@ class WordTokens(dict):
                 ends = token.endswith(end)
                 ranks[token_bytes(token[: -len(end)] if ends else token, chars) + b"\xff" * ends] = i
         core = tiktoken.Encoding("words", pat_str=r"\S+", mergeable_ranks=ranks, special_tokens={})
-        self.merge = core._core_bpe.encode_single_piece
-        self.pattern = regex.compile(_PATTERN)
-        self.plain = regex.compile(r"[\x21-\x7e\xa1-įı-ɏ]+")
+        self.pieces = PieceTokens(core._core_bpe.encode_single_piece)
+        self.cut = re.compile(_pattern()).findall
+        self.ascii = "".join(c for c in _BLANKS + _PLAIN if c.isascii()).encode()
+        self.plain = re.compile(f"[{re.escape(_BLANKS + _PLAIN)}]*").fullmatch
         self.odd_space = "\x1c\x1d\x1e\x1f\x85"
         self.markers = [t for t in special if not t.isspace()]
 
     def __missing__(self, chunk: str) -> bytes:
         if len(self) >= WORD_ENTRIES:
             self.clear()
-        if chunk[-1] in ",." and chunk[:-1].isalpha() and self.plain.fullmatch(chunk):  # a letter and a mark never share a pre-token
-            ids = self[chunk[:-1]] + self._ids(chunk[-1])
-        else:
-            ids = self._ids(chunk)
+        ids = self._plain_ids(chunk)
+        if ids is None:
+            ids = self._library_ids(chunk)
         self[chunk] = ids
         return ids
 
-    def _ids(self, chunk: str) -> bytes:
-        if self.plain.fullmatch(chunk) and not any(m in chunk for m in self.markers):
-            ids: list[int] = []
-            for piece in self.pattern.findall(unicodedata.normalize("NFC", chunk).lower()):
-                ids += self.merge(piece.encode() + b"\xff")
+    def _plain_ids(self, text: str) -> bytes | None:
+        """The ids of plain Latin script without markers; None for other texts."""
+        if any(m in text for m in self.markers):
+            return None
+        if text.isascii():
+            if text.encode().translate(None, self.ascii):
+                return None
+        elif self.plain(text):
+            text = unicodedata.normalize("NFC", text)
         else:
-            ids = self.library.encode(chunk, add_special_tokens=False).ids
+            return None
+        return b"".join(map(self.pieces.__getitem__, self.cut(text.lower())))
+
+    def _library_ids(self, text: str) -> bytes:
+        ids = self.library.encode(text, add_special_tokens=False).ids
         return struct.pack(f"<{len(ids)}I", *ids)
 
     def encode(self, text: str) -> bytes:
+        ids = self._plain_ids(text)
+        if ids is not None:
+            return ids
         if any(c in text for c in self.odd_space):
-            ids = self.library.encode(text, add_special_tokens=False).ids
-            return struct.pack(f"<{len(ids)}I", *ids)
+            return self._library_ids(text)
         return b"".join(map(self.__getitem__, text.split()))
 
 

@@ -235,6 +235,26 @@ def test_packing(docs, empty, rows):
     assert pack_documents(empty).count() == 0
 
 
+def test_packing_merges_each_pre_token_once():
+    """Whatever its case and the marks at it, a word is merged once; ids over all plain Latin script are the library's."""
+    from tokenizers import Tokenizer
+
+    from spanforge.llm.common import tokenizer_path
+    from spanforge.llm.packing import WordTokens
+
+    path = tokenizer_path("word_bpe_49k.json")
+    library, own, merged, rng = Tokenizer.from_file(path), WordTokens(path), [], random.Random(17)
+    merge = own.pieces.merge
+    own.pieces.merge = lambda raw: merged.append(raw) or merge(raw)
+    own.encode("Thrandern thrandern, THRANDERN. thrandern*** (thrandern)\nthrandern")
+    assert len([m for m in merged if b"thrandern" in m]) == 1
+    for low, high in ((1, 0x80), (0x20, 0x250), (0xA1, 0x370)):
+        for _ in range(400):
+            text = "".join(chr(rng.choice([rng.randrange(low, high), rng.randrange(0x61, 0x7B), 0x20, 0x27, 0xB2, 0x130, 0x23A])) for _ in range(rng.randint(1, 40)))
+            ids = library.encode(text, add_special_tokens=False).ids
+            assert own.encode(text) == b"".join(i.to_bytes(4, "little") for i in ids), text
+
+
 def test_first_fit_tree():
     from spanforge.llm.packing import FirstFit
 
