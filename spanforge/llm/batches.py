@@ -15,8 +15,10 @@ from pyspark.sql import functions as F
 
 from spanforge.llm.common import bucket
 
-#: Text that a batch holds on average, and the text whose keys one shard holds. Batches follow the input's size.
+#: Text that a batch holds on average, and the text whose keys one shard holds. Batches follow the input's size; from MANY batches on they first grow to MOST_BYTES.
 BATCH_BYTES = 4_000_000
+MOST_BYTES = 16_000_000
+MANY = 1024
 #: Batches or pairs of texts in a batch that make a key frequent.
 OFTEN = 32
 
@@ -32,8 +34,8 @@ def batched(docs: DataFrame, n_batches: int) -> DataFrame:
 
 
 def batch_count(n_bytes: int) -> int:
-    """Follows the input alone, so that the rows between batches and shards do too."""
-    return max(16, -(-n_bytes // BATCH_BYTES))
+    """Follows the input alone, so that the rows between batches and shards do too. These are the square of it."""
+    return max(16, min(-(-n_bytes // BATCH_BYTES), max(MANY, -(-n_bytes // MOST_BYTES))))
 
 
 def first_copies(docs: DataFrame, n_batches: int) -> DataFrame:

@@ -3,14 +3,15 @@
 A byte goes if a string of LENGTH bytes that covers it also starts in a document with a smaller id; strings lie within
 one document and are judged on the input.
 
-1. Every window of LENGTH bytes is known by the least hash of the 16-byte strings in it. Equal windows have equal least
+1. Every window of LENGTH bytes is known by the least hash of the GRAM-byte strings in it. Equal windows have equal least
    hashes, so runs of windows with one least hash ("segments") are what may be compared with each other. Batches ask
-   shards which of their hashes any other document has; about four fifths of the text end here.
-   Segments of a frequent hash are split again by the least of a second hash, so that common strings of 16 bytes don't bring
+   shards which of their hashes any other document has; most of the text ends here. Strings of 32 bytes seldom recur by chance, so what is left
+   doesn't grow faster than the input.
+   Segments of a frequent hash are split again by the least of a second hash, so that common strings of GRAM bytes don't bring
    all that holds them together in one shard.
 2. Batches send the distinct contents of the remaining segments, with the smallest document that holds each, to the shard of
    the hash. Equal contents settle each other: all but the smallest document lose every window.
-3. Where a hash has several contents, the shard sorts their suffixes by 64 bytes and builds the Burrows-Wheeler
+3. Where a hash has several contents, the shard, some hashes at a time, sorts their suffixes by 64 bytes and builds the Burrows-Wheeler
    transform. Intervals of rows that start alike are extended backwards breadth first; the first interval to end at a
    row gives that row's common prefix with the row before, so the values come in increasing order. The search stops at LENGTH; rows
    without a value share LENGTH bytes or more. The smallest document of each such group decides.
@@ -37,8 +38,10 @@ from spanforge.llm import batches as B
 from spanforge.llm.common import id_and_text, table
 
 LENGTH = 50
-GRAM = 16
+GRAM = 32
 CHUNK_BYTES = 1 << 18
+#: Contents that are sorted at once: no more than a processor's cache holds, whatever a shard holds.
+SORT_BYTES = 1 << 17
 _SORTED = 64
 _rng = np.random.default_rng(50)
 _BYTE = _rng.integers(0, 1 << 64, 256, dtype=np.uint64)
@@ -272,7 +275,7 @@ REPLIES = "batch long, kind int, shard long, bits binary, windows binary"
 def _send(batch: int, contents: _Contents) -> pa.Table:
     lengths = np.array([len(r) for r in contents.raw], np.uint32)
     rows = [
-        (shard, batch, lengths[own].tobytes(), contents.keys[own].tobytes(), contents.least[own].tobytes(), b"".join([contents.raw[k] for k in own.tolist()]))
+        (shard, batch, lengths[own].tobytes(), contents.keys[own].astype(np.uint32).tobytes(), contents.least[own].tobytes(), b"".join([contents.raw[k] for k in own.tolist()]))
         for shard, own in contents.by_shard()
     ]
     kinds = (pa.int64(), pa.int64(), *[pa.binary()] * 4)
@@ -280,11 +283,15 @@ def _send(batch: int, contents: _Contents) -> pa.Table:
     return pa.table({f.split()[0]: pa.array(c, k) for f, c, k in zip(CONTENTS.split(", "), columns, kinds, strict=True)})
 
 
-def _shared(keys: np.ndarray) -> np.ndarray:
-    """Places whose key another place has too."""
+def _shared(keys: np.ndarray, size: np.ndarray) -> list[np.ndarray]:
+    """Places whose key another place has too, in parts of about SORT_BYTES that no key crosses."""
     order = np.argsort(keys, kind="stable")
     same = keys[order][1:] == keys[order][:-1]
-    return np.sort(order[np.concatenate([same, [False]]) | np.concatenate([[False], same])])
+    own = order[np.concatenate([same, [False]]) | np.concatenate([[False], same])]
+    new = np.concatenate([[True], keys[own][1:] != keys[own][:-1]])[: own.size]
+    before = np.cumsum(size[own]) - size[own]
+    part = (before[new] // SORT_BYTES)[np.cumsum(new) - 1]
+    return [x for x in np.split(own, np.flatnonzero(np.diff(part)) + 1) if x.size]
 
 
 def settle(sent: DataFrame) -> DataFrame:
@@ -292,7 +299,7 @@ def settle(sent: DataFrame) -> DataFrame:
 
     def work(group: pa.Table) -> pa.Table:
         place: dict[bytes, int] = {}
-        lengths, keys, docs = ([np.frombuffer(x, kind) for x in group.column(c).to_pylist()] for c, kind in (("lengths", np.uint32), ("hashes", np.uint64), ("docs", np.int64)))
+        lengths, keys, docs = ([np.frombuffer(x, kind) for x in group.column(c).to_pylist()] for c, kind in (("lengths", np.uint32), ("hashes", np.uint32), ("docs", np.int64)))
         index: list[int] = []
         for own, raw in zip(lengths, group.column("raw").to_pylist(), strict=True):
             end = np.cumsum(own, dtype=np.int64)
@@ -306,10 +313,11 @@ def settle(sent: DataFrame) -> DataFrame:
         width = np.where(later, 0, size)
         begin = np.cumsum(width) - width
         windows = np.zeros(int(width.sum()), bool)
-        several = _shared(np.concatenate(keys)[np.unique(which, return_index=True)[1]])
-        if several.size:
-            seen = dict(zip(several.tolist(), earlier_windows([texts[k] for k in several.tolist()], least[several]), strict=True))
-            for k in np.flatnonzero(~later & np.isin(which, several)).tolist():
+        seen: dict[int, np.ndarray] = {}
+        for several in _shared(np.concatenate(keys)[np.unique(which, return_index=True)[1]], np.array([len(t) for t in texts])):
+            seen |= zip(several.tolist(), earlier_windows([texts[k] for k in several.tolist()], least[several]), strict=True)
+        if seen:
+            for k in np.flatnonzero(~later & np.isin(which, list(seen))).tolist():
                 windows[begin[k] : begin[k] + width[k]] = seen[int(which[k])]
         cut = np.append(begin, windows.size)
         n = group.num_rows

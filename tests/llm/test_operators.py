@@ -74,6 +74,25 @@ def test_suffix_dedup_of_frequent_strings(spark, monkeypatch):
     assert split == [want] * 3
 
 
+def test_suffix_dedup_grows_with_the_input():
+    """Strings that recur by chance bring no texts together, sorts are of bounded size, and batches times shards stay few."""
+    import numpy as np
+
+    from spanforge.llm import batches, suffix_dedup
+
+    rng = random.Random(19)
+    common, own = TEXT[:24], lambda n: "".join(rng.choice("abcdefgh ") for _ in range(n))
+    left, right = ([(own(60) + common + own(60)).encode() for _ in range(50)] for _ in range(2))
+    assert not set(suffix_dedup.segments(left)[3].tolist()) & set(suffix_dedup.segments(right)[3].tolist())
+    keys, size = np.array([5, 3, 5, 9, 3, 7, 9, 9] * 500, np.uint32), np.full(4000, 100)
+    keys[5::8] = 1000 + np.arange(500)  # keys of their own
+    parts = suffix_dedup._shared(keys, size)
+    assert sorted(np.concatenate(parts).tolist()) == np.flatnonzero(keys < 1000).tolist()
+    assert len(parts) == 2 and all(not set(keys[a].tolist()) & set(keys[b].tolist()) for a, b in zip(parts, parts[1:], strict=False))
+    assert suffix_dedup._shared(np.arange(5), np.full(5, 9)) == [] == suffix_dedup._shared(np.zeros(0, np.uint32), np.zeros(0, np.int64))
+    assert [batches.batch_count(n) for n in (0, 820_000_000, 10**10, 10**12)] == [16, 205, 1024, 62_500]
+
+
 def brute_components(texts):
     """{doc_id: (shingles, component)} by comparing every pair."""
     sets = {}
