@@ -287,7 +287,7 @@ def _shared(keys: np.ndarray, size: np.ndarray) -> list[np.ndarray]:
     """Places whose key another place has too, in parts of about SORT_BYTES that no key crosses."""
     order = np.argsort(keys, kind="stable")
     same = keys[order][1:] == keys[order][:-1]
-    own = order[np.concatenate([same, [False]]) | np.concatenate([[False], same])]
+    own = order[(np.concatenate([same, [False]]) | np.concatenate([[False], same]))[: order.size]]
     new = np.concatenate([[True], keys[own][1:] != keys[own][:-1]])[: own.size]
     before = np.cumsum(size[own]) - size[own]
     part = (before[new] // SORT_BYTES)[np.cumsum(new) - 1]
