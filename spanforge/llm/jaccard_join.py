@@ -186,16 +186,21 @@ def tile_links(tiled: DataFrame) -> DataFrame:
     return tiled.groupBy("tile").applyInArrow(work, "a long, b long")
 
 
+def over_block(groups: DataFrame) -> DataFrame:
+    """(grp) of over BLOCK rows, of which there are at most a BLOCKth of the rows."""
+    return groups.groupBy("grp").agg(F.count(F.lit(1)).alias("all")).where(F.col("all") > BLOCK).select("grp")
+
+
 def into_tiles(groups: DataFrame, n_sets: int) -> DataFrame:
     """(doc_id, tile, grp, side): sets dealt by the group they hang together in, band of size and block; rows are (doc_id, grp, n).
 
     Groups of at most BLOCK sets share tiles of about BLOCK sets. Of larger groups each pair of blocks in the same or in neighbouring bands is a
-    tile of its own.
+    tile of its own. What is told about these few is broadcast, so sets don't move before they have a tile.
     """
     sets = groups.withColumn("band", F.floor(F.log(F.col("n").cast("double")) / F.log(F.lit(_SIZE_BAND))).cast("long"))
     by_band = sets.groupBy("grp", "band").agg(F.count(F.lit(1)).alias("m"))
     by_group = by_band.groupBy("grp").agg(F.sum("m").alias("all"), F.map_from_entries(F.collect_list(F.struct("band", "m"))).alias("in_band"))
-    sized = sets.join(by_group, "grp")
+    sized = sets.join(F.broadcast(by_group.where(F.col("all") > BLOCK)), "grp", "left")
 
     def tile(g: Column, x: Column, y: Column, z: Column) -> Column:
         return F.struct(g.alias("g"), x.cast("long").alias("x"), y.cast("long").alias("y"), z.cast("long").alias("z")).alias("tile")
@@ -207,7 +212,7 @@ def into_tiles(groups: DataFrame, n_sets: int) -> DataFrame:
         """One pair of blocks for each block of a band."""
         return F.when(blocks(band) > 0, F.transform(F.sequence(F.lit(0), blocks(band) - 1), make))
 
-    small = sized.where(F.col("all") <= BLOCK).select(
+    small = sized.where("all is null").select(
         "doc_id", tile(F.lit(-1).cast("long"), bucket(F.col("grp"), max(64, n_sets // BLOCK), seed=23), F.lit(0), F.lit(0)), "grp", F.lit(0).alias("side")
     )
     band, own = F.col("band"), F.col("own")
@@ -215,7 +220,7 @@ def into_tiles(groups: DataFrame, n_sets: int) -> DataFrame:
     up = pairs(band + 1, lambda s: F.struct((2 * band + 1).alias("x"), own.alias("y"), s.alias("z"), F.lit(1).alias("side")))
     down = pairs(band - 1, lambda s: F.struct((2 * band - 1).alias("x"), s.alias("y"), own.alias("z"), F.lit(2).alias("side")))
     large = (
-        sized.where(F.col("all") > BLOCK)
+        sized.where("all is not null")
         .withColumn("own", F.pmod(F.xxhash64(F.lit(29), "doc_id"), blocks(band)).cast("int"))
         .select("doc_id", "grp", F.explode(F.flatten(F.filter(F.array(same, up, down), lambda t: t.isNotNull()))).alias("t"))
         .select("doc_id", tile(F.col("grp"), F.col("t.x"), F.col("t.y"), F.col("t.z")), "grp", F.col("t.side").alias("side"))
@@ -228,7 +233,7 @@ def by_anchor(held: DataFrame) -> DataFrame:
 
     ``a`` is the least set that holds the shingle. Each set has one row, and near copies of one text are mostly linked where they meet here.
     """
-    most = held.groupBy("doc_id", "n", "a").agg(F.count(F.lit(1)).alias("m")).groupBy("doc_id", "n").agg(F.max_by("a", F.struct("m", "a")).alias("anchor"))
+    most = held.repartition("doc_id").groupBy("doc_id", "n", "a").agg(F.count(F.lit(1)).alias("m")).groupBy("doc_id", "n").agg(F.max_by("a", F.struct("m", "a")).alias("anchor"))
     sized = most.join(most.groupBy("anchor").agg(F.ceil(2 * F.count(F.lit(1)) / BLOCK).alias("parts")), "anchor")
     return sized.select("doc_id", F.xxhash64("anchor", F.pmod(F.xxhash64(F.lit(31), "doc_id"), F.col("parts"))).alias("grp"), "n")
 
@@ -244,7 +249,8 @@ def taken_apart(held: DataFrame) -> DataFrame:
     in_tiles = lambda m: m * F.ceil(m / BLOCK)
     by_shingle = left.groupBy("grp").agg(F.sum(F.ceil(F.col("m") / BLOCK)).alias("apart"))
     at_once = left.select("grp", "doc_id").distinct().groupBy("grp").agg(in_tiles(F.count(F.lit(1))).alias("whole"))
-    rows = left.join(by_shingle.join(at_once, "grp").select("grp", (F.col("whole") <= F.col("apart")).alias("_whole")), "grp")
+    # groups are few, at most a BLOCKth of the sets
+    rows = left.join(F.broadcast(by_shingle.join(at_once, "grp").select("grp", (F.col("whole") <= F.col("apart")).alias("_whole"))), "grp")
     whole = rows.where("_whole").select("doc_id", "grp", "n").distinct()
     return whole.unionByName(rows.where("not _whole").select("doc_id", F.col("shingle").alias("grp"), "n"))
 
@@ -284,24 +290,24 @@ def _components(plain: DataFrame) -> DataFrame:
     posted = first.select("node", F.explode("prefix").alias("shingle"))
     least = posted.groupBy("shingle").agg(F.min("node").alias("a"), F.max("node").alias("most")).where("a <> most").select("shingle", "a")
     shared = checkpointed(posted.join(least, "shingle"))
-    hanging = connected_components(shared.select("a", F.col("node").alias("b")).where("a <> b").distinct()).select("node", F.col("component").alias("grp"))
+    hanging = connected_components(shared.select("a", F.col("node").alias("b"))).select("node", F.col("component").alias("grp"))
     groups = checkpointed(hanging.join(first.drop("prefix"), "node").withColumnRenamed("node", "doc_id"))
-    sets = posting.select("rep", "digest", "shingles")
+    sets, n_sets = posting.select("rep", "digest", "shingles"), groups.count()
 
     def linked(met: DataFrame) -> DataFrame:
-        met = checkpointed(met)
-        tiles = into_tiles(met, met.count()).join(groups.select("doc_id", "rep", "digest"), "doc_id")
+        tiles = into_tiles(checkpointed(met), n_sets).join(groups.select("doc_id", "rep", "digest"), "doc_id")
         return tile_links(tiles.join(sets, ["rep", "digest"]).drop("rep", "digest"))
 
-    counted = groups.join(groups.groupBy("grp").agg(F.count(F.lit(1)).alias("all")), "grp")
-    found = linked(counted.where(F.col("all") <= BLOCK).select("doc_id", "grp", "n"))
-    large = checkpointed(counted.where(F.col("all") > BLOCK).select("doc_id", "grp", "n"))
-    if not large.isEmpty():
-        held = checkpointed(large.join(shared.select(F.col("node").alias("doc_id"), "a", "shingle"), "doc_id"))
-        near = checkpointed(linked(by_anchor(held)))
-        component = connected_components(near).withColumnRenamed("node", "doc_id")
-        rest = held.join(component, "doc_id", "left").withColumn("component", F.coalesce("component", "doc_id"))
-        found = found.unionByName(near).unionByName(linked(taken_apart(rest)))
+    met, large = groups.select("doc_id", "grp", "n"), checkpointed(over_block(groups))
+    if large.isEmpty():
+        found = linked(met)
+    else:
+        held = met.join(F.broadcast(large), "grp").join(shared.select(F.col("node").alias("doc_id"), "a", "shingle"), "doc_id")
+        held = checkpointed(held)
+        near = connected_components(linked(by_anchor(held)))
+        rest = held.join(near.withColumnRenamed("node", "doc_id"), "doc_id", "left").withColumn("component", F.coalesce("component", "doc_id"))
+        found = linked(met.join(F.broadcast(large), "grp", "left_anti").unionByName(taken_apart(rest)))
+        found = found.unionByName(near.select(F.col("node").alias("a"), F.col("component").alias("b")))
     joined = classes.join(connected_components(found), "node", "left").withColumn("component", F.coalesce("component", "node"))
     smallest = joined.groupBy("component").agg(F.min("rep").alias("least"))
     by_class = joined.join(smallest, "component").select("digest", F.col("component").alias("root"), F.col("least").alias("component"))

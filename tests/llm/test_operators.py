@@ -194,6 +194,35 @@ def test_jaccard_moves_sets_of_many_near_copies_few_times(spark, monkeypatch):
     assert sum(moved) < 120 * 40
 
 
+def test_jaccard_of_a_large_group_takes_few_tasks(spark, monkeypatch):
+    """Each task leaves files and a row in Spark's log, so on many partitions rounds that few edges don't need fill the disk."""
+    from spanforge.llm import components, jaccard_join
+
+    rng, texts, rounds = random.Random(17), [], []
+    for k in range(60):
+        words = [f"w{n}" for n in range(100)]
+        words[rng.randrange(100)] = words[rng.randrange(100)] = f"own{k}"
+        texts.append((k, " ".join(words)))
+    whole = components.checkpointed
+    monkeypatch.setattr(jaccard_join, "BLOCK", 16)
+    monkeypatch.setattr(components, "checkpointed", lambda df: rounds.append(1) or whole(df))
+    kept = {k: spark.conf.get(k) for k in ("spark.sql.shuffle.partitions", "spark.sql.adaptive.coalescePartitions.enabled")}
+    try:
+        for k, v in zip(kept, ("16", "false"), strict=True):
+            spark.conf.set(k, v)
+        spark.sparkContext.setJobGroup("few tasks", "")
+        got = {r.doc_id: (r.n_shingles, r.component_id) for r in jaccard_join.near_duplicate_components(spark.createDataFrame(texts, "doc_id long, text string")).collect()}
+        tracker = spark.sparkContext.statusTracker()
+        stages = {s for j in tracker.getJobIdsForGroup("few tasks") for s in tracker.getJobInfo(j).stageIds}
+        tasks = sum(i.numCompletedTasks for i in map(tracker.getStageInfo, stages) if i)
+    finally:
+        spark.sparkContext.setJobGroup("other", "")
+        for k, v in kept.items():
+            spark.conf.set(k, v)
+    assert got == brute_components(texts)
+    assert len(rounds) == 6 and 0 < tasks < 2500, (len(rounds), tasks)
+
+
 def test_bpe_is_the_library(docs, empty, rows):
     import numpy as np
     from tokenizers import Tokenizer
