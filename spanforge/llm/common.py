@@ -35,11 +35,19 @@ def id_and_text(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
     )
 
 
+def released() -> None:
+    """Gives the memory that Arrow has freed back to the system: workers live on after a task, and an executor has one for each core."""
+    import pyarrow as pa
+
+    pa.default_memory_pool().release_unused()
+
+
 def slices(batches, rows: int = SLICE_ROWS):
-    """Arrow record batches cut into short slices."""
+    """Arrow record batches cut into short slices. After the last one what Arrow has freed is given back."""
     for batch in batches:
         for at in range(0, batch.num_rows, rows):
             yield batch.slice(at, rows)
+    released()
 
 
 def bucket(col: Column, n: int, seed: int = 0) -> Column:

@@ -66,14 +66,16 @@ def _all_stars(e: DataFrame) -> bool:
     return ends.agg(F.count_if(F.expr("least < most or (least is not null and above)"))).first()[0] == 0
 
 
-def connected_components(edges: DataFrame) -> DataFrame:
+def connected_components(edges: DataFrame, forests: bool = False) -> DataFrame:
     """(node, component) of every node of edges (a, b); a component is its smallest node. Edges from a node to itself name it only.
 
-    Tasks first contract the edges they are given, without a shuffle. What is left goes to as many tasks as it needs, which contract it again; one task of at
+    Tasks first contract the edges they are given, without a shuffle; not so ``forests``, which Python has just made in the same tasks: there is little to contract in them, and each task
+    would hold a second Python worker. What is left goes to as many tasks as it needs, which contract it again; one task of at
     most EDGES_A_TASK edges is done then. With more, a large star links a node's larger neighbours to its least one, a small star the smaller ones; each round of these and of
     contraction keeps the components and brings every node nearer to the least, until all edges are stars. A star takes one shuffle. The edges are computed once.
     """
-    e = checkpointed(contracted(edges.select(F.greatest("a", "b").cast("long").alias("u"), F.least("a", "b").cast("long").alias("v"))))
+    given = edges.select(F.greatest("a", "b").cast("long").alias("u"), F.least("a", "b").cast("long").alias("v"))
+    e = checkpointed(given if forests else contracted(given))
     tasks = max(1, -(-e.count() // min(EDGES_A_TASK, EDGES_AT_ONCE)))
     e = checkpointed(contracted(e.coalesce(tasks)))
     while tasks > 1 and not _all_stars(e):

@@ -304,11 +304,11 @@ def _components(plain: DataFrame) -> DataFrame:
     else:
         held = met.join(F.broadcast(large), "grp").join(shared.select(F.col("node").alias("doc_id"), "a", "shingle"), "doc_id")
         held = checkpointed(held)
-        near = connected_components(linked(by_anchor(held)))
+        near = connected_components(linked(by_anchor(held)), forests=True)
         rest = held.join(near.withColumnRenamed("node", "doc_id"), "doc_id", "left").withColumn("component", F.coalesce("component", "doc_id"))
         found = linked(met.join(F.broadcast(large), "grp", "left_anti").unionByName(taken_apart(rest)))
         found = found.unionByName(near.select(F.col("node").alias("a"), F.col("component").alias("b")))
-    joined = classes.join(connected_components(found), "node", "left").withColumn("component", F.coalesce("component", "node"))
+    joined = classes.join(connected_components(found, forests=True), "node", "left").withColumn("component", F.coalesce("component", "node"))
     smallest = joined.groupBy("component").agg(F.min("rep").alias("least"))
     by_class = joined.join(smallest, "component").select("digest", F.col("component").alias("root"), F.col("least").alias("component"))
     return every.select("doc_id", "n", F.when(F.col("n") > 0, F.col("digest")).alias("digest")).join(by_class, "digest", "left").select(

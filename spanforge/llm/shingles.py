@@ -5,7 +5,8 @@ from __future__ import annotations
 import numpy as np
 
 WORDS = 5
-CHUNK_BYTES = 1 << 20
+#: Bytes hashed at once. Numbers of 8 bytes are made for each, and tables of powers for as many stay in the worker.
+CHUNK_BYTES = 1 << 18
 
 _rng = np.random.default_rng(20240229)
 _BYTE = _rng.integers(0, 1 << 64, 256, dtype=np.uint64)
@@ -16,16 +17,17 @@ _LOWER = np.arange(256, dtype=np.uint8)
 _LOWER[65:91] += 32
 _BLANK = np.zeros(256, bool)
 _BLANK[[32, 9, 10, 11, 12, 13]] = True
-_powers: dict[int, tuple[np.ndarray, np.ndarray]] = {}
+_powers: list[tuple[np.ndarray, np.ndarray]] = []
 
 
 def _power_tables(n: int) -> tuple[np.ndarray, np.ndarray]:
-    size = 1 << max(20, (n - 1).bit_length())
-    if size not in _powers:
-        if size > 4 << 20:  # of a very long text; not worth keeping
-            return _cumulated(_BASE, size), _cumulated(_INVERSE, size)
-        _powers[size] = _cumulated(_BASE, size), _cumulated(_INVERSE, size)
-    return _powers[size]
+    """Of n powers or more. One pair of tables is kept, for a full chunk; those of a longer text are not worth it."""
+    full = 2 * CHUNK_BYTES
+    if n > full:
+        return _cumulated(_BASE, n), _cumulated(_INVERSE, n)
+    if not _powers:
+        _powers.append((_cumulated(_BASE, full), _cumulated(_INVERSE, full)))
+    return _powers[0]
 
 
 def _cumulated(base: int, n: int) -> np.ndarray:

@@ -223,6 +223,64 @@ def test_jaccard_of_a_large_group_takes_few_tasks(spark, monkeypatch):
     assert len(rounds) == 6 and 0 < tasks < 2500, (len(rounds), tasks)
 
 
+def python_in_a_row(df):
+    """Python operators at most that a task of this frame runs one above the other, each of which takes a worker of its own."""
+
+    def of(node):
+        below = [of(node.children().apply(k)) for k in range(node.children().size())]
+        here, most = max((x for x, _ in below), default=0), max((x for _, x in below), default=0)
+        if re.match("MapInArrow|FlatMap", node.nodeName()):
+            here = 1 + here * (node.nodeName() == "MapInArrow")  # groups come by a shuffle
+        elif not re.match("Project|Filter|Union|Repartition|SubqueryAlias", node.nodeName()):
+            here = 0
+        return here, max(here, most)
+
+    return of(df._jdf.queryExecution().optimizedPlan())[1]
+
+
+def test_jaccard_takes_one_python_worker_a_task(spark, monkeypatch):
+    """Workers live on after a task with what they hold, so a second one in a task doubles what executors hold."""
+    from spanforge.llm import components, jaccard_join
+
+    rng, texts, found = random.Random(19), [], []
+    for k in range(40):
+        words = [f"w{n}" for n in range(100)]
+        words[rng.randrange(100)] = words[rng.randrange(100)] = f"own{k}"
+        texts.append((k, " ".join(words)))
+    whole = components.checkpointed
+
+    def seen(df):
+        found.append(python_in_a_row(df))
+        return whole(df)
+
+    monkeypatch.setattr(jaccard_join, "BLOCK", 16)
+    monkeypatch.setattr(components, "checkpointed", seen)
+    monkeypatch.setattr(jaccard_join, "checkpointed", seen)
+    got = {r.doc_id: (r.n_shingles, r.component_id) for r in jaccard_join.near_duplicate_components(spark.createDataFrame(texts, "doc_id long, text string")).collect()}
+    assert got == brute_components(texts)
+    assert max(found) == 1, found
+
+
+def test_shingles_keep_little(monkeypatch):
+    """What a worker keeps and needs at once is bounded, and sets don't depend on how texts are put together."""
+    import tracemalloc
+
+    from spanforge.llm import shingles
+
+    rng = random.Random(23)
+    texts = [" ".join(f"w{rng.randrange(50_000)}" for _ in range(n)) for n in [*[2000] * 150, 100_000, 0, 3]]
+    monkeypatch.setattr(shingles, "_powers", type(shingles._powers)())
+    tracemalloc.start()
+    try:
+        shingles.shingle_sets(texts[:150])
+        kept, most = tracemalloc.get_traced_memory()
+    finally:
+        tracemalloc.stop()
+    assert kept < 10e6 and most < 40e6, (kept, most)
+    together = shingles.shingle_sets(texts)
+    assert all((a == b).all() and a.size == b.size for a, b in zip(together, [shingles.shingle_sets([t])[0] for t in texts], strict=True))
+
+
 def test_bpe_is_the_library(docs, empty, rows):
     import numpy as np
     from tokenizers import Tokenizer
