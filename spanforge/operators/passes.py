@@ -145,8 +145,9 @@ def t1_t2_main_file(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("t4_fallback_year", """select o_custkey, arg_max(o_orderkey, (case when year(o_orderdate) = 1997 then 1 else 0 end) * 1e15 + (case when o_orderstatus <> 'P' then 1 else 0 end) * 1e13 + epoch(o_orderdate) * 1e2 - o_orderkey / 1e9) as picked from orders group by 1""")
 def t4_fallback_year(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The record of the year asked for, else of any; originals before amendments, then the newest, then the first."""
-    rank = F.struct(F.year("o_orderdate") == 1997, F.col("o_orderstatus") != "P", "o_orderdate", -F.col("o_orderkey"))
+    """The record of the year asked for, else of any; originals before amendments, then the newest, then the first. A record without a date or key is none, one without a status an amendment."""
+    original = F.coalesce(F.col("o_orderstatus") != "P", F.lit(False))
+    rank = F.when(F.col("o_orderdate").isNotNull() & F.col("o_orderkey").isNotNull(), F.struct(F.year("o_orderdate") == 1997, original, "o_orderdate", -F.col("o_orderkey")))
     return table(spark, sf_dir, "orders").groupBy("o_custkey").agg(F.max_by("o_orderkey", rank).alias("picked"))
 
 

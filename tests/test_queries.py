@@ -60,3 +60,13 @@ def test_entry(spark):
 
     assert e.entry(spark).count() > 0
     assert set(e.oracle_sql()) <= set(e.queries())
+
+
+def test_records_without_a_part_of_their_rank(spark, tmp_path):
+    """No date or key is no record, no status counts as "P"; a customer of none has no pick."""
+    rows = "(1, 7, 'F', null), (2, 7, 'P', timestamp '1996-01-01'), (3, 8, 'P', timestamp '1997-01-01'), (4, 8, null, timestamp '1997-02-01'), (null, 8, 'F', timestamp '1997-03-01'), (5, 9, 'F', null)"
+    con = duckdb.connect()
+    con.sql(f"create table orders as select * from (values {rows}) as o(o_orderkey, o_custkey, o_orderstatus, o_orderdate)")
+    con.sql(f"copy orders to '{tmp_path}/orders.parquet' (format parquet)")
+    got, want = catalogue.QUERIES["t4_fallback_year"](spark, str(tmp_path)).toPandas(), con.sql(catalogue.ORACLES["t4_fallback_year"]).df()
+    assert rows_of(got) == rows_of(want) == [(7.0, 2.0), (8.0, 4.0), (9.0, "null")]
