@@ -1,64 +1,30 @@
 """Sections of numbered-item documents: headings, choice, extents, status; page markup to text with a map of offsets.
 
-Rows of one document never meet in Python: a section pass is lines, joins with the small item table, windows by document and one fold over the few
-headings of a document. Python is used for string similarity (heading lines only) and for markup.
+A document is one row and stays one: its lines, headings and sections are worked out in the task that reads it (``functions.filings``), so no line is shuffled.
 """
 
 from __future__ import annotations
 
-import re
-
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
+from spanforge.functions.filings import HEAD_MARGIN, HEADING_ROWS, ITEM_ROWS, ITEMS, PLAUSIBLE_SIMILARITY, heading_rows, section_rows  # noqa: F401
 from spanforge.functions.markup import normalized, similarity
-from spanforge.operators.lines import lines_of
-from spanforge.operators.stubs import LONG_BODY, stub_target
-from spanforge.plans.checkpoints import settled
 from spanforge.plans.registry import query
 from spanforge.sources.tables import table
 
-#: Item codes of the annual form with their titles, in order.
-ITEMS = [
-    ("1", "Business"), ("1A", "Risk Factors"), ("1B", "Unresolved Staff Comments"), ("1C", "Cybersecurity"), ("2", "Properties"), ("3", "Legal Proceedings"),
-    ("4", "Mine Safety Disclosures"), ("5", "Market for Registrant's Common Equity, Related Stockholder Matters and Issuer Purchases of Equity Securities"), ("6", "[Reserved]"), ("7", "Management's Discussion and Analysis of Financial Condition and Results of Operations"),
-    ("7A", "Quantitative and Qualitative Disclosures About Market Risk"), ("8", "Financial Statements and Supplementary Data"),
-    ("9", "Changes in and Disagreements with Accountants on Accounting and Financial Disclosure"), ("9A", "Controls and Procedures"), ("9B", "Other Information"),
-    ("9C", "Disclosure Regarding Foreign Jurisdictions that Prevent Inspections"), ("10", "Directors, Executive Officers and Corporate Governance"), ("11", "Executive Compensation"),
-    ("12", "Security Ownership of Certain Beneficial Owners and Management and Related Stockholder Matters"), ("13", "Certain Relationships and Related Transactions, and Director Independence"),
-    ("14", "Principal Accountant Fees and Services"), ("15", "Exhibits, Financial Statement Schedules"), ("16", "Form 10-K Summary"),
-]
-
-#: Heading lines (plain, with a part before or no blank, and of two items), a page number at a line's end, a contents marker, the line before signatures.
-STRICT = r"(?i)^\s*item\s+(\d{1,2})\s*([a-c])?\s*[.:\-]?\s*(.*)$"
-LOOSE = r"(?i)^\s*(?:part\s+[ivx]+[.,]?\s*[-:]?\s*)?item\s*(\d{1,2})\s*([a-c])?\b[\s.:\-]*(.*)$"
-COMBINED = r"(?i)^\s*items\s+(\d{1,2})\s*([a-c])?\s+and\s+(\d{1,2})\s*([a-c])?\b[\s.:\-]*(.*)$"
-PAGE_AT_END = r"(?:\.{3,}|·{3,}|\s)\s*\d{1,4}\s*$"
-MARKER = r"(?i)table\s+of\s+contents|\bindex\b"
-SIGNED = r"(?i)^\s*signatures?\s*$|^\s*s\s+i\s+g\s+n\s+a\s+t\s+u\s+r\s+e\s+s?\s*$|^\s*pursuant\s+to\s+the\s+requirements\s+of\s+section\s+13\s+or\s+15\s*\(\s*d\s*\)"
-FURNITURE = r"(?i)^\s*(?:page\s+)?\d{1,3}\s*$|^\s*table of contents\s*$|^\s*part\s+[iv]+\.?\s*$"
-NEAR_MARKER, BAND, SHORT_GAP, AMBIGUOUS = 3000, 1500, 300, 0.85
-LONGEST_LINE, LONGEST_STRICT, EMPHASIS, LINKED = 200, 120, 0.7, 0.5
-#: Titles that items had before, a line that may be a heading without the word "item", and how like a title the rest of it must be.
-EARLIER_TITLES = [
-    ("4", "Submission of Matters to a Vote of Security Holders"), ("6", "Selected Financial Data"), ("10", "Directors and Executive Officers of the Registrant"), ("14", "Principal Accounting Fees and Services"),
-]
-LOOSE_HEADING = r"(?i)^\s*(?:item[\s.]+)?(\d{1,2})\s*([a-c])?(?:\(t\))?\s*[.:\-–—]?\s*(.*)$"
-HEAD_MARGIN, TITLE_SIMILARITY, PLAUSIBLE_SIMILARITY = 300, 0.6, 0.4
-
 
 def items(spark: SparkSession) -> DataFrame:
     """(code, ord, canonical): the 23 items."""
     return spark.createDataFrame([(c, i, t) for i, (c, t) in enumerate(ITEMS)], "code string, ord int, canonical string")
 
 
-def _flagged(mask: int) -> Column:
-    """The share of a heading line's characters, blanks aside, that ``marks`` say are set so."""
-    line = F.regexp_replace("line", r"\s", "")
-    on = F.filter("marks", lambda m: (m["flags"].bitwiseAND(F.lit(mask)) != 0) & (m["end"] > F.col("start")) & (m["start"] < F.col("end")))
-    part = lambda m: F.substr("line", (F.greatest(m["start"].cast("long"), F.col("start")) - F.col("start") + 1).cast("int"), (F.least(m["end"].cast("long"), F.col("end")) - F.greatest(m["start"].cast("long"), F.col("start"))).cast("int"))
-    chars = F.aggregate(on, F.lit(0), lambda n, m: n + F.length(F.regexp_replace(part(m), r"\s", "")))
-    return F.coalesce(F.try_divide(chars, F.length(line)), F.lit(0.0))
+def by_document(docs: DataFrame, rule, ddl: str) -> DataFrame:
+    """Rows that a rule gives of each document (doc_id, text[, marks]) by itself: a narrow map."""
+    columns = [c for c in ("doc_id", "text", "marks", "items") if c in docs.columns]
+    schema = T.StructType([T.StructField("doc_id", docs.schema["doc_id"].dataType), *T.StructType.fromDDL(ddl).fields])
+    return docs.select(*columns).mapInArrow(rule, schema)
 
 
 def candidates(docs: DataFrame) -> DataFrame:
@@ -69,51 +35,7 @@ def candidates(docs: DataFrame) -> DataFrame:
     a later heading of the same item. The score is 2 for a plain heading line of at most 120 characters, 1 for one set in bold or as a heading, 0.5 for one next to
     a blank line or in capitals, twice its title's similarity, and 0.25 for capitals. How lines are set is read from ``marks`` (``read_page``) where docs have that column.
     """
-    spark = docs.sparkSession
-    line, number = F.col("line"), lambda p, a: F.upper(F.concat(F.regexp_extract("line", p, a), F.regexp_extract("line", p, a + 1)))
-    two, one = line.rlike(COMBINED), line.rlike(LOOSE)
-    codes = F.when(F.length(line) > LONGEST_LINE, F.array()).when(two, F.array(number(COMBINED, 1), number(COMBINED, 3))).when(one, F.array(number(LOOSE, 1))).otherwise(F.array())
-    codes = codes.cast("array<string>")
-    known = F.array(*(F.lit(c) for c, _ in ITEMS))
-    valid = F.when(F.forall(codes, lambda c: F.array_contains(known, c)), codes).otherwise(F.array().cast("array<string>"))
-    blank = F.trim(line) == ""
-    around = Window.partitionBy("doc_id").orderBy("line_idx")
-    # a line's place among its neighbours needs all lines, but of those that are no heading only whether they are blank or hold a marker
-    marker_at = F.when(line.rlike(MARKER), F.col("start") + F.length(F.regexp_extract("line", rf"(?s)^(.*)(?:{MARKER.removeprefix('(?i)')})", 1)))
-    light = lines_of(docs).select(
-        "doc_id", "line_idx", "start", "end", valid.alias("codes"), blank.alias("blank"), F.when(line.rlike(MARKER), F.coalesce(marker_at, F.col("start"))).alias("marker"), F.when(F.size(valid) > 0, line).alias("line")
-    )
-    placed = light.withColumns(
-        {"alone": F.coalesce(F.lag("blank").over(around), F.lit(True)) | F.coalesce(F.lead("blank").over(around), F.lit(True)), "marker_at": F.max("marker").over(around)}
-    )
-    rows = placed.where(F.size("codes") > 0)
-    if "marks" in docs.columns:
-        rows = rows.join(docs.select("doc_id", "marks"), "doc_id")
-        rows = rows.withColumns({"emphasis": _flagged(3), "linked": _flagged(4)}).drop("marks")
-    else:
-        rows = rows.withColumns({"emphasis": F.lit(0.0), "linked": F.lit(0.0)})
-    by = Window.partitionBy("doc_id").orderBy("start")
-    heads = F.size("codes")
-    near, after = F.sum(heads).over(by.rangeBetween(-BAND, BAND)) - heads, F.coalesce(F.sum(heads).over(by.rangeBetween(1, BAND)), F.lit(0))
-    gap = F.lead("start").over(by) - F.col("end")
-    numbered = F.col("line").rlike(PAGE_AT_END)
-    signs = (
-        F.when(F.col("linked") >= LINKED, 2.0).otherwise(0.0) + F.when(numbered, 1.0).otherwise(0.0) + F.when(F.col("start") - F.col("marker_at") <= NEAR_MARKER, 1.0).otherwise(0.0)
-        + F.when((near >= 4) & (after >= 2), 1.0).otherwise(0.0) + F.when(gap < SHORT_GAP, 0.75).otherwise(0.0)
-    )
-    title = F.trim(F.when(F.size("codes") > 1, F.regexp_extract("line", COMBINED, 5)).otherwise(F.regexp_extract("line", LOOSE, 3)))
-    letters = F.length(F.regexp_replace("line", "[^A-Za-z]", ""))
-    upper = (letters > 0) & (F.length(F.regexp_replace("line", "[^A-Z]", "")) > 0.8 * letters)
-    short = F.length(F.trim("line")) <= LONGEST_STRICT
-    rows = rows.select(
-        "doc_id", "line_idx", "start", "end", title.alias("title"), signs.alias("signs"), numbered.alias("numbered"), (F.col("linked") >= LINKED).alias("linked"), upper.alias("upper"),
-        (F.col("line").rlike(STRICT) & short).alias("strict"), (F.col("emphasis") >= EMPHASIS).alias("set"), (short & (F.col("alone") | upper)).alias("apart"), (F.size("codes") > 1).alias("combined"), "codes",
-    )
-    rows = rows.select("*", F.explode("codes").alias("code")).drop("codes")  # after the windows, which are over lines
-    scored = rows.join(F.broadcast(items(spark)), "code").withColumn("sim", F.when(F.col("title") == "", 0.0).otherwise(similarity("title", "canonical")))
-    worth = 2.0 * F.col("strict").cast("int") + F.col("set").cast("int") + 0.5 * F.col("apart").cast("int") + 2.0 * F.col("sim") + 0.25 * F.col("upper").cast("int")
-    later = F.max("start").over(Window.partitionBy("doc_id", "code")) > F.col("start")
-    return scored.withColumn("score", worth).withColumn("listed", (F.col("signs") >= 2) & later)
+    return by_document(docs, heading_rows, HEADING_ROWS)
 
 
 def plausible(found: DataFrame) -> DataFrame:
@@ -123,80 +45,6 @@ def plausible(found: DataFrame) -> DataFrame:
     return found.where((F.col("signs") < 2) & shaped & ((F.col("sim") >= PLAUSIBLE_SIMILARITY) | (F.col("title") == "")))
 
 
-def titled_lines(docs: DataFrame, found: DataFrame) -> DataFrame:
-    """(doc_id, line_idx, start, code, ord) of lines that are an item's number and its title, with or without the word "item", and are no heading of ``found``.
-
-    The title is the present or an earlier one: it starts with the first two words of it and is alike by 0.6. Lines with a page number at their end, over 120 characters, or set as links don't count.
-    """
-    spark = docs.sparkSession
-    titles = items(spark).select("code", "ord", F.explode(F.array("canonical")).alias("known"))
-    earlier = spark.createDataFrame(EARLIER_TITLES, "code string, known string").join(items(spark).select("code", "ord"), "code").select("code", "ord", "known")
-    variants = titles.unionByName(earlier)
-    words = F.slice(F.regexp_extract_all("known", F.lit("([A-Za-z]+)"), 1), 1, 2)
-    variants = variants.select("code", "ord", "known", F.concat(F.lit("(?i)^"), F.array_join(words, r"[\W_]+"), F.lit(r"\b")).alias("opening"))
-    bare = F.trim("line")
-    part = lambda g: F.regexp_extract(bare, LOOSE_HEADING, g)
-    lines = lines_of(docs).where((F.length(bare) <= LONGEST_STRICT) & bare.rlike(LOOSE_HEADING) & ~bare.rlike(PAGE_AT_END))
-    rest = F.regexp_replace(F.regexp_replace(part(3), r"^\s+|\s+$", ""), r"[.:]+$", "")
-    named = lines.select("doc_id", "line_idx", "start", "end", "line", F.concat(part(1), F.upper(part(2))).alias("code"), F.trim(rest).alias("rest"))
-    open_ = named.join(F.broadcast(variants), "code").where(F.regexp_like("rest", F.col("opening")))
-    alike = open_.where(similarity("known", "rest") >= TITLE_SIMILARITY)
-    if "marks" in docs.columns:
-        alike = alike.join(docs.select("doc_id", "marks"), "doc_id").where(_flagged(4) < LINKED)
-    return alike.select("doc_id", "line_idx", "start", "code", "ord").distinct().join(found.select("doc_id", "line_idx"), ["doc_id", "line_idx"], "left_anti")
-
-
-_PICK = "struct<ord:int,cost:double,start:bigint,code:string,end:bigint,combined:boolean,ratio:double,line_idx:bigint>"
-
-
-def chosen(found: DataFrame) -> DataFrame:
-    """One heading an item and document: the best one that starts after the choice for the item before (or with it, where one line names both)."""
-    live = found.where(~F.col("listed"))
-    ranked = live.withColumn("ratio", F.try_divide(F.lead("score").over(Window.partitionBy("doc_id", "code").orderBy(F.desc("score"), "start")), "score"))
-    pick = F.struct("ord", (-F.col("score")).alias("cost"), "start", "code", "end", "combined", "ratio", "line_idx").cast(_PICK)
-    ordered = ranked.groupBy("doc_id").agg(F.array_sort(F.collect_list(pick)).alias("picks"))
-    start = F.struct(F.lit(-1).alias("ord"), F.lit(-1).cast("long").alias("at"), F.array().cast(f"array<{_PICK}>").alias("kept"))
-
-    def step(state: Column, p: Column) -> Column:
-        free = (p["ord"] > state["ord"]) & ((p["start"] > state["at"]) | (p["combined"] & (p["start"] == state["at"])))
-        taken = F.struct(p["ord"].alias("ord"), p["start"].alias("at"), F.concat(state["kept"], F.array(p)).alias("kept"))
-        return F.when(free, taken).otherwise(state)
-
-    return ordered.select("doc_id", F.inline(F.aggregate("picks", start, step, lambda s: s["kept"])))
-
-
-def with_shared_headings(heads: DataFrame, found: DataFrame) -> DataFrame:
-    """``chosen`` headings, and for each item without one the nearest earlier chosen heading whose title holds that item's whole title.
-
-    Both then count as combined. A heading serves one such item, none if it names several items itself; item 6 takes no part.
-    """
-    pattern = lambda t: r"(?i)\b" + r"\s+".join(re.escape(w) for w in t.split()) + r"\b"
-    holds = F.array_compact(F.array(*(F.when(F.col("title").rlike(pattern(t)), c) for c, t in ITEMS if c != "6")))
-    titled = heads.join(found.select("doc_id", "code", "line_idx", holds.alias("holds")), ["doc_id", "code", "line_idx"])
-    head = F.struct("ord", "cost", "start", "code", "end", "combined", "ratio", "line_idx", "holds")
-    docs = titled.groupBy("doc_id").agg(F.array_sort(F.collect_list(head)).alias("heads"))
-    wanted = F.array(*(F.struct(F.lit(i).alias("ord"), F.lit(c).alias("code")) for i, (c, _) in enumerate(ITEMS)))
-    none = F.array().cast("array<struct<code:string,ord:int,lender:string>>")
-
-    def lend(done: Column, item: Column) -> Column:
-        lenders = F.filter(
-            "heads",
-            lambda h: (h["ord"] < item["ord"]) & ~h["combined"] & F.array_contains(h["holds"], item["code"]) & ~F.exists(done, lambda d: d["lender"] == h["code"]),
-        )
-        lacking = ~F.exists("heads", lambda h: h["code"] == item["code"]) & (F.size(lenders) > 0)
-        lent = F.struct(item["code"].alias("code"), item["ord"].alias("ord"), F.get(lenders, F.size(lenders) - 1)["code"].alias("lender"))
-        return F.when(lacking, F.concat(done, F.array(lent))).otherwise(done)
-
-    lent = docs.select("doc_id", "heads", F.aggregate(wanted, none, lend).alias("lent"))
-    kept = F.transform("heads", lambda h: h.withField("combined", h["combined"] | F.exists("lent", lambda d: d["lender"] == h["code"])).dropFields("holds").cast(_PICK))
-
-    def borrowed(d: Column) -> Column:
-        lender = F.get(F.filter("heads", lambda h: h["code"] == d["lender"]), F.lit(0))
-        return lender.withField("code", d["code"]).withField("ord", d["ord"]).withField("combined", F.lit(True)).dropFields("holds").cast(_PICK)
-
-    return lent.select("doc_id", F.inline(F.concat(kept, F.transform("lent", borrowed))))
-
-
 def sections(docs: DataFrame) -> DataFrame:
     """All 23 items of every document: (doc_id, code, status, start_offset, end_offset, body_chars, toc_listed).
 
@@ -206,41 +54,7 @@ def sections(docs: DataFrame) -> DataFrame:
     incorporated_by_reference; a short item 6 that says so - reserved; a runner-up of 0.85 of the score or more - ambiguous; no body - partial; else pass.
     A null text has no headings.
     """
-    spark = docs.sparkSession
-    docs = docs.withColumn("text", F.coalesce("text", F.lit("")))
-    found = settled(candidates(docs))
-    titled = titled_lines(docs, found)
-    docs = docs.select("doc_id", "text")
-    heads = settled(with_shared_headings(chosen(found), found))
-    starts = heads.groupBy("doc_id", "line_idx").agg(F.min("start").alias("seg"), F.max("end").alias("head_end"))
-    by = Window.partitionBy("doc_id").orderBy("line_idx")
-    lines = lines_of(docs).join(starts, ["doc_id", "line_idx"], "left")
-    placed = lines.select(
-        "doc_id", "line_idx", "start", "end", F.last("seg", True).over(by).alias("seg"), F.last("head_end", True).over(by).alias("head_end"),
-        F.max(F.col("line").rlike(SIGNED)).over(by).alias("signed"), (F.trim("line") == "").alias("blank"), F.col("line").rlike(FURNITURE).alias("furniture"),
-    ).where("seg is not null and not signed")
-    placed = placed.join(heads.select("doc_id", F.col("start").alias("seg"), "code", "ord"), ["doc_id", "seg"])
-    later = plausible(found).select("doc_id", "line_idx", F.col("ord").alias("later")).unionByName(titled.select("doc_id", "line_idx", F.col("ord").alias("later")))
-    met = placed.join(later, ["doc_id", "line_idx"]).where((F.col("later") > F.col("ord")) & (F.col("start") >= F.greatest(F.col("seg") + HEAD_MARGIN, F.col("head_end") + 1)))
-    cuts = met.groupBy("doc_id", "code").agg(F.min("start").alias("cut"))
-    whole = placed.join(cuts, ["doc_id", "code"], "left").where("cut is null or start < cut")
-    extents = whole.groupBy("doc_id", "code", "seg").agg(F.max(F.when(~F.col("blank") & ~F.col("furniture"), F.col("end"))).alias("body_end"), F.max("head_end").alias("head_end"))
-    by_doc = extents.groupBy("doc_id").agg(F.collect_list(F.struct("code", "seg", "head_end", "body_end")).alias("segs"))
-    text_of = lambda s: F.trim(F.substr("text", (s["head_end"] + 1).cast("int"), F.least(s["body_end"] - s["head_end"], F.lit(LONG_BODY)).cast("int")))
-    cut = by_doc.join(docs, "doc_id").select("doc_id", F.inline(F.transform("segs", lambda s: F.struct(s["code"].alias("code"), s["seg"].alias("start"), s["body_end"].alias("body_end"), (s["body_end"] - s["head_end"]).alias("body_chars"), text_of(s).alias("body")))))
-    stub = (F.col("body_chars") <= LONG_BODY) & stub_target(F.col("body")).isNotNull()
-    reserved = (F.col("code") == "6") & (F.col("body_chars") < 200) & F.lower("body").contains("reserved")
-    status = (
-        F.when(F.col("start").isNull(), F.when(F.col("code") == "6", "reserved").otherwise("missing")).when(F.col("combined"), "partial").when(stub, "incorporated_by_reference")
-        .when(reserved, "reserved").when(F.col("ratio") >= AMBIGUOUS, "ambiguous").when(F.col("body_chars") <= 1, "partial").otherwise("pass")
-    )
-    named = heads.select("doc_id", "code", "combined", "ratio").join(cut, ["doc_id", "code"])
-    listed = found.where("listed").select("doc_id", "code").distinct().withColumn("toc_listed", F.lit(True))
-    all_items = docs.select("doc_id", F.explode(F.array(*(F.lit(c) for c, _ in ITEMS))).alias("code"))
-    joined = all_items.join(named, ["doc_id", "code"], "left").join(listed, ["doc_id", "code"], "left")
-    return joined.select(
-        "doc_id", "code", status.alias("status"), F.col("start").alias("start_offset"), F.col("body_end").alias("end_offset"), "body_chars", F.coalesce("toc_listed", F.lit(False)).alias("toc_listed")
-    )
+    return by_document(docs, section_rows, ITEM_ROWS)
 
 
 def _filed(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -1,180 +1,32 @@
 """Bodies that stand elsewhere in the same filing: in a report bound behind the last item, or under a heading inside another item.
 
-What is read again is little: stubs, lines next to page numbers, and the lines of regions that a stub points into. Section headings are those that a page
+All that a document's bodies depend on is the document, so they are found in the task that reads it (``functions.filings``). Section headings are those that a page
 begins with, once the short lines that pages repeat are set aside.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from spanforge.functions.markup import similarity
-from spanforge.operators.indexes import page_maps
-from spanforge.operators.lines import lines_of
-from spanforge.operators.references import LEAST_PAGES, page_spans
-from spanforge.operators.sections import items, sections
-from spanforge.plans.checkpoints import settled
+from spanforge.functions.filings import BODY_ROWS, ENDING_TITLES, OTHER_ITEM, STUB_PAGES, STUB_SECTION, THIS_FILING, body_rows, given_body_rows  # noqa: F401
+from spanforge.operators.sections import by_document
 from spanforge.plans.registry import query
 from spanforge.sources.tables import table
 
-#: What a stub says of its target, headings that end a section, and the thresholds of both.
-STUB_PAGES, STUB_SECTION = r"(?i)(pages?\s+\d{1,4}(?:\s*[-–]\s*\d{1,4})?)", r"(?i)section\s+entitled\s+[\"“]([^\"”]{4,120})[\"”]"
-PROXY, THIS_FILING = r"(?i)proxy\s+statement", r"(?i)financial\s+section|annual\s+report|on\s+pages?\s+\d"
-OTHER_ITEM = r"(?i)[\"“]([^\"”]{4,200})[\"”]\s+in\s+part\s+[ivx]+\s*,?\s+item\s+(\d{1,2}[a-c]?)\s+of\s+this\s+form\s*10-k"
-ENDING_TITLES = ("management's report on internal control over financial reporting", "report of independent registered public accounting firm", "index to exhibits", "signatures")
-LEAST_APPENDED, LEAST_RESOLVED = 20_000, 400
-LONGEST_FURNITURE, FURNITURE_PAGES, LONGEST_HEADING, TOP_LINES, TOPIC_SIMILARITY, SNAP_SIMILARITY = 80, 3, 60, 6, 0.5, 0.75
-#: Lines after an anchor that show whether it is an entry of a table of contents: how far to look, how many short ones count, and how long others are.
-ENTRY_LINES, ENTRY_SHORT, ENTRY_LONG = 11, 4, 80
-
-
-def normal_title(title: Column | str) -> Column:
-    """White space as one blank, straight apostrophes, lower case."""
-    col = F.col(title) if isinstance(title, str) else title
-    return F.lower(F.regexp_replace(F.regexp_replace(F.translate(col, "’", "'"), r"^\s+|\s+$", ""), r"\s+", " "))
-
-
-def _lines(docs: DataFrame) -> DataFrame:
-    """(doc_id, line_idx, start, end, t, nth): trimmed lines, with their number among those that are not blank."""
-    bare = lines_of(docs).withColumn("t", F.regexp_replace("line", r"^\s+|\s+$", "")).drop("line")
-    return bare.withColumn("nth", F.sum((F.col("t") != "").cast("int")).over(Window.partitionBy("doc_id").orderBy("line_idx")))
-
-
-def page_tops(docs: DataFrame, regions: DataFrame, maps: DataFrame) -> DataFrame:
-    """(doc_id, rid, start, title, body_end, next_start, next_body_end) of the headings that pages begin with in regions (doc_id, rid, lo, hi).
-
-    A line of at most 80 characters that stands within two lines before or six after at least three page numbers is furniture, numbers aside. The first
-    other line of the six after a page number is a heading if it has at most 60 characters. ``body_end`` is where the text before it ends, without furniture, numbers and blanks.
-    """
-    lines = _lines(docs.join(regions.select("doc_id").distinct(), "doc_id", "left_semi"))
-    key = lambda t: F.regexp_replace(normal_title(t), r"\d+", "")
-    number = F.col("t").rlike(r"^\d{1,4}$")
-    marks = maps.join(regions.select("doc_id", "rid", "lo", "hi"), ["doc_id", "rid"]).select("doc_id", "rid", "lo", "hi", F.explode("markers").alias("m")).where("m.start >= lo and m.start < hi")
-    marks = marks.select("doc_id", "rid", F.col("m.line_idx").alias("mark"))
-    near = marks.withColumn("line_idx", F.explode(F.array(*(F.col("mark") + d for d in range(-2, TOP_LINES + 1) if d)))).join(lines, ["doc_id", "line_idx"])
-    short = near.where((F.col("t") != "") & (F.length("t") <= LONGEST_FURNITURE) & ~number).select("doc_id", "rid", "mark", key("t").alias("key")).distinct()
-    furniture = short.groupBy("doc_id", "rid", "key").count().where(F.col("count") >= FURNITURE_PAGES).select("doc_id", "rid", "key", F.lit(True).alias("furniture"))
-    place = marks.join(lines.select("doc_id", F.col("line_idx").alias("mark"), F.col("nth").alias("at")), ["doc_id", "mark"])
-    after = place.withColumn("nth", F.explode(F.array(*(F.col("at") + d for d in range(1, TOP_LINES + 1))))).join(lines.where("t <> ''"), ["doc_id", "nth"])
-    seen = after.where(~number).withColumn("key", key("t")).join(furniture, ["doc_id", "rid", "key"], "left").where("furniture is null")
-    tops = seen.groupBy("doc_id", "rid", "mark").agg(F.min(F.struct("line_idx", "start", "t")).alias("top")).where(F.length("top.t") <= LONGEST_HEADING)
-    tops = tops.select("doc_id", "rid", F.col("top.line_idx").alias("line_idx"), F.col("top.t").alias("title")).distinct()
-    inside = lines.join(regions.select("doc_id", "rid", "lo", "hi"), "doc_id").where("end >= lo and start < hi").withColumn("key", key("t"))
-    marked = inside.join(furniture, ["doc_id", "rid", "key"], "left")
-    content = (F.col("t") != "") & ~number & ~((F.length("t") <= LONGEST_FURNITURE) & F.col("furniture").isNotNull())
-    before = Window.partitionBy("doc_id", "rid").orderBy("line_idx").rowsBetween(Window.unboundedPreceding, -1)
-    ended = marked.withColumn("body_end", F.coalesce(F.max(F.when(content, F.col("end") + 1)).over(before), "start"))
-    order = Window.partitionBy("doc_id", "rid").orderBy("line_idx")
-    found = ended.join(tops, ["doc_id", "rid", "line_idx"]).select("doc_id", "rid", "line_idx", "start", "title", "body_end")
-    return found.select("*", F.lead("start").over(order).alias("next_start"), F.lead("body_end").over(order).alias("next_body_end")).drop("line_idx")
-
-
-def anchors(docs: DataFrame, wanted: DataFrame) -> DataFrame:
-    """(doc_id, title, start): the first line from ``region_start`` on that is a wanted title (doc_id, title, region_start) and no entry of a table of contents.
-
-    An entry is followed by at least two numbers among its next four short lines, of eleven, before a line of 80 characters or more.
-    """
-    lines = _lines(docs.join(wanted.select("doc_id").distinct(), "doc_id", "left_semi")).select("doc_id", "line_idx", "start", "t")
-    same = lines.withColumn("title", F.lower(F.translate("t", "’", "'"))).join(wanted, ["doc_id", "title"]).where("start >= region_start")
-    after = same.select("doc_id", "title", "start", F.explode(F.array(*(F.col("line_idx") + d for d in range(1, ENTRY_LINES + 1)))).alias("line_idx"))
-    said = after.join(lines.select("doc_id", "line_idx", "t"), ["doc_id", "line_idx"], "left")
-    rows = said.groupBy("doc_id", "title", "start").agg(F.array_sort(F.collect_list(F.struct("line_idx", "t"))).alias("after"))
-    short = F.filter(F.transform("after", lambda a: a["t"]), lambda t: t != "")
-    long_at = F.array_position(F.transform(short, lambda t: F.length(t) >= ENTRY_LONG), True)
-    counted = F.slice(short, F.lit(1), F.when(long_at > 0, F.least(long_at - 1, F.lit(ENTRY_SHORT))).otherwise(F.lit(ENTRY_SHORT)).cast("int"))
-    numbers = F.size(F.filter(counted, lambda t: t.rlike(r"^\d{1,4}$")))
-    return rows.where(numbers < 2).groupBy("doc_id", "title").agg(F.min("start").alias("start"))
-
-
-def _stubs(docs: DataFrame, found: DataFrame) -> DataFrame:
-    """Items that only point elsewhere, with the text of the pointer, but none to a proxy statement."""
-    pointing = found.where((F.col("status") == "incorporated_by_reference") & F.col("start_offset").isNotNull()).join(docs, "doc_id")
-    stub = F.substr("text", (F.col("start_offset") + 1).cast("int"), (F.col("end_offset") - F.col("start_offset")).cast("int"))
-    return pointing.select("doc_id", "code", "start_offset", "end_offset", stub.alias("stub")).where(~F.col("stub").rlike(PROXY))
-
-
-def appended_bodies(docs: DataFrame, found: DataFrame) -> DataFrame:
-    """(doc_id, code, start, end, provenance) of pointers into a report of 20,000 characters or more behind the last item (``sections``).
-
-    A pointer that names pages gets the first range it names, snapped to the heading inside it that reads like the item's title, up to the next heading a page begins with;
-    one that names a section gets what follows that heading up to the next such section or one of the endings of a report. Spans of 400 characters or less don't count.
-    """
-    last = found.groupBy("doc_id").agg(F.max("end_offset").alias("region_start"))
-    sized = docs.select("doc_id", F.length("text").cast("long").alias("region_end")).join(last, "doc_id")
-    regions = sized.where((F.col("region_start") > 0) & (F.col("region_end") - F.col("region_start") >= LEAST_APPENDED))
-    stubs = _stubs(docs, found).where(F.col("stub").rlike(THIS_FILING)).join(regions, "doc_id")
-    named = settled(stubs.select("doc_id", "code", "region_start", "region_end", F.regexp_extract("stub", STUB_PAGES, 1).alias("pages"), F.lower(F.translate(F.regexp_extract("stub", STUB_SECTION, 1), "’", "'")).alias("title")))
-    regions = named.select("doc_id", "region_start", "region_end").distinct()
-    maps = page_maps(docs, regions.select("doc_id", F.lit("").alias("rid"), F.col("region_start").alias("map_lo"), F.col("region_end").alias("map_hi"))).drop("rid")
-    span = F.get(page_spans(F.col("pages"), F.col("starts"), F.col("ends")), F.lit(0))
-    paged = named.where("pages <> ''").join(maps, "doc_id").withColumn("s", span).where(F.col("s.end") - F.col("s.start") > LEAST_RESOLVED)
-    paged = settled(paged.select("doc_id", "code", "region_end", "s.start", "s.end", "markers"))
-
-    tops = page_tops(docs, paged.select("doc_id", F.col("code").alias("rid"), F.col("start").alias("lo"), F.col("region_end").alias("hi")), paged.select("doc_id", F.col("code").alias("rid"), "markers"))
-    titled = tops.withColumnRenamed("start", "off").withColumnRenamed("rid", "code").join(paged.select("doc_id", "code", "start", "end"), ["doc_id", "code"]).where("off > start and off < end")
-    alike = titled.join(F.broadcast(items(docs.sparkSession)), "code").withColumn("sim", similarity(normal_title("canonical"), normal_title("title"))).where(F.col("sim") >= SNAP_SIMILARITY)
-    best = alike.groupBy("doc_id", "code").agg(F.max(F.struct("sim", (-F.col("off")).alias("early"), "off", "next_body_end")).alias("b"))
-    snapped = paged.join(best, ["doc_id", "code"], "left")
-    snap_end = F.when((F.col("b.next_body_end") > F.col("b.off")) & (F.col("b.next_body_end") <= F.col("end")), F.col("b.next_body_end")).otherwise(F.col("end"))
-    snaps = F.coalesce(snap_end - F.col("b.off") > LEAST_RESOLVED, F.lit(False))
-    by_page = snapped.select("doc_id", "code", F.when(snaps, F.col("b.off")).otherwise(F.col("start")).alias("start"), F.when(snaps, snap_end).otherwise(F.col("end")).alias("end"), F.lit("resolved_from_page_anchor").alias("provenance"))
-
-    quoting = named.where("pages = '' and title <> ''")
-    titles = quoting.select("doc_id", "region_start", F.explode(F.array(F.col("title"), *map(F.lit, ENDING_TITLES))).alias("title")).distinct()
-    places = anchors(docs, titles)
-    ends = places.groupBy("doc_id").agg(F.collect_list("start").alias("all"))
-    placed = quoting.join(places, ["doc_id", "title"]).join(ends, "doc_id")
-    later = F.array_min(F.filter("all", lambda a: a > F.col("start")))
-    by_title = placed.select("doc_id", "code", "start", F.coalesce(later, "region_end").alias("end"), F.lit("resolved_from_section_anchor").alias("provenance"))
-    return by_page.unionByName(by_title.where(F.col("end") - F.col("start") > LEAST_RESOLVED))
-
-
-def bodies_in_items(docs: DataFrame, found: DataFrame) -> DataFrame:
-    """(doc_id, code, start, end, provenance) of pointers to a heading inside another item's span of over 400 characters.
-
-    The last part of the quoted path must be the first heading of that name that a page of the span begins with, in a span of numbered pages, and must read like
-    the item's own title or share a word of six letters with it. The body ends at the next such heading or with the span.
-    """
-    stubs = _stubs(docs, found).withColumn("target", F.upper(F.regexp_extract("stub", OTHER_ITEM, 2))).where("target <> '' and target <> code")
-    spans = found.where(F.col("end_offset") - F.col("start_offset") > LEAST_RESOLVED).select("doc_id", F.col("code").alias("target"), F.col("start_offset").alias("lo"), F.col("end_offset").alias("hi"))
-    path = F.split(F.regexp_extract("stub", OTHER_ITEM, 1), r"\s+[-–—]\s+", -1)
-    aimed = stubs.join(spans, ["doc_id", "target"]).select("doc_id", "code", "lo", "hi", normal_title(F.element_at(path, -1)).alias("title"))
-    aimed = settled(aimed)
-    regions = aimed.select("doc_id", F.col("code").alias("rid"), "lo", "hi")
-    maps = page_maps(docs, regions.select("doc_id", "rid", F.col("lo").alias("map_lo"), F.col("hi").alias("map_hi")))
-    numbered = maps.where(F.element_at("markers", -1)["page"] - F.get("markers", F.lit(0))["page"] >= LEAST_PAGES)
-    tops = page_tops(docs, regions, numbered).withColumnRenamed("rid", "code").withColumn("title", normal_title("title"))
-    first = tops.join(aimed, ["doc_id", "code", "title"]).groupBy("doc_id", "code", "hi", "title").agg(F.min(F.struct("start", "next_body_end")).alias("hit"))
-    canonical = normal_title("canonical")
-    words = lambda t: F.regexp_extract_all(t, F.lit("([a-z]{6,})"), 1)
-    topic = first.join(F.broadcast(items(docs.sparkSession)), "code").where((similarity(canonical, "title") >= TOPIC_SIMILARITY) | F.arrays_overlap(words(F.col("title")), words(canonical)))
-    placed = topic.select("doc_id", "code", "hit.start", F.coalesce("hit.next_body_end", "hi").alias("end"), F.lit("resolved_from_section_anchor").alias("provenance"))
-    return placed.where(F.col("end") - F.col("start") > LEAST_RESOLVED)
-
 
 def with_bodies(docs: DataFrame, found: DataFrame) -> DataFrame:
     """``sections`` with ``provenance`` and ``needs_review``: pointers whose body stands in the same filing get its span and are partial; nothing else changes.
 
-    A body in an appended report goes before one inside an item. Sections and bodies are computed once; they are a few rows a document.
+    A body in an appended report goes before one inside an item. Where ``found`` is ``sections`` of the same documents, ``bound_sections`` gives the same without a shuffle.
     """
-    docs = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
-    found = settled(found)
-    bound = settled(appended_bodies(docs, found))
-    # an item that the report gave a body is no longer a pointer, and counts with that body as another's target
-    taken = found.join(bound.withColumnsRenamed({"start": "_s", "end": "_e"}).drop("provenance"), ["doc_id", "code"], "left")
-    now = taken.select(
-        "doc_id", "code", F.when(F.col("_s").isNotNull(), "partial").otherwise(F.col("status")).alias("status"),
-        F.coalesce("_s", "start_offset").alias("start_offset"), F.coalesce("_e", "end_offset").alias("end_offset"),
-    )
-    bodies = bound.unionByName(bodies_in_items(docs, now)).withColumnsRenamed({"start": "_start", "end": "_end", "provenance": "_from"})
-    joined, got = found.join(bodies, ["doc_id", "code"], "left"), F.col("_start").isNotNull()
-    pick = lambda new, old: F.when(got, new).otherwise(F.col(old)).alias(old)
-    own = F.when(F.col("start_offset").isNull(), F.when(F.col("status") == "reserved", "offset_exact_span").otherwise("unresolved")).otherwise("offset_exact_span")
-    return joined.select(
-        "doc_id", "code", pick(F.lit("partial"), "status"), pick(F.col("_start"), "start_offset"), pick(F.col("_end"), "end_offset"), pick(F.col("_end") - F.col("_start"), "body_chars"), "toc_listed",
-        F.coalesce("_from", own).alias("provenance"), (got | ~F.col("status").isin("pass", "reserved")).alias("needs_review"),
-    )
+    items = found.groupBy("doc_id").agg(F.collect_list(F.struct("code", "status", "start_offset", "end_offset", "body_chars", "toc_listed")).alias("items"))
+    return by_document(items.join(docs.select("doc_id", "text"), "doc_id", "left"), given_body_rows, BODY_ROWS)
+
+
+def bound_sections(docs: DataFrame) -> DataFrame:
+    """``with_bodies`` of the documents' own ``sections``: a narrow map."""
+    return by_document(docs, body_rows, BODY_ROWS)
 
 
 def _wrapped(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -202,5 +54,4 @@ def _wrapped(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("d10_d11_d12_bound_bodies")
 def d10_d11_d12_bound_bodies(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The items of whole documents as filings with bodies bound elsewhere; tests hold it against a plain version and known answers."""
-    docs = _wrapped(spark, sf_dir)
-    return with_bodies(docs, sections(docs))
+    return bound_sections(_wrapped(spark, sf_dir))

@@ -317,3 +317,9 @@ def test_bound_bodies_known(spark, wrapper):
     assert text["1C"].startswith("Cyber risk and Cybersecurity\nThis is") and text["1C"].endswith("at length. \n") and text["1C"].count("This is") == 24
     assert text["7A"].startswith("Quantitative and Qualitative Disclosures of Market Risk\n") and text["7A"].endswith("at length. \n") and "Liquidity" not in text["7A"]
     assert text["8"].startswith("Financial Notes\nThis is") and text["8"].endswith("at length. ") and "Signatures" in text["8"]  # the first line of that name stands before
+
+
+def test_bodies_are_found_where_a_document_is_read(spark):
+    """Texts are five times the input here, so no row of them may be shuffled."""
+    plan = W.d10_d11_d12_bound_bodies(spark, SF)._jdf.queryExecution().executedPlan().toString()
+    assert "MapInArrow" in plan and "Exchange" not in plan
