@@ -199,3 +199,13 @@ def test_similarity_and_linked_lines(spark, tmp_path):
     page = '<p><a href="/x">Go back</a></p><p>Go on</p><p>text <a href="/y">Go on</a></p>'
     spark.createDataFrame([(1, page), (2, None)], "page_id long, html string").write.parquet(f"{tmp_path}/pages.parquet")
     assert [(r.page_id, r.line) for r in f4s_f7s_linked_lines(spark, str(tmp_path)).orderBy("line_idx").collect()] == [(1, "Go back"), (1, "Go on")]
+
+
+def test_sections_are_found_where_a_document_is_read(spark):
+    """No line is shuffled, and a heading that names one item twice gives it once."""
+    from spanforge.operators.sections import d1_d3_w1_w19_sections
+
+    plan = d1_d3_w1_w19_sections(spark, "/root/testdata/sf0.001")._jdf.queryExecution().executedPlan().toString()
+    assert "MapInArrow" in plan and "Exchange" not in plan
+    rows = sections(spark.createDataFrame([(1, "Items 1 and 1. Business\nWe make things and sell them.\n")], "doc_id long, text string")).collect()
+    assert sorted(r.code for r in rows) == sorted(c for c, _ in ITEMS)
