@@ -6,11 +6,12 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from spanforge.functions.filings import DECLARATION_ROWS, ITEM_ROWS, declaration_rows, declared_rows
 from spanforge.functions.markup import normalized
 from spanforge.functions.tags import fragments
 from spanforge.operators.references import merged_spans
-from spanforge.operators.sections import HEAD_MARGIN, _filed, candidates, items, plausible, sections
-from spanforge.operators.stubs import _LETTERS, ELSEWHERE, FEW_NUMBERS, LONG_BODY, NUMBER, POINTS, POINTS_OUTSIDE, SHORT_BODY, TARGETS, stub_target
+from spanforge.operators.sections import HEAD_MARGIN, _filed, by_document, candidates, items, plausible
+from spanforge.operators.stubs import ELSEWHERE, FEW_NUMBERS, LONG_BODY, NUMBER, POINTS, POINTS_OUTSIDE, SHORT_BODY, TARGETS, stub_target
 from spanforge.plans.registry import query
 from spanforge.sources.tables import table
 
@@ -45,45 +46,9 @@ def f14s_stub_targets(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "documents").select("doc_id", stub_target(F.concat(lead, "text")).alias("target"))
 
 
-#: A part's declaration, and how it lists items.
-DECLARATION = (
-    r"(?i)information\s+required\s+by\s+this\s+part\s*[(\[]?\s*(items?\s+\d[^)\]]{0,120}?)\s*[)\]]?\s*(?:of\s+this\s+(?:report|form\s*10-?k)\s*)?"
-    rf"(?:is|are|will\s+be|shall\s+be)\s+incorporated\s+(?:herein\s+)?by\s+reference[{_LETTERS}\s,'’&\-\"“”()]{{0,200}}?\b(?:definitive\s+)?(?:proxy|information)\s+statement\b"
-)
-ITEM_RANGE = r"(?i)^(?:items?\s+)?(\d{1,2}[A-C]?)\s*(?:through|thru|to|[-–—])\s*(?:items?\s+)?(\d{1,2}[A-C]?)$"
-ITEM_SINGLE = r"(?i)^(?:items?\s+)?(\d{1,2}[A-C]?)$"
-
-
-def listed_codes(listing: Column, codes: Column) -> Column:
-    """The codes that an enumeration names ("Items 10, 11 and 12", "Items 10 through 14"), in the form's order; ``codes`` has all of these in order."""
-
-    def of(part: Column) -> Column:
-        part = F.trim(F.regexp_replace(part, r"\s+", " "))
-        one = F.upper(F.regexp_extract(part, ITEM_SINGLE, 1))
-        a, b = (F.array_position(codes, F.upper(F.regexp_extract(part, ITEM_RANGE, g))) for g in (1, 2))
-        return F.when((a > 0) & (b >= a), F.slice(codes, a.cast("int"), (b - a + 1).cast("int"))).otherwise(F.array(one))
-
-    named = F.flatten(F.transform(F.split(listing, r"(?i),|\band\b", -1), of))
-    return F.filter(codes, lambda c: F.array_contains(named, c))
-
-
 def declarations(docs: DataFrame) -> DataFrame:
     """(doc_id, code, start, end) of the first declaration by part that names an item; the span is the line or lines that it stands in."""
-    codes = items(docs.sparkSession).agg(F.array_sort(F.collect_list(F.struct("ord", "code")))["code"].alias("codes"))
-    size = lambda parts, n: F.aggregate(F.slice(parts, 1, n), F.lit(0), lambda s, p: s + F.length(p))
-    met = (
-        docs.where(F.col("text").rlike(DECLARATION))
-        .select("doc_id", "text", F.regexp_extract_all("text", F.lit(f"({DECLARATION})"), 1).alias("said"), F.split("text", DECLARATION, -1).alias("between"))
-        .select("*", F.posexplode("said").alias("k", "sentence"))
-        .withColumn("at", size(F.col("between"), F.col("k") + 1) + size(F.col("said"), F.col("k")))
-    )
-    before, after = F.substr("text", F.lit(1), F.col("at")), F.substr("text", F.col("at") + F.length("sentence") + 1)
-    spans = met.select(
-        "doc_id", F.regexp_extract("sentence", DECLARATION, 1).alias("listing"), (F.col("at") - F.length(F.substring_index(before, "\n", -1))).cast("long").alias("start"),
-        (F.col("at") + F.length("sentence") + F.length(F.substring_index(after, "\n", 1))).cast("long").alias("end"),
-    )
-    each = spans.join(F.broadcast(codes), F.lit(True)).select("doc_id", "start", "end", F.explode(listed_codes(F.col("listing"), F.col("codes"))).alias("code"))
-    return each.groupBy("doc_id", "code").agg(F.min(F.struct("start", "end")).alias("s")).select("doc_id", "code", "s.start", "s.end")
+    return by_document(docs, declaration_rows, DECLARATION_ROWS)
 
 
 def with_declarations(found: DataFrame, docs: DataFrame) -> DataFrame:
@@ -98,12 +63,17 @@ def with_declarations(found: DataFrame, docs: DataFrame) -> DataFrame:
     )
 
 
+def declared_sections(docs: DataFrame) -> DataFrame:
+    """``with_declarations`` of the documents' own ``sections``: a narrow map."""
+    return by_document(docs, declared_rows, ITEM_ROWS)
+
+
 @query("d9_part_declarations")
 def d9_part_declarations(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Sections of the documents laid out as filings that end with a declaration; tests hold the rule against known answers."""
     said = "\nPART III\nThe information required by this Part (Items 10, 11, and 12 through 14) is incorporated by reference to the definitive proxy statement.\n"
     filed = _filed(spark, sf_dir).withColumn("text", F.concat("text", F.lit(said)))
-    return with_declarations(sections(filed), filed)
+    return declared_sections(filed)
 
 
 def later_headings(spans: DataFrame, margin: int = HEAD_MARGIN) -> DataFrame:

@@ -138,3 +138,14 @@ def test_action_screen(spark):
     df = spark.createDataFrame(rows, "kind string, value string, target string, typed string, want string")
     got = df.select("want", G.screen_action(*(G.F.col(c) for c in ("kind", "value", "target", "typed"))).alias("got")).collect()
     assert all(r.want == r.got for r in got)
+
+
+def test_declarations_are_found_where_a_document_is_read(spark):
+    """The query is the rule over its own sections, without a shuffle."""
+    sf = "/root/testdata/sf0.001"
+    done = G.d9_part_declarations(spark, sf)
+    plan = done._jdf.queryExecution().executedPlan().toString()
+    assert "MapInArrow" in plan and "Exchange" not in plan
+    said = "\nPART III\nThe information required by this Part (Items 10, 11, and 12 through 14) is incorporated by reference to the definitive proxy statement.\n"
+    docs = G._filed(spark, sf).withColumn("text", G.F.concat("text", G.F.lit(said)))
+    assert sorted(map(tuple, done.collect())) == sorted(map(tuple, G.with_declarations(sections(docs), docs).collect()))
