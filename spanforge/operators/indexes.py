@@ -8,6 +8,9 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from spanforge.functions.filings import (
+    BARE_ENTRY, BARE_SIMILARITY, BARE_WINDOW, CHARS_PER_PAGE, LAST_PAGES, LEAST_BODY, LEAST_CODES, LEAST_REFERRING, NAMED_PAGES, NO_CONTENT, OUTSIDE_CODES, PACKED_GAP, PAGE_LINE, SPARSE_PAGES, WHOLE_RANGE, WINDOW_CHARS,
+)
 from spanforge.functions.markup import similarity
 from spanforge.functions.sequences import page_places
 from spanforge.operators.lines import lines_of
@@ -16,15 +19,6 @@ from spanforge.operators.sections import ITEMS, candidates, items
 from spanforge.plans.registry import query
 from spanforge.sources.tables import table
 
-#: A line of page numbers, an entry without the word "item", an answer in place of a page, and the thresholds of an index.
-PAGE_LINE = r"(?i)^\s*(?:pages?\s*)?\d{1,4}(?:\s*[-–]\s*\d{1,4})?(?:\s*,\s*\d{1,4}(?:\s*[-–]\s*\d{1,4})?)*\s*$"
-BARE_ENTRY = r"^\s*(\d{1,2}[A-C]?)\.\s*([A-Za-z][A-Za-z '&,./()-]{3,110}?)\s*(\d[\d\s,\-–]*)?$"
-NO_CONTENT = r"(?i)^(none|not\s+applicable|\[?reserved\]?)\.?$"
-NAMED_PAGES, LAST_PAGES = r"(?i)(pages?\s+\d[\d,\s\-–]*)", r"(\d{1,4}(?:\s*[-–]\s*\d{1,4})?)\s*$"
-LEAST_CODES, WINDOW_CHARS, OUTSIDE_CODES, LEAST_REFERRING, PACKED_GAP = 8, 8000, 3, 0.25, 300
-BARE_SIMILARITY, BARE_WINDOW = 0.5, 3 * WINDOW_CHARS
-WHOLE_RANGE, LEAST_BODY, SPARSE_PAGES, CHARS_PER_PAGE = 20_000, 400, 3, 300
-
 _ENTRIES = "array<struct<code:string,start:bigint,end:bigint,ref:string,none:boolean>>"
 _SPAN = "struct<start:bigint,end:bigint>"
 _RESULT = f"struct<code:string,status:string,provenance:string,start:bigint,end:bigint,ranges:array<{_SPAN}>>"

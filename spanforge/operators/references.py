@@ -5,13 +5,12 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from spanforge.functions.filings import LEAST_PAGES
 from spanforge.operators.lines import _LINES, lines_of
 from spanforge.operators.sections import ITEMS, items
 from spanforge.plans.registry import query
 from spanforge.sources.tables import table
 
-#: A map of fewer pages is no pagination of a body.
-LEAST_PAGES = 5
 _SPANS = "array<struct<start:bigint,end:bigint>>"
 _CODES_SQL = "(values " + ", ".join("('{}', '{}')".format(c, t.replace("'", "''")) for c, t in ITEMS) + ") as items(code, canonical)"
 

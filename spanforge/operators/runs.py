@@ -4,20 +4,17 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from spanforge.functions.markup import guarded
-from spanforge.operators.filings import with_declarations
-from spanforge.operators.indexes import _indexed, index_segments, indexes
-from spanforge.operators.sections import HEAD_MARGIN, ITEMS, _filed, candidates, items, plausible, sections
-from spanforge.operators.wrappers import _wrapped, with_bodies
-from spanforge.plans.checkpoints import settled
+from spanforge.functions.filings import FAILED, INDEX, OTHER, ROUTED_ROWS, STANDARD, UNSUPPORTED, routed_rows  # noqa: F401
+from spanforge.operators.indexes import _indexed
+from spanforge.operators.sections import HEAD_MARGIN, _filed, items, plausible
+from spanforge.operators.wrappers import _wrapped
 from spanforge.plans.registry import query
 from spanforge.sources.tables import table
 
 #: How far the gate looks for a page's beginning and for a zero byte.
 HEAD_CHARS, ZERO_CHARS = 2000, 4000
-UNSUPPORTED, FAILED, INDEX, STANDARD, OTHER = "unsupported_scanned_or_binary", "failed", "cross_reference_index", "standard", "non_10k"
-_SPANS = "array<struct<start:bigint,end:bigint>>"
 
 
 def is_binary(html: Column) -> Column:
@@ -41,39 +38,11 @@ def routed_run(filings: DataFrame) -> DataFrame:
 
     A source that is no text, and one that cannot be read, has unsupported items. A filing that is an index has its entries' items. Any other has its sections, with bodies that
     stand elsewhere in it put in their place and declarations by part; one without any heading is of class non_10k. Reasons for review are a later heading inside a passed
-    item, a span that two items share, a pointer's text aside, a status that nothing supports, and the fault itself. Texts and headings are computed once.
+    item, a span that two items share, a pointer's text aside, a status that nothing supports, and the fault itself. A filing is one row and read once: nothing is shuffled.
     """
-    sorted_out = filings.select("doc_id", "html", is_binary(F.col("html")).alias("binary"))
-    read = settled(sorted_out.where("not binary").select("doc_id", guarded("html").alias("n")).select("doc_id", "n.text", "n.marks", "n.fault"))
-    docs = read.where("fault is null").drop("fault")
-    headings = settled(candidates(docs))
-    index = settled(indexes(docs, headings))
-    no_spans = F.array().cast(_SPANS)
-    listed = index_segments(docs, index).select("doc_id", "code", F.lit(INDEX).alias("filing_class"), "status", "provenance", "start", "end", "ranges", "needs_review")
-    rest = docs.join(index.select("doc_id"), "doc_id", "left_anti")
-    headed = headings.select("doc_id").distinct().withColumn("headed", F.lit(True))
-    found = with_declarations(with_bodies(rest, sections(rest)), rest).join(headed, "doc_id", "left")
-    own = found.select(
-        "doc_id", "code", F.when(F.col("headed"), STANDARD).otherwise(OTHER).alias("filing_class"), "status", "provenance", F.coalesce("start_offset", F.lit(0)).cast("long").alias("start"),
-        F.coalesce("end_offset", F.lit(0)).cast("long").alias("end"), no_spans.alias("ranges"), "needs_review",
-    )
-    # a second read of the same columns keeps lost sources apart from lost rows
-    lost = sorted_out.where("binary").select("doc_id", F.lit(UNSUPPORTED).alias("filing_class"), F.lit("no text of a filing").alias("fault"))
-    lost = lost.unionByName(read.where("fault is not null").select("doc_id", F.lit(FAILED).alias("filing_class"), "fault"))
-    none = lost.select("*", F.explode(F.array(*(F.lit(c) for c, _ in ITEMS))).alias("code")).select(
-        "doc_id", "code", "filing_class", F.lit("unsupported").alias("status"), F.lit("unresolved").alias("provenance"), F.lit(0).cast("long").alias("start"), F.lit(0).cast("long").alias("end"),
-        no_spans.alias("ranges"), F.lit(True).alias("needs_review"), "fault",
-    )
-    every = settled(listed.unionByName(own).withColumn("fault", F.lit(None).cast("string")).unionByName(none))
-    over = _overshot(every, headings).withColumn("over", F.lit(True))
-    span = ["doc_id", "start", "end", "ranges"]
-    shared = every.where("end > start and provenance <> 'cross_reference_pointer'").groupBy(*span).agg(F.collect_list("code").alias("codes")).where(F.size("codes") > 1)
-    shared = shared.select("doc_id", F.explode("codes").alias("code"), F.lit(True).alias("shared"))
-    joined = every.join(over, ["doc_id", "code"], "left").join(shared, ["doc_id", "code"], "left")
-    reasons = F.array_compact(
-        F.array(F.col("fault"), F.when(F.col("over"), "later heading inside"), F.when(F.col("shared"), "shared span"), F.when(F.col("status") == "missing", "nothing found"))
-    )
-    return joined.select("doc_id", "code", "filing_class", "status", "provenance", "start", "end", "ranges", (F.col("needs_review") | (F.size(reasons) > 0)).alias("needs_review"), reasons.alias("reasons"))
+    sources = filings.select("doc_id", "html", is_binary(F.col("html")).alias("binary"))
+    schema = T.StructType([T.StructField("doc_id", filings.schema["doc_id"].dataType), *T.StructType.fromDDL(ROUTED_ROWS).fields])
+    return sources.mapInArrow(routed_rows, schema)
 
 
 def _raw_filings(spark: SparkSession, sf_dir: str) -> DataFrame:

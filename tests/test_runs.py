@@ -98,3 +98,9 @@ def test_pages_of_plain_lines():
     for a, b, n in zip(starts, sources, lengths, strict=True):
         assert text[a : a + n] == raw[b : b + n] or raw[b : b + 5] == "&amp;"
     assert markup.read_page("\n".join(f"<p>{x}</p>" for x in lines))[0].split("\n") == want
+
+
+def test_a_filing_is_read_once(spark):
+    """The run over all filings is one narrow map."""
+    plan = R.d23_routed_run(spark, SF)._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("MapInArrow") == 1 and "Exchange" not in plan and "ExistingRDD" not in plan
